@@ -108,4 +108,5 @@ UNKNOWN_ALARM_PREFIX = "未知错误码: "
 
 def alarm_dictionary(spark: SparkSession) -> DataFrame:
     """The dictionary as a two-column dimension (fixed at 95 rows, so safe to broadcast)."""
-    return spark.createDataFrame(list(ALARM_MESSAGES.items()), "code string, message string")
+    rows = ", ".join(f"('{code}', '{text}')" for code, text in ALARM_MESSAGES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(code, message)")

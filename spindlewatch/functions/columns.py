@@ -71,9 +71,11 @@ def percent_label(prefix: str, ratio: Column) -> Column:
 def number_or_null(text: Column, data_type: str) -> Column:
     """Number held in JSON text, quoted or not; integers are truncated from decimals."""
     as_double = text.try_cast("double")
-    return as_double if data_type == "double" else F.coalesce(
-        text.try_cast(data_type), as_double.try_cast(data_type)
-    )
+    if data_type == "double":
+        return as_double
+    truncated = as_double.try_cast(data_type)
+    # a double holds every int exactly, but not every bigint
+    return truncated if data_type == "int" else F.coalesce(text.try_cast(data_type), truncated)
 
 
 def clean_number(text: Column | str, digits: int = 2) -> Column:

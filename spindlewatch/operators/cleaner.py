@@ -39,14 +39,16 @@ _CELLS = "col array<struct<_ColName: string, _VALUE: string>>"
 def parse_cells(records: DataFrame, column: str = "ChangeData") -> DataFrame:
     """Add ``cells``: the name-to-text map of the XML fragment. A repeated name keeps its first value."""
     document = F.concat(F.lit("<r>"), F.col(column), F.lit("</r>"))
-    parsed = F.from_xml(document, _CELLS)["col"]
-    named = F.filter(parsed, lambda c: c["_ColName"].isNotNull())
+    # exploding one-element arrays keeps the optimizer from repeating the parse per cell
+    parsed = records.select("*", F.explode(F.array(F.from_xml(document, _CELLS))).alias("_xml"))
+    named = F.filter("_xml.col", lambda c: c["_ColName"].isNotNull())
     names = F.array_distinct(F.transform(named, lambda c: c["_ColName"]))
     first = F.transform(
         names,
         lambda n: F.get(F.filter(named, lambda c: c["_ColName"] == n), F.lit(0))["_VALUE"],
     )
-    return records.withColumn("cells", F.map_from_arrays(names, first))
+    cells = F.explode(F.array(F.map_from_arrays(names, first)))
+    return parsed.select(*records.columns, cells.alias("cells"))
 
 
 def _cell(name: str) -> Column:

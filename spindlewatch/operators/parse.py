@@ -17,8 +17,14 @@ _CORRUPT = "_corrupt_record"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
+def _once(c: Column) -> Column:
+    """Value computed in its own step: exploding a one-element array keeps the optimizer from
+    repeating an expensive expression at every use."""
+    return F.explode(F.array(c))
+
+
 def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """Add ``_raw`` (every field as text) and ``_bad``.
+    """Add ``_raw`` (fields as text), ``_num`` (numbers, null if absent or unreadable), ``_bad``.
 
     Fields are read as text first: a typed ``from_json`` loses quoted numbers and decimals in
     integer fields.
@@ -28,25 +34,30 @@ def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
         + [T.StructField(_CORRUPT, T.StringType())]
     )
     raw = F.from_json("value", text_schema, {"columnNameOfCorruptRecord": _CORRUPT})
-    unreadable = F.col("_raw").isNull() | F.col(f"_raw.{_CORRUPT}").isNotNull()
-    for f in schema:
-        if not isinstance(f.dataType, T.StringType):
-            text = _number_text(f.name)
-            unreadable |= text.isNotNull() & fn.number_or_null(text, f.dataType.simpleString()).isNull()
-    blank = F.col("value").isNull() | (F.trim("value") == "")
-    return lines.withColumn("_raw", raw).withColumn("_bad", blank | F.coalesce(unreadable, F.lit(True)))
+    numeric = [f for f in schema if not isinstance(f.dataType, T.StringType)]
+    numbers = F.struct(
+        *[fn.number_or_null(F.col(f"_raw.{f.name}"), f.dataType.simpleString()).alias(f.name) for f in numeric]
+    )
+    # an empty or blank line parses to a null struct
+    bad = F.col("_raw").isNull() | F.col(f"_raw.{_CORRUPT}").isNotNull()
+    for f in numeric:
+        bad |= F.col(f"_num.{f.name}").isNull() & _present(F.col(f"_raw.{f.name}"))
+    return (
+        lines.select("*", _once(raw).alias("_raw"))
+        .select("*", _once(numbers).alias("_num"))
+        .withColumn("_bad", F.coalesce(bad, F.lit(True)))
+    )
 
 
-def _number_text(name: str) -> Column:
-    """Text of a numeric field; an empty or ``null`` text counts as a missing field."""
-    text = F.trim(F.col(f"_raw.{name}"))
-    return F.when(~text.isin("", "null"), text)
+def _present(text: Column) -> Column:
+    """An empty or ``null`` text counts as a missing field."""
+    return text.isNotNull() & ~F.trim(text).isin("", "null")
 
 
 def _field(f: T.StructField, missing: str) -> Column:
     if isinstance(f.dataType, T.StringType):
         return F.col(f"_raw.{f.name}").alias(f.name)
-    value = fn.number_or_null(_number_text(f.name), f.dataType.simpleString())
+    value = F.col(f"_num.{f.name}")
     if missing == "zero":
         value = F.coalesce(value, F.lit(0).cast(f.dataType))
     return value.alias(f.name)

@@ -85,9 +85,8 @@ class Feeds:
     @staticmethod
     def _lines(rows: DataFrame, payload) -> DataFrame:
         """JSON per row in ``value``; some lines arrive cut off."""
-        text = F.to_json(payload)
-        cut = F.when(F.col("seq") % fx.MALFORMED_EVERY == 0, F.substring(text, 1, 40)).otherwise(text)
-        return rows.select("seq", cut.alias("value"))
+        kept = F.when(F.col("seq") % fx.MALFORMED_EVERY == 0, 40).otherwise(1_000_000)
+        return rows.select("seq", F.substring(F.to_json(payload), F.lit(1), kept).alias("value"))
 
     def sensor_lines(self) -> DataFrame:
         """One number comes quoted, and noise is missing from some lines."""
