@@ -155,17 +155,21 @@ def vibration_spikes(metrics: DataFrame, ratio: float = 0.2) -> DataFrame:
         .filter("_prev > 0")
         .withColumn("_change", change)
         .filter(F.col("_change") >= ratio)
-        .select(
-            F.col("window_end").alias("alert_time"),
-            "machine_id",
-            fn.percent_label(SPIKE_PREFIX, F.col("_change")).alias("alert_type"),
-            F.col("avg_vib_rms").alias("trigger_value"),
-            F.lit(0.0).alias("threshold_value"),
-            F.lit(SPIKE_ACTION).alias("suggested_action"),
-        )
+        .select(*spike_alert_columns(F.col("_change")))
     )
 
 
+def spike_alert_columns(change: Column) -> list:
+    return [
+        F.col("window_end").alias("alert_time"),
+        F.col("machine_id"),
+        fn.percent_label(SPIKE_PREFIX, change).alias("alert_type"),
+        F.col("avg_vib_rms").alias("trigger_value"),
+        F.lit(0.0).alias("threshold_value"),
+        F.lit(SPIKE_ACTION).alias("suggested_action"),
+    ]
+
+
 def interpolate_gaps(
     sensor: DataFrame,
     columns: list[str],

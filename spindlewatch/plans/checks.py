@@ -99,6 +99,23 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
            FROM highfreq GROUP BY ts - ts % 60000, "machineId" """,
         ("highfreq",),
     ),
+    # a stream's final watermark: five seconds behind the newest record of its slowest input
+    "watermark": ("SELECT epoch_ms(max(ts) - 5000) AS w FROM base", ("base",)),
+    "lowfreq_watermark": (
+        """SELECT epoch_ms(least((SELECT max(ts) FROM state), (SELECT max(ts) FROM metrics)) - 5000) AS w""",
+        ("state", "metrics"),
+    ),
+    "status_watermark": (
+        """SELECT epoch_ms(least((SELECT max(ts) FROM base),
+             (SELECT max(epoch_ms(start_time)) FROM changes)) - 5000) AS w""",
+        ("changes",),
+    ),
+    "blank_statuses": (
+        """SELECT seq, machine_id, "timestamp" AS update_time,
+             CASE WHEN speed < 1000 THEN '启动中' ELSE '稳定运行' END AS machine_status,
+             CASE WHEN speed < 1000 THEN 80.0 ELSE 100.0 END::DOUBLE AS health_score FROM sensor""",
+        ("sensor",),
+    ),
     "merged": (
         """SELECT "machineId", seq, 0 AS side FROM state UNION ALL
            SELECT "machineId", seq, 1 FROM metrics""",
@@ -273,19 +290,32 @@ def _interpolated() -> str:
       WHERE gap > 1000 AND gap <= 5000 AND k * 1000 < gap"""
 
 
-def _throttled() -> str:
+def _throttled(statuses: str, until: str = "true") -> str:
     columns = rounded("health_score", "machine_id update_time machine_status")
-    return sql("", "statuses").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    return sql("", statuses, "watermark").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
       secs AS (SELECT machine_id, epoch_ms(update_time) // 1000 AS s, arg_min(seq, (update_time, seq)) AS seq
-        FROM statuses GROUP BY 1, 2),
+        FROM {statuses} WHERE {until} GROUP BY 1, 2),
       hits AS (
         SELECT machine_id, min(s) AS s FROM secs GROUP BY 1
         UNION ALL
         SELECT machine_id, s FROM (
           SELECT h.machine_id, (SELECT min(c.s) FROM secs c WHERE c.machine_id = h.machine_id
             AND c.s >= h.s + 60) AS s FROM hits h) WHERE s IS NOT NULL)
-      SELECT {columns} FROM hits JOIN secs USING (machine_id, s) JOIN statuses USING (machine_id, seq)"""
-
+      SELECT {columns} FROM hits JOIN secs USING (machine_id, s) JOIN {statuses} USING (machine_id, seq)"""
+
+
+_SLIDING = f"""SELECT {_DEVIATION_ROW} FROM (
+  SELECT epoch_ms(ts - ts % 10000 - back) AS record_time, machine_id, 'current' AS param_name,
+    max("current") AS actual_value, max(std_current) AS standard_value,
+    max(current_dev) * 100 AS deviation_ratio, 30::INT AS duration_seconds
+  FROM deviations, sliding_slots WHERE current_dev > 0.028 OR speed_dev > 0.028
+  GROUP BY ts - ts % 10000 - back, machine_id)"""
+_HELD = f"""SELECT {rounded(_MEASURES, 'window_start window_end machine_id window_type filled')} FROM (
+  SELECT * REPLACE (
+    last_value(CASE WHEN NOT filled THEN max_temperature END IGNORE NULLS) OVER w AS max_temperature,
+    last_value(CASE WHEN NOT filled THEN avg_vib_rms END IGNORE NULLS) OVER w AS avg_vib_rms,
+    last_value(CASE WHEN NOT filled THEN current_fluctuation END IGNORE NULLS) OVER w AS current_fluctuation)
+  FROM w3s_gaps WINDOW w AS (PARTITION BY machine_id ORDER BY window_end))"""
 
 CHECKS: dict[str, str] = {
     "parse_sensor_json": sql(
@@ -350,7 +380,7 @@ CHECKS: dict[str, str] = {
         f"""SELECT * FROM (SELECT {_STATUS_ROW} FROM statuses
         QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY update_time DESC, seq DESC) = 1)
         ORDER BY update_time DESC, machine_id LIMIT 20""", "statuses"),
-    "health_throttled": _throttled(),
+    "health_throttled": _throttled("statuses"),
     "window_metrics_1m": sql(f"SELECT {_WINDOW} FROM w1m", "w1m"),
     "window_trend_1m": sql(
         f"""SELECT epoch_ms(ts - ts % 60000) AS window_start, epoch_ms(ts - ts % 60000 + 60000) AS window_end,
@@ -373,14 +403,7 @@ CHECKS: dict[str, str] = {
         f"""SELECT {rounded('temp_slope current_fluctuation', 'machine_id window_start window_end')},
           CASE WHEN max_temperature <= 79 AND current_fluctuation <= 2 THEN 'STABLE' ELSE 'WARNING' END
             AS status FROM w1m""", "w1m"),
-    "gap_fill_hold": sql(
-        f"""SELECT {rounded(_MEASURES, 'window_start window_end machine_id window_type filled')} FROM (
-          SELECT * REPLACE (
-            last_value(CASE WHEN NOT filled THEN max_temperature END IGNORE NULLS) OVER w AS max_temperature,
-            last_value(CASE WHEN NOT filled THEN avg_vib_rms END IGNORE NULLS) OVER w AS avg_vib_rms,
-            last_value(CASE WHEN NOT filled THEN current_fluctuation END IGNORE NULLS) OVER w
-              AS current_fluctuation)
-          FROM w3s_gaps WINDOW w AS (PARTITION BY machine_id ORDER BY window_end))""", "w3s_gaps"),
+    "gap_fill_hold": sql(_HELD, "w3s_gaps"),
     "vibration_spike": sql(f"SELECT {_ALERT} FROM spikes", "spikes"),
     "interpolate": sql(_interpolated(), "sensor"),
     "latest_windows": sql(
@@ -393,13 +416,7 @@ CHECKS: dict[str, str] = {
         f"""SELECT {rounded('current std_current current_dev speed std_speed speed_dev',
             'seq machine_id timestamp')} FROM deviations WHERE current_dev > 0.028 OR speed_dev > 0.028""",
         "deviations"),
-    "deviation_sliding": sql(
-        f"""SELECT {_DEVIATION_ROW} FROM (
-          SELECT epoch_ms(ts - ts % 10000 - back) AS record_time, machine_id, 'current' AS param_name,
-            max("current") AS actual_value, max(std_current) AS standard_value,
-            max(current_dev) * 100 AS deviation_ratio, 30::INT AS duration_seconds
-          FROM deviations, sliding_slots WHERE current_dev > 0.028 OR speed_dev > 0.028
-          GROUP BY ts - ts % 10000 - back, machine_id)""", "deviations", "sliding_slots"),
+    "deviation_sliding": sql(_SLIDING, "deviations", "sliding_slots"),
     "deviation_by_param": sql(
         f"""SELECT {_DEVIATION_ROW} FROM (
           SELECT epoch_ms(ts - ts % 10000 - back) AS record_time, machine_id, param_name,
@@ -473,4 +490,45 @@ CHECKS: dict[str, str] = {
         """SELECT CAST(machine_id AS INT) AS "machineId", date_trunc('minute', update_time) AS window_start
         FROM statuses GROUP BY 1, 2
         HAVING arg_max(machine_status, (update_time, seq)) = '稳定运行'""", "statuses"),
+    # --- streams ---
+    "stream_windows": sql(
+        f"SELECT {_WINDOW} FROM w1m WHERE window_end <= (SELECT w FROM watermark)", "w1m", "watermark"),
+    "stream_rollup": sql(
+        f"""SELECT {_WINDOW} FROM w1m WHERE window_end <= (SELECT w FROM watermark) UNION ALL
+        SELECT {_WINDOW} FROM w5m WHERE window_end <= (SELECT w FROM watermark)""", "w1m", "w5m", "watermark"),
+    "stream_deviation": sql(
+        f"""SELECT * FROM ({_SLIDING})
+        WHERE record_time + INTERVAL 30 SECOND <= (SELECT w FROM watermark)""",
+        "deviations", "sliding_slots", "watermark"),
+    "stream_spike": sql(
+        f"SELECT {_ALERT} FROM spikes WHERE alert_time <= (SELECT w FROM watermark)", "spikes", "watermark"),
+    "stream_gap_fill": sql(
+        f"""SELECT * EXCLUDE (filled) FROM ({_HELD}) WHERE window_end <= (SELECT w FROM watermark)""",
+        "w3s_gaps", "watermark"),
+    "stream_features": sql(
+        f"SELECT {_FEATURES} FROM features WHERE window_end <= (SELECT w FROM watermark)",
+        "features", "watermark"),
+    "stream_pairs": sql(
+        f"""SELECT {_PAIR}, "isAlarm" FROM pairs
+        WHERE epoch_ms(ts) <= (SELECT w FROM lowfreq_watermark)""", "pairs", "lowfreq_watermark"),
+    "stream_feature_records": sql(
+        f"""SELECT {_RECORD} FROM records JOIN (SELECT seq, ts FROM pairs) USING (seq)
+        WHERE epoch_ms(ts) <= (SELECT w FROM lowfreq_watermark)""", "records", "lowfreq_watermark"),
+    "stream_status": sql(
+        f"SELECT {_STATUS_ROW} FROM statuses WHERE update_time <= (SELECT w FROM status_watermark)",
+        "statuses", "status_watermark"),
+    "stream_health": _throttled("blank_statuses", "update_time <= (SELECT w FROM watermark)"),
+    "stream_alerts": sql(
+        f"SELECT {_ALERT} FROM sensor_alerts UNION ALL SELECT {_ALERT} FROM log_alerts",
+        "sensor_alerts", "log_alerts"),
+    "lake_sensor_upsert": sql(
+        f"""SELECT {rounded('temperature vibration_x vibration_y vibration_z current noise speed',
+            'machine_id ts')} FROM sensor
+        QUALIFY row_number() OVER (PARTITION BY machine_id, ts ORDER BY seq DESC) = 1""", "sensor"),
+    "lake_log_upsert": sql(
+        """SELECT machine_id, ts, error_code, error_msg, stack_trace,
+          CASE error_code WHEN '999' THEN 'Critical' WHEN '500' THEN 'High' ELSE 'Normal' END AS severity
+        FROM logs QUALIFY row_number() OVER (PARTITION BY machine_id, ts ORDER BY seq DESC) = 1""", "logs"),
+    "raw_landing": sql(
+        "SELECT unnest(['log', 'text']) AS topic_type, count(*) AS n FROM logs", "logs"),
 }

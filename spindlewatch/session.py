@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import spindlewatch
+
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -15,6 +18,8 @@ ROCKSDB_PROVIDER = (
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings results depend on; cluster sizing stays with the submitter."""
+    # stateful processors travel to executors by value: nothing to install there
+    cloudpickle.register_pickle_by_value(spindlewatch)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     return spark
