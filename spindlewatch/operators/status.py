@@ -92,14 +92,26 @@ def throttle_seconds(df: DataFrame, time_column: str, interval: int = 60) -> Dat
     return hits.select("machine_id", F.explode("seconds").alias("second"))
 
 
-def throttled_health(status: DataFrame, order: str = "seq", interval: int = 60) -> DataFrame:
-    """The health score at each throttled update: the first record of the second let through."""
-    second = F.floor(F.unix_micros("update_time") / 1_000_000).cast("bigint")
-    hits = throttle_seconds(status, "update_time", interval)
-    at_hits = status.withColumn("second", second).join(hits, ["machine_id", "second"])
-    first = F.min(F.struct("update_time", order, "machine_status", "health_score"))
+def throttled_rows(df: DataFrame, time_column: str, order: str, interval: int = 60) -> DataFrame:
+    """Whole rows at the throttled updates: the first row of each second let through."""
+    second = F.floor(F.unix_micros(time_column) / 1_000_000).cast("bigint")
+    hits = throttle_seconds(df, time_column, interval)
+    first = F.min_by(F.struct(*df.columns), F.struct(time_column, order))
     return (
-        at_hits.groupBy("machine_id", "second")
+        df.withColumn("second", second)
+        .join(hits, ["machine_id", "second"])
+        .groupBy("machine_id", "second")
         .agg(first.alias("_first"))
-        .select("machine_id", "_first.update_time", "_first.machine_status", "_first.health_score")
+        .select("_first.*")
+    )
+
+
+def throttled_health(
+    sensor: DataFrame, changes: DataFrame, order: str = "seq", interval: int = 60, start_speed: float = 1000.0
+) -> DataFrame:
+    """The health snapshot at each throttled update. Which readings are let through depends on
+    their times alone, so status is looked up only for those few."""
+    readings = throttled_rows(sensor, "timestamp", order, interval)
+    return machine_status(readings, changes, order, start_speed).select(
+        "machine_id", "update_time", "machine_status", "health_score"
     )

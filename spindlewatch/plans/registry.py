@@ -204,7 +204,10 @@ def latest_status_sample(feeds: Feeds) -> DataFrame:
 
 @query
 def health_throttled(feeds: Feeds) -> DataFrame:
-    return status.throttled_health(_status(feeds), "seq", settings(feeds).health_min_update_seconds)
+    s = settings(feeds)
+    return status.throttled_health(
+        feeds.sensor_raw(), feeds.changes(), "seq", s.health_min_update_seconds, s.start_speed
+    )
 
 
 # --- windows ------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ those of the batch operators. State lives in the state store, so it survives los
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -15,6 +16,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TIME_MS = "_t_ms"
+# rows per state entry: one store call per row would dominate the run time
+CHUNK = 1000
+CHUNK_SCHEMA = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
+def _pack(rows: list) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[i : i + CHUNK]),) for i in range(0, len(rows), CHUNK)]
+
+
+def _unpack(entries) -> list:
+    return [row for entry in entries for row in pickle.loads(bytes(entry[0]))]
 
 
 class OrderedReplay(StatefulProcessor):
@@ -27,21 +39,29 @@ class OrderedReplay(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", self.row_schema)
+        self.buffer = handle.getListState("buffer", CHUNK_SCHEMA)
         self.memory = handle.getValueState("memory", self.memory_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        waiting = list(self.buffer.get())
-        for row in rows:
-            waiting.append(tuple(row[n] for n in self.names))
-        yield from self._replay(waiting, timerValues.getCurrentWatermarkInMs())
+        arrived = [tuple(row[n] for n in self.names) for row in rows]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        at = self.names.index(TIME_MS)
+        if min(r[at] for r in arrived) > watermark:
+            # nothing arrived is due, and what waited before has a timer of its own
+            self.buffer.appendList(_pack(arrived))
+            self._wake(min(r[at] for r in arrived))
+        else:
+            yield from self._replay(_unpack(self.buffer.get()) + arrived, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._replay(list(self.buffer.get()), timerValues.getCurrentWatermarkInMs())
+        yield from self._replay(_unpack(self.buffer.get()), timerValues.getCurrentWatermarkInMs())
+
+    def _wake(self, at_ms: int) -> None:
+        self.handle.registerTimer(at_ms)
 
     def _replay(self, waiting: list, watermark: int) -> Iterator[Row]:
         at, order = self.names.index(TIME_MS), self.names.index(self.order)
-        waiting = sorted(waiting, key=lambda r: (r[at], r[order]))
+        waiting.sort(key=lambda r: (r[at], r[order]))
         due = sum(1 for r in waiting if r[at] <= watermark)
         if due:
             memory = tuple(self.memory.get()) if self.memory.exists() else None
@@ -54,9 +74,8 @@ class OrderedReplay(StatefulProcessor):
                 self.memory.update(memory)
         rest = waiting[due:]
         if rest:
-            self.buffer.put([tuple(r) for r in rest])
-            # one timer, for the row due next
-            self.handle.registerTimer(rest[0][at])
+            self.buffer.put(_pack(rest))
+            self._wake(rest[0][at])
         else:
             self.buffer.clear()
 

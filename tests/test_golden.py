@@ -171,3 +171,26 @@ def test_one_reading_has_no_fluctuation(spark):
     rolled = windows.rolled_up_metrics(one).collect()
     assert {r.window_type for r in rolled} == {"1m", "5m", "1h"}
     assert all(r.current_fluctuation == 0.0 for r in rolled)
+
+
+def test_pattern_and_xml_parser_agree(spark):
+    """Fragments the pattern must leave to the XML parser, next to one it may read."""
+    rows = [
+        (1, cells(a="1", b="x y")),
+        (2, cells(a="1 &lt; 2 &amp; 3")),
+        (3, '<col ColName="a"><![CDATA[7]]></col>' + cells(b="8")),
+        (4, "<!-- note -->" + cells(a="9")),
+        (5, "<col ColName='a'>10</col>"),
+        (6, cells(a="11") + cells(a="12")),
+        (7, '<col ColName="a"/>' + cells(b="13")),
+    ]
+    df = spark.createDataFrame(rows, "record_id int, ChangeData string")
+    parsed = cleaner.parse_cells(df).select("record_id", cleaner.cell_map("cells"))
+    got = {r[0]: r[1] for r in parsed.collect()}
+    assert got[1] == {"a": "1", "b": "x y"}
+    assert got[2] == {"a": "1 < 2 & 3"}
+    assert got[3]["b"] == "8" and got[3]["a"] == "7"
+    assert got[4] == {"a": "9"}
+    assert got[5] == {"a": "10"}
+    assert got[6] == {"a": "11"}
+    assert got[7]["b"] == "13"
