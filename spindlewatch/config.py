@@ -46,7 +46,7 @@ class Settings:
     feature_topic: str = "Feature_log"
     output_base_path: str = ""
     # rows of one machine that one task may have to order; see operators/segments.py
-    segment_span: int = 4_000_000
+    segment_span: int = 500_000
 
     @classmethod
     def from_spark(cls, spark: SparkSession) -> Settings:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindlewatch.functions import columns as fn
+from spindlewatch.operators.status import with_change_status
 from spindlewatch.schemas import WINDOW_FEATURES
 
 RUL_ALERT = "RUL预警"
@@ -61,17 +62,26 @@ def score_rul(model: PipelineModel, features: DataFrame) -> DataFrame:
     return scored.select(*features.columns, "rul_value", fn.risk_level("rul_value").alias("risk_level"))
 
 
-def in_stable_state(features: DataFrame, status: DataFrame, order: str = "seq") -> DataFrame:
-    """Feature windows whose machine was in the stable state at its last reading of the window."""
-    last_state = (
-        status.groupBy(
-            F.col("machine_id").cast("int").alias("machineId"),
-            F.date_trunc("minute", "update_time").alias("window_start"),
-        )
-        .agg(F.max_by("machine_status", F.struct("update_time", order)).alias("_state"))
-        .filter(F.col("_state") == fn.STATE_STABLE)
+def in_stable_state(
+    features: DataFrame, sensor: DataFrame, changes: DataFrame, order: str = "seq", start_speed: float = 1000.0
+) -> DataFrame:
+    """Feature windows whose machine was in the stable state at its last reading of the window.
+
+    Readings are folded to the last per machine-minute before their status is looked up.
+    """
+    used = F.struct(*[c for c in sensor.columns if c != "machine_id"])
+    last = (
+        sensor.groupBy("machine_id", F.date_trunc("minute", "timestamp").alias("window_start"))
+        .agg(F.max_by(used, F.struct("timestamp", order)).alias("_last"))
+        .select("machine_id", "window_start", "_last.*")
+    )
+    state = fn.machine_state("status", "speed", start_speed)
+    stable = (
+        with_change_status(last, changes, order)
+        .filter(state == fn.STATE_STABLE)
+        .select(F.col("machine_id").cast("int").alias("machineId"), "window_start")
     )
-    return features.join(last_state, ["machineId", "window_start"], "left_semi")
+    return features.join(stable, ["machineId", "window_start"], "left_semi")
 
 
 def rul_alerts(scored: DataFrame, hours: float = 48.0, probability: float = 0.85) -> DataFrame:

@@ -191,15 +191,20 @@ def change_record_status(feeds: Feeds) -> DataFrame:
     )
 
 
+def _latest_status(feeds: Feeds) -> DataFrame:
+    """Newest status per machine: the newest reading first, its status after."""
+    newest = latest.latest_by_key(feeds.sensor_raw(), ["machine_id"], ["timestamp", "seq"])
+    return status.machine_status(newest, feeds.changes(), "seq", settings(feeds).start_speed)
+
+
 @query
 def health_latest(feeds: Feeds) -> DataFrame:
-    return latest.latest_by_key(_status(feeds), ["machine_id"], ["update_time", "seq"])
+    return _latest_status(feeds)
 
 
 @query
 def latest_status_sample(feeds: Feeds) -> DataFrame:
-    newest = latest.latest_by_key(_status(feeds), ["machine_id"], ["update_time", "seq"])
-    return latest.latest_rows(newest, [F.desc("update_time"), "machine_id"], 20)
+    return latest.latest_rows(_latest_status(feeds), [F.desc("update_time"), "machine_id"], 20)
 
 
 @query
@@ -237,14 +242,9 @@ def window_metrics_1h(feeds: Feeds) -> DataFrame:
 
 @query
 def window_metrics_all(feeds: Feeds) -> DataFrame:
-    """1m, 5m and 1h rows: 1m gap-filled, the others rolled up from it in the same pass."""
-    minute = windows.window_sums(feeds.sensor_raw())
-    five = windows.roll_up(minute, "5 minutes")
-    hour = windows.roll_up(five, "1 hour")
-    filled = windows.fill_held(windows.metrics_from_sums(minute, "1m")).drop("filled")
-    return windows.union_windows(
-        filled, windows.metrics_from_sums(five, "5m"), windows.metrics_from_sums(hour, "1h")
-    )
+    """1m, 5m and 1h rows, gap-filled (which only windows closer than 5 s could need)."""
+    rolled = windows.rolled_up_metrics(feeds.sensor_raw())
+    return windows.fill_held(rolled, keys=("machine_id", "window_type")).drop("filled")
 
 
 @query
@@ -513,7 +513,8 @@ def rul_alerts(feeds: Feeds) -> DataFrame:
 def stable_windows(feeds: Feeds) -> DataFrame:
     """Windows that would be scored: machine stable at its last reading."""
     return scoring.in_stable_state(
-        features.window_features(feeds.highfreq_sensor()), _status(feeds)
+        features.window_features(feeds.highfreq_sensor()), feeds.sensor_raw(), feeds.changes(), "seq",
+        settings(feeds).start_speed,
     ).select("machineId", "window_start")
 
 
