@@ -19,6 +19,14 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def newest_by_key(df: DataFrame, keys: Sequence[str], time: str, order: str) -> DataFrame:
+    """``latest_by_key`` for few keys over many rows: one hash aggregate finds each key's newest
+    time, and only rows of that time are ranked. Nothing large is sorted or shuffled: the peaks are
+    few enough for Spark to broadcast (it measures them and otherwise shuffles)."""
+    peaks = df.groupBy(*keys).agg(F.max(time).alias(time))
+    return latest_by_key(df.join(peaks, [*keys, time], "left_semi"), keys, [order])
+
+
 def last_value_by_key(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """Narrow form of ``latest_by_key``: the last value of one column per key."""
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

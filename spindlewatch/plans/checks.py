@@ -110,12 +110,6 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
              (SELECT max(epoch_ms(start_time)) FROM changes)) - 5000) AS w""",
         ("changes",),
     ),
-    "blank_statuses": (
-        """SELECT seq, machine_id, "timestamp" AS update_time,
-             CASE WHEN speed < 1000 THEN '启动中' ELSE '稳定运行' END AS machine_status,
-             CASE WHEN speed < 1000 THEN 80.0 ELSE 100.0 END::DOUBLE AS health_score FROM sensor""",
-        ("sensor",),
-    ),
     "merged": (
         """SELECT "machineId", seq, 0 AS side FROM state UNION ALL
            SELECT "machineId", seq, 1 FROM metrics""",
@@ -292,7 +286,7 @@ def _interpolated() -> str:
 
 def _throttled(statuses: str, until: str = "true") -> str:
     columns = rounded("health_score", "machine_id update_time machine_status")
-    return sql("", statuses, "watermark").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    return sql("", statuses, "status_watermark").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
       secs AS (SELECT machine_id, epoch_ms(update_time) // 1000 AS s, arg_min(seq, (update_time, seq)) AS seq
         FROM {statuses} WHERE {until} GROUP BY 1, 2),
       hits AS (
@@ -517,7 +511,7 @@ CHECKS: dict[str, str] = {
     "stream_status": sql(
         f"SELECT {_STATUS_ROW} FROM statuses WHERE update_time <= (SELECT w FROM status_watermark)",
         "statuses", "status_watermark"),
-    "stream_health": _throttled("blank_statuses", "update_time <= (SELECT w FROM watermark)"),
+    "stream_health": _throttled("statuses", "update_time <= (SELECT w FROM status_watermark)"),
     "stream_alerts": sql(
         f"SELECT {_ALERT} FROM sensor_alerts UNION ALL SELECT {_ALERT} FROM log_alerts",
         "sensor_alerts", "log_alerts"),

@@ -193,7 +193,7 @@ def change_record_status(feeds: Feeds) -> DataFrame:
 
 def _latest_status(feeds: Feeds) -> DataFrame:
     """Newest status per machine: the newest reading first, its status after."""
-    newest = latest.latest_by_key(feeds.sensor_raw(), ["machine_id"], ["timestamp", "seq"])
+    newest = latest.newest_by_key(feeds.sensor_raw(), ["machine_id"], "timestamp", "seq")
     return status.machine_status(newest, feeds.changes(), "seq", settings(feeds).start_speed)
 
 

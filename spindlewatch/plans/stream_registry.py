@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from spindlewatch.config import Settings
 from spindlewatch.operators import alerts, deviation, features, parse, windows
-from spindlewatch.operators.status import status_record
 from spindlewatch.plans.registry import Query, plain, timed
 from spindlewatch.session import configure, shared_path
 from spindlewatch.sources.feeds import Feeds
@@ -109,9 +108,7 @@ def stream_status(feeds: Feeds) -> DataFrame:
 
 @stream_query
 def stream_health(feeds: Feeds) -> DataFrame:
-    """Throttled health by speed alone: the change status is left blank here."""
-    blank = _sensor(feeds).withColumn("status", F.lit(""))
-    return transforms.throttle_stream(status_record(blank, keep=["seq"]))
+    return transforms.health_stream(_sensor(feeds), marked(feeds.changes(), "start_time"))
 
 
 @stream_query

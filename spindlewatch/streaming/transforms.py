@@ -130,13 +130,25 @@ def spike_stream(filled: DataFrame, ratio: float = 0.2) -> DataFrame:
     )
 
 
-def throttle_stream(status_rows: DataFrame, order: str = "seq", interval: int = 60) -> DataFrame:
-    """Throttled health snapshot of a watermarked status stream."""
-    rows = p.with_time_ms(status_rows, "update_time")
-    schema = _schema(
-        rows, ["machine_id", order, p.TIME_MS, "update_time", "machine_status", "health_score"]
+def throttle_stream(
+    rows: DataFrame, time_column: str, columns: list[str], order: str = "seq", interval: int = 60
+) -> DataFrame:
+    """Rows let through by the throttle, with ``columns``, of a stream watermarked on ``time_column``."""
+    timed = p.with_time_ms(rows, time_column)
+    schema = _schema(timed, ["machine_id", order, p.TIME_MS, time_column, *columns])
+    output = _schema(timed, ["machine_id", order, time_column, *columns])
+    processor = p.Throttle(schema, order, output, interval)
+    return p.run_processor(timed, ["machine_id"], processor, output, time_column)
+
+
+def health_stream(
+    sensor: DataFrame, changes: DataFrame, interval: int = 60, start_speed: float = 1000.0
+) -> DataFrame:
+    """Throttled health snapshot: readings are throttled first, and only those let through go on to
+    the status lookup."""
+    readings = throttle_stream(
+        sensor, "timestamp", ["temperature", "vibration_x", "speed"], "seq", interval
     )
-    output = _schema(rows, ["machine_id", "update_time", "machine_status", "health_score"])
-    return p.run_processor(
-        rows, ["machine_id"], p.Throttle(schema, order, output, interval), output
+    return status_stream(readings, changes, start_speed).select(
+        "machine_id", "update_time", "machine_status", "health_score"
     )

@@ -102,18 +102,24 @@ def test_status(stream, batch):
 
 
 def test_health(stream, batch):
-    def blank(sensor):
-        return status.status_record(sensor.withColumn("status", F.lit("")), keep=["seq"])
-
-    sensor = batch.sensor_raw()
-    limit = watermark(batch, (sensor, "timestamp"))
-    got = drained(transforms.throttle_stream(blank(marked(stream.sensor_raw(), "timestamp")), interval=9))
-    want = status.throttled_health(blank(sensor).filter(F.col("update_time") <= limit), "seq", 9)
+    sensor, changes = batch.sensor_raw(), batch.changes()
+    limit = watermark(batch, (sensor, "timestamp"), (changes, "start_time"))
+    got = drained(
+        transforms.health_stream(
+            marked(stream.sensor_raw(), "timestamp"), marked(stream.changes(), "start_time"), 9
+        )
+    )
+    want = status.throttled_health(sensor, changes, "seq", 9).filter(F.col("update_time") <= limit)
     assert table(got) == table(want)
 
 
 def test_restart_continues_state(spark, stream, folder, tmp_path):
     """A query stopped after two of four files goes on where it was."""
+
+    def throttled(feeds):
+        rows = marked(feeds.sensor_raw(), "timestamp")
+        return transforms.throttle_stream(rows, "timestamp", ["speed"], "seq", 9)
+
     part = tmp_path / "part"
     part.mkdir()
     names = sorted(os.listdir(folder))
@@ -121,19 +127,14 @@ def test_restart_continues_state(spark, stream, folder, tmp_path):
 
     def run():
         feeds = Feeds(spark, str(part), streaming=True, files_per_trigger=1)
-        rows = status.status_record(
-            marked(feeds.sensor_raw(), "timestamp").withColumn("status", F.lit("")), keep=["seq"]
-        )
-        return sinks.drain(transforms.throttle_stream(rows, interval=9), path)
+        return sinks.drain(throttled(feeds), path)
 
     for i, name in enumerate(names):
         os.link(os.path.join(folder, name), part / name)
         if i in (1, 3):
             out = run()
     whole = Feeds(spark, folder, streaming=True, files_per_trigger=1)
-    rows = marked(whole.sensor_raw(), "timestamp").withColumn("status", F.lit(""))
-    once = drained(transforms.throttle_stream(status.status_record(rows, keep=["seq"]), interval=9))
-    assert table(out) == table(once)
+    assert table(out) == table(drained(throttled(whole)))
 
 
 def test_late_rows_are_dropped_and_counted(spark, small, tmp_path):
