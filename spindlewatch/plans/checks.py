@@ -34,7 +34,7 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "metrics": (_select(fx.SENSOR_METRICS, "base", where=fx.METRICS_FILTER), ("base",)),
     "highfreq": (_select(fx.HIGHFREQ_SENSOR, "base"), ("base",)),
     "cells": (_select(fx.CHANGE_DATA, "base"), ("base",)),
-    "standards": (_select(fx.STANDARDS, "nation", where=fx.STANDARDS_FILTER), ()),
+    "standards": (_select(fx.STANDARDS, "nation"), ()),
     "arrivals": (_select(fx.ARRIVALS, "base"), ("base",)),
     "dictionary": (f"SELECT * FROM (VALUES {_DICTIONARY}) AS t(code, message)", ()),
     "sensor_status": (

@@ -73,9 +73,7 @@ class Feeds:
         return self._feed(fx.HIGHFREQ_SENSOR).withColumn("event_time", fn.epoch_ms_to_timestamp("ts"))
 
     def standards(self) -> DataFrame:
-        return self.table("nation").filter(fx.STANDARDS_FILTER).selectExpr(
-            *fx.select_list(fx.STANDARDS, "`")
-        )
+        return self.table("nation").selectExpr(*fx.select_list(fx.STANDARDS, "`"))
 
     def arrivals(self) -> DataFrame:
         return self._feed(fx.ARRIVALS).withColumn("event_time", fn.epoch_ms_to_timestamp("event_ms"))

@@ -158,11 +158,10 @@ CHANGE_DATA = {
     "feed": "k * 330",
 }
 
-# std_params from the nation table: the first machines only, so that defaults apply to the rest
-STANDARDS_FILTER = "n_nationkey BETWEEN 1 AND 6"
+# std_params from the nation table: every second machine, so that defaults apply to the rest
 STANDARDS = {
-    "machine_id": "CAST(100 + n_nationkey AS STRING)",
-    "current": f"CASE WHEN n_nationkey = 1 THEN {_d(45)} ELSE 29 + n_nationkey * {_d(0.5)} END",
+    "machine_id": "CAST(101 + n_nationkey * 2 AS STRING)",
+    "current": f"CASE WHEN n_nationkey = 0 THEN {_d(45)} ELSE 29 + n_nationkey * {_d(0.5)} END",
     "speed": f"2900 + n_nationkey * {_d(20)}",
 }
 

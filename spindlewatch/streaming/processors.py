@@ -18,66 +18,91 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 TIME_MS = "_t_ms"
 # rows per state entry: one store call per row would dominate the run time
 CHUNK = 1000
-CHUNK_SCHEMA = T.StructType([T.StructField("rows", T.BinaryType())])
-
-
-def _pack(rows: list) -> list[tuple[bytes]]:
-    return [(pickle.dumps(rows[i : i + CHUNK]),) for i in range(0, len(rows), CHUNK)]
-
-
-def _unpack(entries) -> list:
-    return [row for entry in entries for row in pickle.loads(bytes(entry[0]))]
+# rows of one key held in memory before they are put into the store
+HELD_ROWS = 100_000
+BUCKET_MS = 60_000
+_BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
+_PART = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
+_PARTS = T.StructType([T.StructField("parts", T.IntegerType())])
+_ROWS = T.StructType([T.StructField("rows", T.BinaryType())])
 
 
 class OrderedReplay(StatefulProcessor):
     """Buffer, sort and fold. Subclasses give ``step(memory, row) -> (memory, output rows)``;
-    ``memory`` is a tuple of ``memory_schema`` or None at the start of a key."""
+    ``memory`` is a tuple of ``memory_schema`` or None at the start of a key.
+
+    Waiting rows are kept in the state store by minute, in chunks. Replay loads one minute at a
+    time, so memory use is that of a machine-minute however much a micro-batch brings.
+    """
 
     def __init__(self, row_schema: T.StructType, memory_schema: T.StructType, order: str):
         self.row_schema, self.memory_schema, self.order = row_schema, memory_schema, order
         self.names = row_schema.fieldNames()
+        self.at, self.by = self.names.index(TIME_MS), self.names.index(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", CHUNK_SCHEMA)
+        self.parts = handle.getMapState("parts", _BUCKET, _PARTS)
+        self.chunks = handle.getMapState("chunks", _PART, _ROWS)
         self.memory = handle.getValueState("memory", self.memory_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived = [tuple(row[n] for n in self.names) for row in rows]
-        watermark = timerValues.getCurrentWatermarkInMs()
-        at = self.names.index(TIME_MS)
-        if min(r[at] for r in arrived) > watermark:
-            # nothing arrived is due, and what waited before has a timer of its own
-            self.buffer.appendList(_pack(arrived))
-            self._wake(min(r[at] for r in arrived))
-        else:
-            yield from self._replay(_unpack(self.buffer.get()) + arrived, watermark)
+        held, count = {}, 0
+        for row in rows:
+            values = tuple(row[n] for n in self.names)
+            held.setdefault(values[self.at] // BUCKET_MS, []).append(values)
+            count += 1
+            if count == HELD_ROWS:
+                self._store(held)
+                held, count = {}, 0
+        self._store(held)
+        yield from self._replay(timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._replay(_unpack(self.buffer.get()), timerValues.getCurrentWatermarkInMs())
-
-    def _wake(self, at_ms: int) -> None:
-        self.handle.registerTimer(at_ms)
-
-    def _replay(self, waiting: list, watermark: int) -> Iterator[Row]:
-        at, order = self.names.index(TIME_MS), self.names.index(self.order)
-        waiting.sort(key=lambda r: (r[at], r[order]))
-        due = sum(1 for r in waiting if r[at] <= watermark)
-        if due:
-            memory = tuple(self.memory.get()) if self.memory.exists() else None
-            for values in waiting[:due]:
-                memory, out = self.step(memory, dict(zip(self.names, values, strict=True)))
+        yield from self._replay(timerValues.getCurrentWatermarkInMs())
+
+    def _store(self, held: dict) -> None:
+        for bucket, values in held.items():
+            known = (bucket,)
+            parts = self.parts.getValue(known)[0] if self.parts.containsKey(known) else 0
+            for i in range(0, len(values), CHUNK):
+                self.chunks.updateValue((bucket, parts), (pickle.dumps(values[i : i + CHUNK]),))
+                parts += 1
+            self.parts.updateValue(known, (parts,))
+
+    def _take(self, bucket: int) -> list:
+        """Remove and return the rows of a bucket, in order."""
+        values = []
+        for part in range(self.parts.getValue((bucket,))[0]):
+            values += pickle.loads(bytes(self.chunks.getValue((bucket, part))[0]))
+            self.chunks.removeKey((bucket, part))
+        self.parts.removeKey((bucket,))
+        values.sort(key=lambda r: (r[self.at], r[self.by]))
+        return values
+
+    def _replay(self, watermark: int) -> Iterator[Row]:
+        memory = tuple(self.memory.get()) if self.memory.exists() else None
+        before = memory
+        buckets = sorted(k[0] for k in self.parts.keys())
+        for bucket in buckets:
+            if bucket * BUCKET_MS > watermark:
+                self.handle.registerTimer(bucket * BUCKET_MS)
+                break
+            values = self._take(bucket)
+            due = sum(1 for r in values if r[self.at] <= watermark)
+            for r in values[:due]:
+                memory, out = self.step(memory, dict(zip(self.names, r, strict=True)))
                 yield from out
-            if memory is None:
+            if due < len(values):
+                self._store({bucket: values[due:]})
+                # one timer, for the row due next
+                self.handle.registerTimer(values[due][self.at])
+                break
+        if memory is None:
+            if before is not None:
                 self.memory.clear()
-            else:
-                self.memory.update(memory)
-        rest = waiting[due:]
-        if rest:
-            self.buffer.put(_pack(rest))
-            self._wake(rest[0][at])
-        else:
-            self.buffer.clear()
+        elif memory != before:
+            self.memory.update(memory)
 
     def step(self, memory, row: dict):
         raise NotImplementedError

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -137,6 +137,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def touched_partitions(batch: DataFrame, partition: str) -> Column:
+    """Partition filter for a batch. Only its distinct partition values (days) come to the driver,
+    no more than the table's file listing holds there anyway."""
+    values = [row[0] for row in batch.select(partition).distinct().collect()]
+    return F.col(partition).isin(values)
+
+
 def upsert_files(
     batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], partition: str
 ) -> None:
@@ -148,10 +155,8 @@ def upsert_files(
     spark = batch.sparkSession
     merged = batch
     if _exists(spark, path):
-        touched = batch.select(partition).distinct()
         stored = spark.read.schema(batch.schema).parquet(path)
-        # dynamic partition pruning turns this join into a partition filter on the scan
-        merged = stored.join(touched, partition, "left_semi").unionByName(batch)
+        merged = stored.filter(touched_partitions(batch, partition)).unionByName(batch)
     (
         latest_by_key(merged, keys, order)
         .write.mode("overwrite")
@@ -168,7 +173,8 @@ def upsert_writer(
         if not batch.isEmpty():
             upsert_files(batch, path, keys, order, partition)
 
-    return write
+    # the batch is read for its partitions and for its rows
+    return fan_out(write)
 
 
 def merge_statement(table: str, keys: Sequence[str], columns: Sequence[str], source: str) -> str:

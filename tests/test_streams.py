@@ -172,6 +172,17 @@ def test_upsert_replaces_and_repeats(spark, tmp_path):
     assert got == {("1", 1): 1.0, ("1", 2): 20.0, ("1", 3): 30.0, ("2", 9): 3.0}
 
 
+def test_upsert_reads_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    schema = "k string, seq long, day string"
+    sinks.upsert_files(spark.createDataFrame([("1", 1, "a"), ("2", 1, "b")], schema), path, ["k"], ["seq"], "day")
+    batch = spark.createDataFrame([("1", 2, "a")], schema)
+    stored = spark.read.schema(batch.schema).parquet(path).filter(sinks.touched_partitions(batch, "day"))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert [r.k for r in stored.collect()] == ["1"]
+
+
 def test_landing_replay_overwrites(spark, tmp_path):
     lines = parse.tag_feed(spark.createDataFrame([("a",), ("b",)], "value string"), "log")
     write = sinks.fan_out(
