@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spindlewatch.config import Settings
 from spindlewatch.operators import alerts, cleaner, deviation, features, status, windows
-from spindlewatch.operators.latest import last_value_by_key
 from spindlewatch.streaming import sinks, transforms
 
 Writer = Callable[[DataFrame, int], None]
@@ -97,11 +96,8 @@ def start_realtime_engine(
     )
     start("deviation", deviations, ("realtime_process_deviation", same))
     start(
-        "changes", lambda: status.valid_changes(changes),
-        (
-            "change_record_status",
-            lambda b: last_value_by_key(b, "machine_id", "status", ["start_time", "seq"]),
-        ),
+        "changes", lambda: status.valid_changes(changes).select("machine_id", "status", "start_time", "seq"),
+        ("change_record_status", same),
     )
     start(
         "health",

@@ -177,6 +177,15 @@ def upsert_writer(
     return fan_out(write)
 
 
+def keyed_store_writer(
+    path: str, key: str, order: Sequence[str], buckets: int = 16
+) -> Callable[[DataFrame, int], None]:
+    """Latest row per key, kept as a parquet table of hash buckets (a key-value store's job)."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    write = upsert_writer(path, [key], order, "bucket")
+    return lambda batch, batch_id: write(batch.withColumn("bucket", bucket), batch_id)
+
+
 def merge_statement(table: str, keys: Sequence[str], columns: Sequence[str], source: str) -> str:
     """MERGE for a table format that supports it; the source must be unique by key."""
     on = " AND ".join(f"t.`{k}` = s.`{k}`" for k in keys)

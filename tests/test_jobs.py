@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindlewatch.config import PREFIX, Settings
-from spindlewatch.operators import cleaner
+from spindlewatch.operators import cleaner, latest
 from spindlewatch.plans import jobs
 from spindlewatch.plans.registry import timed
 from spindlewatch.plans.stream_registry import marked
@@ -20,7 +20,7 @@ def stream(spark, small):
     return Feeds(spark, small, streaming=True)
 
 
-def test_realtime_engine(spark, stream):
+def test_realtime_engine(spark, stream, small):
     out = shared_path(spark, "realtime")
     by_key = {"sensor_detail_realtime", "device_log_realtime"}
     writers = {
@@ -30,6 +30,8 @@ def test_realtime_engine(spark, stream):
         for name in jobs.REALTIME_OUTPUTS
         if name != "realtime_status_window"
     }
+    for name, order in (("change_record_status", ["start_time", "seq"]), ("device_health", ["update_time"])):
+        writers[name] = sinks.keyed_store_writer(f"{out}/{name}", "machine_id", order)
     queries = jobs.start_realtime_engine(
         marked(stream.sensor_raw(), "timestamp"), stream.log_raw(), marked(stream.changes(), "start_time"),
         stream.standards(), writers, f"{out}/checkpoints", trigger=ONCE,
@@ -42,8 +44,13 @@ def test_realtime_engine(spark, stream):
     assert rows["realtime_alerts"].count() == rows["alert_topic"].count()
     assert rows["sensor_detail_realtime"].count() == 1000
     assert "insert_time" in rows["realtime_alerts"].columns
-    last = rows["change_record_status"]
-    assert last.count() == last.select("machine_id").distinct().count()
+    for name in ("change_record_status", "device_health"):
+        assert rows[name].count() == rows[name].select("machine_id").distinct().count()
+    want = latest.last_value_by_key(
+        Feeds(spark, small).changes(), "machine_id", "status", ["start_time", "seq"]
+    )
+    got = rows["change_record_status"].select("machine_id", "status")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError, match="no such outputs"):
         jobs.start_realtime_engine(*[stream.sensor_raw()] * 4, {"x": None}, out)
 
