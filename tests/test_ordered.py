@@ -113,7 +113,8 @@ def test_throttle(spark, interval):
     df = spark.createDataFrame(
         rows, "machine_id string, seq long, update_time timestamp, machine_status string, health_score double"
     ).repartition(4)
-    got = {(r.machine_id, r.health_score) for r in status.throttled_health(df, "seq", interval).collect()}
+    out = status.throttled_rows(df, "update_time", "seq", interval)
+    got = {(r.machine_id, r.health_score) for r in out.collect()}
     last, want = {}, set()
     for m, seq, t, _, _ in rows:
         second = int((t - START).total_seconds())
