@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ TIME_MS = "_t_ms"
 CHUNK = 1000
 # rows of one key held in memory before they are put into the store
 HELD_ROWS = 100_000
-BUCKET_MS = 60_000
+BUCKET_MS = 300_000
 _BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
 _PART = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
 _PARTS = T.StructType([T.StructField("parts", T.IntegerType())])
@@ -31,8 +32,8 @@ class OrderedReplay(StatefulProcessor):
     """Buffer, sort and fold. Subclasses give ``step(memory, row) -> (memory, output rows)``;
     ``memory`` is a tuple of ``memory_schema`` or None at the start of a key.
 
-    Waiting rows are kept in the state store by minute, in chunks. Replay loads one minute at a
-    time, so memory use is that of a machine-minute however much a micro-batch brings.
+    Waiting rows are kept in the state store by five minutes, in chunks. Replay loads one such bucket at a
+    time, so memory use is bounded however much a micro-batch brings.
     """
 
     def __init__(self, row_schema: T.StructType, memory_schema: T.StructType, order: str):
@@ -47,9 +48,12 @@ class OrderedReplay(StatefulProcessor):
         self.memory = handle.getValueState("memory", self.memory_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held, count = {}, 0
+        held, count, pick = {}, 0, None
         for row in rows:
-            values = tuple(row[n] for n in self.names)
+            if pick is None:
+                # by position: looking a field up by name searches the row's names each time
+                pick = itemgetter(*[row.__fields__.index(n) for n in self.names])
+            values = pick(tuple(row))
             held.setdefault(values[self.at] // BUCKET_MS, []).append(values)
             count += 1
             if count == HELD_ROWS:
@@ -107,6 +111,9 @@ class OrderedReplay(StatefulProcessor):
     def step(self, memory, row: dict):
         raise NotImplementedError
 
+    def emit(self, values: dict) -> list[Row]:
+        return [Row(*self.output)(*[values[n] for n in self.output])]
+
     def close(self) -> None:
         pass
 
@@ -125,7 +132,7 @@ class LatestPairing(OrderedReplay):
         both = dict(row)
         for name in self.sides[held["side"]]:
             both[name] = held[name]
-        return None, [Row(**{n: both[n] for n in self.output})]
+        return None, self.emit(both)
 
 
 class LatestValue(OrderedReplay):
@@ -141,7 +148,7 @@ class LatestValue(OrderedReplay):
             return tuple(row[v] for v in self.values), []
         found = dict(row)
         found.update(zip(self.values, memory or (None,) * len(self.values), strict=True))
-        return memory, [Row(**{n: found[n] for n in self.output})]
+        return memory, self.emit(found)
 
 
 class HoldAndSpike(OrderedReplay):
@@ -166,7 +173,7 @@ class HoldAndSpike(OrderedReplay):
                 filled.update(zip(self.HELD, memory[1:], strict=True))
         filled["previous_vib_rms"] = previous
         memory = (row["end_ms"], *[filled[c] for c in self.HELD])
-        return memory, [Row(**{n: filled[n] for n in self.output})]
+        return memory, self.emit(filled)
 
 
 class Throttle(OrderedReplay):
@@ -180,7 +187,7 @@ class Throttle(OrderedReplay):
         second = row[TIME_MS] // 1000
         if memory and second - memory[0] < self.interval:
             return memory, []
-        return (second,), [Row(**{n: row[n] for n in self.output})]
+        return (second,), self.emit(row)
 
 
 def run_processor(
