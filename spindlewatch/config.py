@@ -46,7 +46,9 @@ class Settings:
     feature_topic: str = "Feature_log"
     output_base_path: str = ""
     # rows of one machine that one task may have to order; see operators/segments.py
-    segment_span: int = 500_000
+    segment_span: int = 2_000_000
+    # rows of the whole table per segment of the lateness filter
+    arrival_span: int = 250_000
 
     @classmethod
     def from_spark(cls, spark: SparkSession) -> Settings:

@@ -118,7 +118,7 @@ def _pending_carry(events: DataFrame, order: str) -> DataFrame:
 
 
 def pair_latest(
-    state: DataFrame, metrics: DataFrame, order: str = "seq", span: int = 500_000
+    state: DataFrame, metrics: DataFrame, order: str = "seq", span: int = 2_000_000
 ) -> DataFrame:
     """Consume-once pairing per machine: a record meets the newest unmatched one of the other side;
     a newer record replaces an unmatched one of its own side.
@@ -128,10 +128,11 @@ def pair_latest(
     if there is no such run. A pair then forms at each run start that finds a record waiting.
     Segments of the sequence are handled apart; the record a segment inherits is prepended to it.
     """
-    events = segments.with_segment(merged_feed(state, metrics, order), order, span)
-    carry = _pending_carry(events, order)
+    events = segments.with_segment(merged_feed(state, metrics, order), ["machineId"], order, span)
+    hot = events.filter(segments.HOT)
+    carry = _pending_carry(hot, order)
     inherited = (
-        events.drop(segments.SEGMENT)
+        hot.drop(segments.SEGMENT)
         .join(carry, ["machineId", order])
         .withColumnRenamed("_to", segments.SEGMENT)
     )
@@ -202,7 +203,7 @@ def feature_records(
     features: DataFrame,
     order: str,
     time_of: str,
-    span: int = 500_000,
+    span: int = 2_000_000,
 ) -> DataFrame:
     """Pairs, translated and enriched; ``time_of`` is the event-time column of both feeds. A pair's
     time is that of its later record."""
@@ -218,7 +219,7 @@ def feature_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*FEATURE_RECORD)).alias("value"))
 
 
-def trailing_ten(metrics: DataFrame, order: str = "seq", span: int = 500_000) -> DataFrame:
+def trailing_ten(metrics: DataFrame, order: str = "seq", span: int = 2_000_000) -> DataFrame:
     """Means over the last ten records per machine, to one decimal."""
     names = {"avg_spindle_load_10": "spindle_load", "avg_cutting_time_10": "cutting_time"}
     bare = metrics.drop(*names)
@@ -229,6 +230,6 @@ def trailing_ten(metrics: DataFrame, order: str = "seq", span: int = 500_000) ->
 
 
 def running_totals(
-    records: DataFrame, sums: dict, order: str = "seq", span: int = 500_000
+    records: DataFrame, sums: dict, order: str = "seq", span: int = 2_000_000
 ) -> DataFrame:
     return segments.running_sums(records, ["machineId"], order, sums, span)

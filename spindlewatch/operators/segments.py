@@ -1,11 +1,12 @@
 """Ordered computations per machine without one task per machine.
 
-A machine may own a third of all rows, so nothing here sorts a whole machine in one task. Rows are
-cut into segments of the arrival sequence: ``segment = seq div span``. The sequence is unique within
-a machine, hence a (machine, segment) group has at most ``span`` rows whatever the skew. Each
-segment is computed on its own; what it needs from the rows before it (a running total, the last
-few rows) comes from one small summary per segment, scanned per machine. Results do not depend on
-``span``. Everything is a plain lazy plan: no sampling, no materialised intermediate.
+A machine may own a third of all rows, so nothing here sorts more than ``span`` rows of a machine in
+one task. A machine with more rows is hot: its arrival sequence is cut into segments
+``seq div span``. The sequence is unique within a machine, hence no (machine, segment) group exceeds
+``span`` rows. Each segment is computed on its own; what it needs from the rows before it (a running
+total, the last few rows) comes from one small summary per segment of the hot machines, scanned per
+machine. Other machines are one segment and need no summary. Results do not depend on ``span``.
+Everything is a plain lazy plan: no sampling, no materialised intermediate.
 """
 
 from __future__ import annotations
@@ -18,10 +19,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
+HOT = "_hot"
 
 
-def with_segment(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn(SEGMENT, F.floor(F.col(order) / F.lit(span)).cast("bigint"))
+def with_segment(df: DataFrame, keys: Sequence[str], order: str, span: int) -> DataFrame:
+    """Add ``SEGMENT``, and ``HOT`` (true or null) for keys with more than ``span`` rows.
+
+    There are at most (rows / span) hot keys, which bounds what is broadcast: with the default span
+    a trillion rows give no more than 500,000 keys.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > span)
+    hot = F.broadcast(counts.select(*keys, F.lit(True).alias(HOT)))
+    return df.join(hot, list(keys), "left").withColumn(
+        SEGMENT, F.when(F.col(HOT), _segment_of(order, span)).otherwise(0)
+    )
+
+
+def _segment_of(order: str, span: int) -> Column:
+    return F.floor(F.col(order) / F.lit(span)).cast("bigint")
 
 
 def segment_window(keys: Sequence[str], order: str):
@@ -32,12 +47,13 @@ def running_sums(
     df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], span: int
 ) -> DataFrame:
     """Add inclusive running sums ``{name: column}`` per key in ``order``."""
-    seg = with_segment(df, order, span)
+    seg = with_segment(df, keys, order, span)
     for name, column in sums.items():
         seg = seg.withColumn(f"_in_{name}", column)
     before = W.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        seg.groupBy(*keys, SEGMENT)
+        seg.filter(HOT)
+        .groupBy(*keys, SEGMENT)
         .agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums])
         .select(*keys, SEGMENT, *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in sums])
     )
@@ -57,7 +73,7 @@ def preceding_rows(
 ) -> DataFrame:
     """For every segment, copies of the ``n`` rows before its first row (all of them, if fewer).
 
-    ``df`` carries ``SEGMENT`` already. Only the last ``n`` rows of each segment are looked at: the
+    ``df`` carries ``SEGMENT`` already and holds hot keys only. Only the last ``n`` rows of each segment are looked at: the
     rank limit is applied before the shuffle, so few rows move.
     """
     back = W.partitionBy(*keys, SEGMENT).orderBy(F.desc(order))
@@ -86,9 +102,9 @@ def trailing_means(
     span: int,
 ) -> DataFrame:
     """Add means ``{name: column}`` over the current and the ``rows - 1`` rows before it."""
-    seg = with_segment(df, order, span)
+    seg = with_segment(df, keys, order, span)
     columns = list(dict.fromkeys(means.values()))
-    halo = preceding_rows(seg, keys, order, columns, rows - 1)
+    halo = preceding_rows(seg.filter(HOT), keys, order, columns, rows - 1)
     both = seg.withColumn("_own", F.lit(True)).unionByName(
         halo.withColumn("_own", F.lit(False)), allowMissingColumns=True
     )
@@ -100,7 +116,7 @@ def trailing_means(
 
 def running_max_before(df: DataFrame, order: str, column: str, name: str, span: int) -> DataFrame:
     """Add the maximum of ``column`` over all rows before the current one, over the whole table."""
-    seg = with_segment(df, order, span)
+    seg = df.withColumn(SEGMENT, _segment_of(order, span))
     before = W.orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
     # one row per segment of the whole table is all that meets in a single task here
     carry = (

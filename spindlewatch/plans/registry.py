@@ -297,7 +297,7 @@ def latest_windows(feeds: Feeds) -> DataFrame:
 def late_filter(feeds: Feeds) -> DataFrame:
     s = settings(feeds)
     return windows.drop_late(
-        feeds.arrivals(), "event_time", "seq", s.max_allowed_lateness_seconds, s.segment_span
+        feeds.arrivals(), "event_time", "seq", s.max_allowed_lateness_seconds, s.arrival_span
     )
 
 
