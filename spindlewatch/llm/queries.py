@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import byte_bpe, chat_format, html_extract, langid, pii
+from spindlewatch.llm import byte_bpe, chat_format, html_extract, langid, packing, pii
 from spindlewatch.llm.common import table
 
 
@@ -17,6 +17,12 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, folder, "pages"))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into windows of 2048 ids."""
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted, then read back from text and mask."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +78,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op4_packing": op4_packing,
     "op6_chat": op6_chat,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_pii": op9_pii,
