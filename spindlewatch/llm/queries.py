@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import byte_bpe, chat_format, html_extract, langid, packing, pii
+from spindlewatch.llm import byte_bpe, chat_format, html_extract, langid, packing, pii, training_order
 from spindlewatch.llm.common import table
+from spindlewatch.session import shared_path
 
 
 def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +48,23 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as sequences in training order, read back from the shards."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    target = shared_path(spark, "training-order")
+    training_order.write_shards(table(spark, folder, "documents"), target, path, public_tokenizers.PATTERN, seed=20240229)
+    rows = training_order.read_shards(spark, target)
+
+    @F.pandas_udf("bigint")
+    def crc(ids):
+        return ids.map(lambda i: zlib.crc32(i.astype("<u4").tobytes()))
+
+    return rows.select(
+        F.col("key").alias("doc_id"), F.col("number").cast("bigint").alias("number"), "slot", "shard",
+        F.size("ids").cast("bigint").alias("n_ids"), crc("ids").alias("ids_crc32"),
+    )
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts of the base kinds, digest of their spans, all spans."""
     found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
@@ -81,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_chat": op6_chat,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_training_order": op8_training_order,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
