@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,30 @@ def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 def hash_share(column: str, parts: int):
     """A stable bucket number of a key: 0 .. parts - 1."""
     return F.pmod(F.xxhash64(column), F.lit(parts))
+
+
+def sorted_groups(frames, key: str):
+    """Runs of rows with equal ``key`` from pandas frames sorted by it, as lists of whole groups in one frame.
+
+    Yields (frame, starts): group i is rows starts[i] : starts[i + 1]. A group may reach over several frames, so what
+    is held at once is one input frame and one group.
+    """
+    kept: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        keys = frame[key].to_numpy()
+        last = int(np.searchsorted(keys, keys[-1], side="left")) if keys[0] != keys[-1] else 0
+        if last == 0 and (not kept or kept[-1][key].iloc[-1] == keys[0]):
+            kept.append(frame)
+            continue
+        whole = pd.concat([*kept, frame.iloc[:last]], ignore_index=True) if last else pd.concat(kept, ignore_index=True)
+        kept = [frame.iloc[last:]]
+        yield whole, _starts(whole[key].to_numpy())
+    if kept:
+        whole = pd.concat(kept, ignore_index=True)
+        yield whole, _starts(whole[key].to_numpy())
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])

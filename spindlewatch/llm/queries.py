@@ -9,7 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import byte_bpe, chat_format, html_extract, langid, packing, pii, training_order
+from spindlewatch.llm import (
+    byte_bpe,
+    chat_format,
+    embedding_dedup,
+    html_extract,
+    langid,
+    packing,
+    pii,
+    training_order,
+)
 from spindlewatch.llm.common import table
 from spindlewatch.session import shared_path
 
@@ -25,6 +34,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of equal label."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted, then read back from text and mask."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -98,6 +112,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat": op6_chat,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_training_order": op8_training_order,
