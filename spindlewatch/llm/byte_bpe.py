@@ -10,7 +10,6 @@ table gives an empty table; input columns other than the text are kept, also if
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -19,15 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindlewatch.llm.common import per_worker
+
 #: A single space between two characters that are not white space. Only matches made of white space, or ones
 #: that begin with the space, hold a space, so none of the pattern's matches reaches over this place.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 PIECE_CHARS = 1 << 16
 
 
-@functools.lru_cache(maxsize=4)
 def encoding(path: str, pattern: str):
     """The tiktoken encoding of a rank file, once per Python worker."""
+    return per_worker(("tiktoken", path, pattern), lambda: _load(path, pattern))
+
+
+def _load(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as lines:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_worker(name: tuple, make: Callable):
+    """What ``make()`` gives, once in each Python process.
+
+    Functions travel to workers by value, and with each task anew, so a module's own variables do not last there.
+    """
+    store = sys.__dict__.setdefault("_spindlewatch_worker", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def fresh(prefix: str) -> str:
     """A column name no input has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

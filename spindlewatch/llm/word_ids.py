@@ -7,21 +7,34 @@ This holds for vocabularies whose pre-tokenizer never joins characters across wh
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from itertools import repeat
 
 import numpy as np
 
+from spindlewatch.llm.common import per_worker
+
 #: Chunks a worker remembers; beyond, it forgets all but the first, which hold the frequent ones.
 CACHE_CHUNKS, KEPT_CHUNKS = 500_000, 300_000
 BLOCK_CHARS = 1 << 21
 #: Separators that ``str.split`` knows and the tokenizer's ``\s`` does not.
 ODD = re.compile("[\x1c-\x1f]")
+#: A character that is a token of its own between two spaces.
+SEPARATOR = "\0"
 PLAIN = re.compile(r"[ \t\n\r\f\v]+")
 
 
+def _chunks(text: str) -> list[str]:
+    """``text`` at white space; in lower case, as the tokenizer has it, where all characters are in the Latin-1 range."""
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return PLAIN.split(text) if ODD.search(text) else text.split()
+
+
 class WordCoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,24 +42,36 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)  # of chunk i: ids[ends[i] : ends[i + 1]]
 
     def _learn(self, chunks: list[str]) -> None:
-        for begin in range(0, len(chunks), 4096):
-            some = chunks[begin : begin + 4096]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = found.ids
-                i = len(self.number)
-                end = int(self.ends[i]) + len(ids)
-                if i + 2 > len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                while end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.ends[i] : end] = ids
-                self.number[chunk] = i
-                self.ends[i + 1] = end
+        """Encode new chunks, many in one call: a separator that none of them holds stands between them."""
+        plain = [c for c in chunks if SEPARATOR not in c]
+        for begin in range(0, len(plain), 4096):
+            some = plain[begin : begin + 4096]
+            found = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join([*some, ""])], add_special_tokens=False)[0].ids
+            ids = np.fromiter(found, np.uint32, len(found))
+            stops = np.flatnonzero(ids == self.separator)
+            self._store(some, ids[ids != self.separator], np.diff(stops, prepend=-1) - 1)
+        for chunk in chunks:
+            if SEPARATOR in chunk:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
+                self._store([chunk], ids, np.array([len(ids)]))
+
+    def _store(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.number)
+        begin = int(self.ends[first])
+        ends = begin + np.cumsum(sizes)
+        while first + len(chunks) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[begin : ends[-1]] = ids
+        self.ends[first + 1 : first + 1 + len(chunks)] = ends
+        self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each chunk)."""
@@ -89,7 +114,7 @@ class WordCoder:
             if len(text) > BLOCK_CHARS:
                 out.append(self._long(text))
                 continue
-            chunks = PLAIN.split(text) if ODD.search(text) else text.split()
+            chunks = _chunks(text)
             words.extend(chunks)
             counts.append(len(chunks))
             size += len(text)
@@ -107,12 +132,11 @@ class WordCoder:
             elif end < len(text):
                 end = len(text)
             part = text[begin:end]
-            parts.append(self._chunk_ids(PLAIN.split(part) if ODD.search(part) else part.split())[0])
+            parts.append(self._chunk_ids(_chunks(part))[0])
             begin = end
         return np.concatenate(parts)
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
     """The coder of a file, once per Python worker."""
-    return WordCoder(path)
+    return per_worker(("words", path), lambda: WordCoder(path))
