@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -68,14 +67,9 @@ def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
     target = shared_path(spark, "training-order")
     training_order.write_shards(table(spark, folder, "documents"), target, path, public_tokenizers.PATTERN, seed=20240229)
     rows = training_order.read_shards(spark, target)
-
-    @F.pandas_udf("bigint")
-    def crc(ids):
-        return ids.map(lambda i: zlib.crc32(i.astype("<u4").tobytes()))
-
     return rows.select(
-        F.col("key").alias("doc_id"), F.col("number").cast("bigint").alias("number"), "slot", "shard",
-        F.size("ids").cast("bigint").alias("n_ids"), crc("ids").alias("ids_crc32"),
+        F.col("key").alias("doc_id"), F.col("number").cast("bigint").alias("number"), "position", "shard",
+        F.col("n_ids").cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
     )
 
 

@@ -1,38 +1,42 @@
 """Training-order materialisation: token sequences in a keyed pseudo-random order, as fixed-stride binary shards.
 
-Method: a first pass counts the sequences of every input partition; their running sum numbers all sequences densely.
-A keyed Feistel network over the next power of four, with cycle-walking, permutes the numbers: that is a sequence's
-global slot. The second pass encodes again, computes slots and sends each record to the partition of its slot range,
-where shards are written in slot order. So nothing but the records is shuffled, once, and no order is ever collected.
+Method: a text of n bytes has at most n ids, which bounds how many sequences it makes. The running sum of these bounds
+gives every sequence a number of its own before anything is encoded. A keyed Feistel network over the next power of
+four, with cycle-walking, permutes the numbers: that is the sequence's global slot. One pass encodes and sends each record to the
+partition of its slot range, where shards are written in slot order. So texts are encoded once, nothing but the
+records is shuffled, once, and no order is ever collected. As the bound is rarely met, slots have gaps;
+a sequence's position is the number of sequences in slots before its own, without gaps.
 
 A record has a fixed size: key (int64, least value for null), number within its document (int32), ids held (int32), and
-``length`` ids of 2 or 4 bytes, the last ones padding, then a line feed. Slot s lies in shard s // shard_rows, at byte
-(s % shard_rows) * stride. Shard folders are called ``shard=<number>``; ``manifest`` says everything a reader needs.
+``length`` ids of 2 or 4 bytes, the last ones padding, then a line feed. Shard k holds the records of slots
+k * shard_slots and up, in folder ``shard=<k>``; ``index`` has each shard's records and its first position; the record at
+a position lies (position - first) * stride bytes into its shard. ``manifest`` says everything else a reader needs.
 
 Defined results: a null text counts as empty and has one sequence, holding just the end id; repeated rows are
 separate sequences; an empty table gives a manifest without shards; columns other than key and text are dropped.
-The input must give the same rows in the same partitions when computed twice, as tables do; a digest of the keys is
-compared and the write fails otherwise.
+The input must give the same rows in the same partitions when computed twice, as tables do; counts are compared and
+the write fails otherwise.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindlewatch.llm.byte_bpe import encode, encoding
 
 LENGTH = 512
-SHARD_ROWS = 2048
+SHARD_SLOTS = 8192
 ROUNDS = 6
 NULL_KEY = -(1 << 63)
-HEADER = np.dtype([("key", "<i8"), ("number", "<i4"), ("n_ids", "<i4")])
+HEADER = [("key", "<i8"), ("number", "<i4"), ("n_ids", "<i4")]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,109 +70,132 @@ def permuted(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
     return out.astype(np.int64)
 
 
-def _windows(ids: list[int], length: int, end_id: int) -> list[list[int]]:
-    ids = [*ids, end_id]
-    return [ids[i : i + length] for i in range(0, len(ids), length)]
-
-
-def _digest(seen: int, keys: pd.Series) -> int:
-    return zlib.crc32(pd.util.hash_array(keys.fillna(NULL_KEY).to_numpy(np.int64)).tobytes(), seen)
-
-
 def write_shards(
     docs: DataFrame, folder: str, path: str, pattern: str, seed: int, key: str = "doc_id", text: str = "text",
-    length: int = LENGTH, shard_rows: int = SHARD_ROWS, end_id: int | None = None, pad_id: int = 0,
+    length: int = LENGTH, shard_slots: int = SHARD_SLOTS, end_id: int | None = None, pad_id: int = 0,
 ) -> dict:
-    """Write the shards and the manifest of ``docs`` below ``folder``; returns the manifest. ``end_id`` defaults to the vocabulary's size."""
+    """Write shards, index and manifest of ``docs`` below ``folder``; returns the manifest. ``end_id`` defaults to the vocabulary's size."""
     spark = docs.sparkSession
     end = encoding(path, pattern).n_vocab if end_id is None else end_id
     width = 2 if end < 1 << 16 else 4
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-
-    def count(frames):
-        enc = encoding(path, pattern)
-        total = seen = 0
-        for frame in frames:
-            total += sum(-(-(len(encode(enc, t or "")) + 1) // length) for t in frame["text"])
-            seen = _digest(seen, frame["key"])
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [total], "digest": [seen]})
-
+    rows = docs.select(
+        F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)).alias("key"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("most", F.expr(f"(octet_length(text) + {length}) div {length}"))
     # one row for each input partition
-    counted = sorted(map(tuple, rows.mapInPandas(count, "part int, n bigint, digest bigint").collect()))
-    first = dict(zip((p for p, _, _ in counted), np.cumsum([0] + [n for _, n, _ in counted]).tolist(), strict=False))
-    digest = {p: d for p, _, d in counted}
+    counted = sorted(
+        map(tuple, rows.groupBy(F.spark_partition_id()).agg(F.sum("most"), F.count(F.lit(1))).collect())
+    )
     total = sum(n for _, n, _ in counted)
+    first = dict(zip((p for p, _, _ in counted), np.cumsum([0] + [n for _, n, _ in counted]).tolist(), strict=False))
+    seen = {p: (n, r) for p, n, r in counted}
+    record = np.dtype([*HEADER, ("ids", f"<u{width}", length)])
     manifest = {
-        "sequences": total, "length": length, "id_bytes": width, "shard_rows": shard_rows, "seed": seed, "end_id": end,
-        "pad_id": pad_id, "stride": HEADER.itemsize + width * length + 1, "shards": -(-total // shard_rows),
+        "slots": total, "length": length, "id_bytes": width, "shard_slots": shard_slots, "seed": seed, "end_id": end,
+        "pad_id": pad_id, "stride": record.itemsize + 1, "shards": -(-total // shard_slots),
     }
-    parts = max(1, min(manifest["shards"], int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def place(frames):
+    def place(batches):
         enc = encoding(path, pattern)
         part = TaskContext.get().partitionId()
-        at, seen = first[part], 0
-        for frame in frames:
-            keys, found = frame["key"].fillna(NULL_KEY).astype("int64"), []
-            for name, t in zip(keys, frame["text"], strict=True):
-                found += [(name, k, w) for k, w in enumerate(_windows(encode(enc, t or ""), length, end))]
-            slots = permuted(np.arange(at, at + len(found)), total, seed)
-            at += len(found)
-            block = np.full((len(found), length), pad_id, dtype=f"<u{width}")
-            for i, (_, _, window) in enumerate(found):
-                block[i, : len(window)] = window
-            heads = np.array([(name, k, len(w)) for name, k, w in found], dtype=HEADER)
-            records = [h.tobytes() + b.tobytes() for h, b in zip(heads, block, strict=True)]
-            yield pd.DataFrame({"slot": slots, "record": records})
-            seen = _digest(seen, frame["key"])
-        if seen != digest[part]:
+        bound, n_rows = 0, 0
+        for batch in batches:
+            frame = batch.to_pydict()
+            ids = [np.asarray([*encode(enc, t), end], dtype=f"<u{width}") for t in frame["text"]]
+            windows = np.array([-(-len(i) // length) for i in ids])
+            most = np.array(frame["most"])
+            firsts = np.cumsum(windows) - windows
+            block = np.full(int(windows.sum()) * length, pad_id, dtype=f"<u{width}")
+            for at, found in zip(firsts * length, ids, strict=True):
+                block[at : at + len(found)] = found
+            out = np.zeros(int(windows.sum()), record)
+            out["key"] = np.repeat(frame["key"], windows)
+            out["number"] = np.arange(len(out)) - np.repeat(firsts, windows)
+            sizes = np.repeat([len(i) for i in ids], windows)
+            out["n_ids"] = np.minimum(length, sizes - out["number"] * length)
+            out["ids"] = block.reshape(-1, length)
+            starts = first[part] + bound + np.cumsum(most) - most
+            slots = permuted(np.repeat(starts, windows) + out["number"], total, seed)
+            bound, n_rows = bound + int(most.sum()), n_rows + len(most)
+            offsets = np.arange(len(out) + 1, dtype=np.int32) * record.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), data], ["slot", "record"])
+        if seen.get(part, (0, 0)) != (bound, n_rows):
             raise RuntimeError("the input gave other rows when it was computed again; write it to a table first")
 
-    placed = rows.mapInPandas(place, "slot bigint, record binary").selectExpr("*", f"slot div {shard_rows} AS shard")
+    parts = max(1, min(manifest["shards"], int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed = rows.mapInArrow(place, "slot bigint, record binary").selectExpr("*", f"slot div {shard_slots} AS shard")
     share = F.expr(f"int(shard * {parts} div {max(1, manifest['shards'])})")
     (
         placed.repartitionById(parts, share).sortWithinPartitions("shard", "slot")
         .select(F.col("record").cast("string").alias("value"), "shard")
         .write.partitionBy("shard").text(f"{folder}/shards")
     )
+    _write_index(spark, folder, manifest)
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
     return manifest
 
 
+INDEX = "shard bigint, records bigint, first bigint"
+#: Shards whose first positions are summed up in one task.
+INDEX_ROWS = 4096
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{folder}/shards").withColumn("shard", F.col("shard").cast("bigint"))
+
+
+def _write_index(spark: SparkSession, folder: str, manifest: dict) -> None:
+    """Records and first position of each shard, from the lengths of the files alone."""
+    if not manifest["shards"]:
+        spark.createDataFrame([], INDEX).write.parquet(f"{folder}/index")
+        return
+    sizes = _files(spark, folder).groupBy("shard").agg(F.sum("length").alias("bytes")).select(
+        "shard", F.expr(f"bytes div {manifest['stride']}").alias("records"), F.expr(f"shard div {INDEX_ROWS}").alias("block")
+    )
+    blocks = sorted(map(tuple, sizes.groupBy("block").agg(F.sum("records")).collect()))
+    firsts = np.cumsum([0] + [n for _, n in blocks]).tolist()
+    bases = spark.createDataFrame([(b, f) for (b, _), f in zip(blocks, firsts, strict=False)], "block bigint, base bigint")
+    before = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("inner", F.coalesce(F.sum("records").over(before), F.lit(0)))
+    sizes.join(bases, "block").selectExpr("shard", "records", "base + inner AS first").write.parquet(f"{folder}/index")
+
+
 def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
 
 
 def read_shards(spark: SparkSession, folder: str, begin: int = 0, end: int | None = None) -> DataFrame:
-    """Sequences of slots begin .. end - 1: slot, shard, key, number, ids. Only shards of that range are opened.
+    """Sequences at positions begin .. end - 1: position, shard, key, number, n_ids, ids (4 bytes each, no padding).
 
-    To resume after slot s, begin at s + 1.
+    Only shards that hold such positions are opened. To resume after a position, begin at the next.
     """
     about = read_manifest(spark, folder)
-    last = about["sequences"] if end is None else min(end, about["sequences"])
-    schema = "slot bigint, shard bigint, key bigint, number int, ids array<int>"
-    if begin >= last:
-        return spark.range(0).selectExpr("id AS slot", "id AS shard", "id AS key", "int(id) AS number", "array(int(id)) AS ids")
-    rows, stride, width = about["shard_rows"], about["stride"], about["id_bytes"]
-    record = np.dtype([*HEADER.descr, ("ids", f"<u{width}", about["length"]), ("line", "u1")])
-    files = (
-        spark.read.format("binaryFile").load(f"{folder}/shards").filter(F.col("shard").between(begin // rows, (last - 1) // rows))
-        .select("shard", "content")
-    )
+    last = (1 << 62) if end is None else end
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index").filter((F.col("first") < last) & (F.col("first") + F.col("records") > begin))
+    low, high = index.agg(F.min("shard"), F.max("shard")).first()
+    schema = "position bigint, shard bigint, key bigint, number int, n_ids int, ids binary"
+    if low is None:
+        return spark.createDataFrame([], schema)
+    stride, record = about["stride"], np.dtype([*HEADER, ("ids", f"<u{about['id_bytes']}", about["length"]), ("line", "u1")])
+    files = _files(spark, folder).filter(F.col("shard").between(low, high)).select("shard", "content").join(index, "shard")
 
     def run(frames):
         for frame in frames:
-            for shard, content in zip(frame["shard"], frame["content"], strict=True):
+            for shard, content, first in zip(frame["shard"], frame["content"], frame["first"], strict=True):
                 if len(content) % stride:
                     raise ValueError(f"shard {shard} is not a whole number of records")
                 found = np.frombuffer(content, record)
-                slots = shard * rows + np.arange(len(found))
-                keep = (slots >= begin) & (slots < last)
-                found, slots = found[keep], slots[keep]
+                position = first + np.arange(len(found))
+                keep = (position >= begin) & (position < last)
+                found, position = found[keep], position[keep]
+                key = pd.array(found["key"], dtype="Int64")
+                key[found["key"] == NULL_KEY] = pd.NA
+                ids = found["ids"].astype("<u4")
                 yield pd.DataFrame(
                     {
-                        "slot": slots, "shard": shard, "key": pd.array([None if k == NULL_KEY else k for k in found["key"].tolist()], dtype="Int64"),
-                        "number": found["number"], "ids": [r["ids"][: r["n_ids"]].astype(np.int32) for r in found],
+                        "position": position, "shard": shard, "key": key, "number": found["number"], "n_ids": found["n_ids"],
+                        "ids": [i[:n].tobytes() for i, n in zip(ids, found["n_ids"].tolist(), strict=True)],
                     }
                 )
 
