@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindlewatch.llm import (
+    bagminhash,
     byte_bpe,
     chat_format,
     embedding_dedup,
     html_extract,
     langid,
+    nn_descent,
     packing,
     pii,
     training_order,
@@ -27,6 +29,16 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, folder, "pages"))
 
 
+def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest other vectors of each vector whose id is divisible by 50."""
+    return nn_descent.nearest(table(spark, folder, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return bagminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into windows of 2048 ids."""
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -105,6 +117,8 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_nearest": op2_nearest,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat": op6_chat,
