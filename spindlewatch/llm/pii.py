@@ -90,7 +90,7 @@ def _mod97(value: Column) -> Column:
         letter = code >= F.lit(65)
         return (rest * F.when(letter, 100).otherwise(10) + code - F.when(letter, 55).otherwise(48)) % 97
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
+    return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
 
 
 def _confirmed(kind: str, value: Column) -> Column:
@@ -109,7 +109,7 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start: int, end: int, kind_order: int, kind: string, value: string, score: double>>"
+SPAN = "array<struct<start: int, kind_order: int, end: int, kind: string, value: string, score: double>>"
 
 
 def _spans(kind: Kind, order: int, text: Column) -> Column:
@@ -131,7 +131,7 @@ def _spans(kind: Kind, order: int, text: Column) -> Column:
         near = F.lower(F.substr(text, begin + 1, s["end"] - begin + AFTER))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.rlike(near, F.lit(rf"\b(?:{kind.words})")), 0.3).otherwise(0.0))
         return F.struct(
-            start.alias("start"), s["end"].alias("end"), F.lit(order).alias("kind_order"), F.lit(kind.name).alias("kind"),
+            start.alias("start"), F.lit(order).alias("kind_order"), s["end"].alias("end"), F.lit(kind.name).alias("kind"),
             s["value"].alias("value"), score.alias("score"),
         )
 
