@@ -58,7 +58,7 @@ def _blocks(text: str):
 
 
 def subwords(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, position of its first byte) of every subword of lower-cased UTF-8 bytes.
+    """(bucket, position of its first letter byte) of every subword of lower-cased UTF-8 bytes.
 
     Bytes that are neither ASCII letters nor part of a longer character count as gaps; a gap byte reads as 32,
     so that the n-grams at a word's ends show them. No n-gram reaches over a gap.
@@ -87,7 +87,7 @@ def subwords(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         buckets.append((h >> np.uint32(17)).astype(np.int32))
-        places.append(at - 1)
+        places.append(at - 1 + gap[at])
     return np.concatenate(buckets), np.concatenate(places)
 
 
@@ -123,9 +123,7 @@ class Model:
         data = [t.lower().encode("utf-8", "replace") for t in texts]
         starts = np.cumsum([0] + [len(d) + 1 for d in data])
         buckets, places = subwords(b" ".join(data))
-        # histogram by text: one sparse row of bucket counts each, then one product with the table
-        owner = np.searchsorted(starts, np.maximum(places, 0), side="right") - 1
-        owner = np.clip(owner, 0, len(texts) - 1)
+        owner = np.searchsorted(starts, places, side="right") - 1
         counts[first : first + len(texts)] += np.bincount(owner, minlength=len(texts))
         for k in range(len(self.languages)):
             sums[first : first + len(texts), k] += np.bincount(
