@@ -193,7 +193,8 @@ def candidate_groups(found: DataFrame, threshold: float = THRESHOLD) -> DataFram
         bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", _chunks("n").alias("chunks")),
         "minhash-buckets",
     )
-    rows = found.select("c", "signature", F.explode("bands").alias("band")).join(shared, "band")
+    # joined by sorting, whatever their size: both sides grow with the documents
+    rows = bands.join(shared.hint("merge"), "band").join(found.select("c", "signature").hint("merge"), "c")
     least = threshold - MARGIN
 
     def compare(frames):
@@ -227,7 +228,7 @@ def verified_links(
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select("group", _chunks("n").alias("chunks"))
     wanted = written(groups.join(sizes, "group").join(found.select("c", "rep"), "c"), "minhash-wanted")
     texts = docs.select(text_class(text).alias("c"), F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
-    rows = texts.join(wanted, ["c", "rep"]).select("c", "text", "group", "chunks")
+    rows = texts.join(wanted.hint("merge"), ["c", "rep"]).select("c", "text", "group", "chunks")
 
     def verify(frames):
         for frame, starts in sorted_groups(frames, "block"):
