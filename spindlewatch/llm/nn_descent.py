@@ -29,14 +29,14 @@ from pyspark.sql.window import Window
 from spindlewatch.llm.common import sorted_groups, written
 from spindlewatch.llm.embedding_dedup import usable
 
-DEGREE = 24
-ORDERS = 4
-BLOCK = 256
-ROUNDS = 6
+DEGREE = 32
+ORDERS = 8
+BLOCK = 1024
+ROUNDS = 4
 #: Share of list entries that changed, below which no further round is made.
 SETTLED = 0.02
-BEAM = 96
-EXPANDED = 24
+BEAM = 128
+EXPANDED = 32
 SEED = 5
 
 
