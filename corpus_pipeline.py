@@ -1,24 +1,43 @@
-"""Corpus pipeline: language identification, near-duplicate removal, redaction of personal data, packing."""
+"""Corpus pipeline: language identification, near-duplicate removal, redaction of personal data, packing.
+
+A null id, text or language never ends a run: texts without a letter go with the rejected languages, documents without an
+id cannot be named as copies and stay; everything else is as the operators say.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spindlewatch.llm import langid, pii
-from spindlewatch.llm.common import table, written
+from spindlewatch.llm import bagminhash, langid, packing, pii
+from spindlewatch.llm.common import prepare, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; rejected ones go."""
+    """Documents whose language is recognised; rejected ones go. Learnt from the documents' own labels."""
+    prepare(spark)
     return langid.keep_identified(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one of the smallest id."""
+    prepare(spark)
+    return bagminhash.keep_one(docs)
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data replaced by its kind, and n_chars brought up to date."""
     return pii.redact_documents(docs)
 
 
-STAGES = [("language", language), ("private", private)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences of 2048 ids."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("private", private), ("pack", pack)]
+#: Trained models, signatures and tokenizers are beyond SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 

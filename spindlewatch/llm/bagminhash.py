@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindlewatch.llm.common import sorted_groups, written
 from spindlewatch.llm.components import components
@@ -250,8 +251,8 @@ def verified_links(
     return blocks.mapInPandas(verify, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, class_id (smallest key of equal texts), component_id (smallest key reachable over links), kept."""
+def _labelled(docs: DataFrame, threshold: float, key: str, text: str) -> DataFrame:
+    """Per document: key, c, rep (smallest key of equal texts), first (smallest key of the component)."""
     found = written(classes(docs, key, text), "minhash-classes")
     groups = written(candidate_groups(found, threshold), "minhash-groups")
     linked = components(verified_links(docs, found, groups, threshold, key, text))
@@ -260,7 +261,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     first = known.groupBy("component").agg(F.min("rep").alias("first"))
     named = written(known.join(first, "component").select("c", "rep", "first"), "minhash-named")
     rows = docs.select(F.col(key).alias("key"), text_class(text).alias("c")).join(named, "c", "left")
-    return rows.select(
-        F.col("key").alias(key), F.coalesce("rep", "key").alias("class_id"), F.coalesce("first", "key").alias("component_id"),
-        F.col("key").eqNullSafe(F.coalesce("first", "key")).alias("kept"),
+    return rows.select("key", "c", F.coalesce("rep", "key").alias("rep"), F.coalesce("first", "key").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: key, class_id (smallest key of equal texts), component_id (smallest key reachable over links), kept."""
+    return _labelled(docs, threshold, key, text).select(
+        F.col("key").alias(key), F.col("rep").alias("class_id"), F.col("first").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("first")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each near-duplicate group keeps the one of the smallest key; all their columns.
+
+    Of rows with equal key and text one stays. Rows without a key cannot be named, and stay.
+    """
+    labelled = _labelled(docs, threshold, key, text).filter("key IS NOT NULL AND key = first")
+    kept = labelled.select(F.col("key").alias("__key"), F.coalesce("c", F.lit(0)).alias("__c")).distinct()
+    own = docs.filter(F.col(key).isNotNull()).withColumns({"__key": F.col(key), "__c": F.coalesce(text_class(text), F.lit(0))})
+    # joined by sorting, whatever the size, and numbered within the same partitions
+    rows = own.join(kept.hint("merge"), ["__key", "__c"])
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__c").orderBy("__key")))
+    return rows.filter("__n = 1").select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
