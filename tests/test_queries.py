@@ -23,7 +23,11 @@ def duck(small):
     return con
 
 
-@pytest.mark.parametrize("name", [q for q in entry.queries() if q not in COVERED])
+# those of subpackage llm have tests of their own
+OWN = {**batch_queries(), **stream_queries()}
+
+
+@pytest.mark.parametrize("name", [q for q in OWN if q not in COVERED])
 def test_query_matches_check(spark, small, duck, name):
     df = entry.queries()[name](spark, small)
     got = rows_of(df.columns, df.collect())
@@ -39,7 +43,7 @@ def test_query_matches_check(spark, small, duck, name):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) == set(batch_queries()) | set(stream_queries())
+    assert set(OWN) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
