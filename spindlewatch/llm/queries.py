@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their DuckDB checks."""
+"""The registered queries of this subpackage; their DuckDB checks are in ``checks``."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from spindlewatch.llm import (
     pii,
     training_order,
 )
+from spindlewatch.llm.checks import CHECKS as CHECKS
 from spindlewatch.llm.common import table
 from spindlewatch.session import shared_path
 
@@ -127,6 +128,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
-
-#: DuckDB SQL for the rows of those queries that SQL can express.
-CHECKS: dict[str, str] = {}
