@@ -2,20 +2,6 @@
 
 from __future__ import annotations
 
-OP2 = """
-WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
-    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
-), near AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
-), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM near
-)
-SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 5
-"""
-
 OP3 = r"""
 WITH RECURSIVE c AS (SELECT min(doc_id) AS rep, text FROM documents WHERE text IS NOT NULL GROUP BY text),
 w AS (SELECT rep, regexp_extract_all(lower(text), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+') AS ws FROM c),
@@ -77,4 +63,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 
-CHECKS = {"op2_nearest": OP2, "op3_minhash_dedup": OP3, "op5_embedding_dedup": OP5, "op6_chat": OP6}
+CHECKS = {"op3_minhash_dedup": OP3, "op5_embedding_dedup": OP5, "op6_chat": OP6}
