@@ -77,18 +77,27 @@ def log_severity(log: DataFrame) -> DataFrame:
 
 
 def error_surge(
-    log: DataFrame, size: str = "1 minute", preceding: int = 5, factor: float = 1.5
+    log: DataFrame, seconds: int = 60, preceding: int = 5, factor: float = 1.5, least: int = 3
 ) -> DataFrame:
-    """Windows in which a code occurs ``factor`` times as often as in the mean of its preceding
-    windows. Ordered rows are windows per code, not log lines."""
+    """Windows in which a code occurs ``factor`` times as often as in the mean of the windows before.
+
+    The ``preceding`` adjacent windows count, silent ones as zero, but none from before the log began.
+    A code that was silent in all of them surges with ``least`` lines. Ordered rows are windows per
+    code, not log lines.
+    """
+    size = f"{seconds} seconds"
     counts = (
         log.groupBy(F.window("timestamp", size).alias("_w"), "error_code")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("_w.start").alias("window_start"), "error_code", "n")
     )
-    w = W.partitionBy("error_code").orderBy("window_start").rowsBetween(-preceding, -1)
-    return counts.withColumn("baseline", F.avg("n").over(w)).filter(
-        F.col("n") >= factor * F.col("baseline")
+    begun = counts.agg(F.unix_seconds(F.min("window_start")).alias("_begun"))
+    at = F.unix_seconds("window_start")
+    w = W.partitionBy("error_code").orderBy(at).rangeBetween(-preceding * seconds, -seconds)
+    before = F.least(F.lit(preceding), F.floor((at - begun.scalar()) / seconds))
+    return (
+        counts.withColumn("baseline", F.coalesce(F.sum("n").over(w), F.lit(0)) / F.nullif(before, F.lit(0)))
+        .filter((F.col("n") >= factor * F.col("baseline")) & ((F.col("baseline") > 0) | (F.col("n") >= least)))
     )
 
 

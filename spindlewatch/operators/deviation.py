@@ -18,13 +18,17 @@ def with_standards(
 ) -> DataFrame:
     """Left lookup of ``standards(machine_id, current, speed)``, with defaults.
 
+    A machine has one standard: of several rows the greatest (current, speed) counts, so readings are
+    never multiplied. Reduce the dimension by ``latest_by_key`` first where it has an order.
+
     No broadcast hint: Spark broadcasts the dimension when its measured size is under
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise joins by shuffle, splitting hot machines.
     """
-    dim = standards.select(
+    one = standards.groupBy("machine_id").agg(F.max(F.struct("current", "speed")).alias("_s"))
+    dim = one.select(
         "machine_id",
-        F.col("current").alias("std_current"),
-        F.col("speed").alias("std_speed"),
+        F.col("_s.current").alias("std_current"),
+        F.col("_s.speed").alias("std_speed"),
     )
     return (
         sensor.join(dim, "machine_id", "left")

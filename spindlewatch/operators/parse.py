@@ -14,7 +14,8 @@ from spindlewatch import schemas
 from spindlewatch.functions import columns as fn
 
 _CORRUPT = "_corrupt_record"
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+# one or two digits for each part but the year, and up to nine of a fraction
+TIME_FORMAT = "yyyy-M-d H:m:s[.SSSSSSSSS]"
 
 
 def _once(c: Column) -> Column:

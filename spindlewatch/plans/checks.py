@@ -7,6 +7,7 @@ written here on its own, without segments, cells or roll-ups.
 from __future__ import annotations
 
 from spindlewatch.functions.alarm_codes import ALARM_MESSAGES, UNKNOWN_ALARM_PREFIX
+from spindlewatch.operators.cleaner import EXTENSION_FIELDS, OUTPUTS
 from spindlewatch.plans.registry import DIGITS
 from spindlewatch.sources import fixture_exprs as fx
 
@@ -83,6 +84,11 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
            FROM deviations GROUP BY ts - ts % 30000, machine_id HAVING min(current_dev) > 0.10""",
         ("deviations",),
     ),
+    "surge_counts": (
+        """SELECT (ts - ts % 10000) // 1000 AS s, epoch_ms(ts - ts % 10000) AS window_start, error_code, count(*) AS n
+           FROM logs GROUP BY 1, 2, 3""",
+        ("logs",),
+    ),
     "features": (
         """SELECT epoch_ms(ts - ts % 60000) AS window_start, epoch_ms(ts - ts % 60000 + 60000) AS window_end,
              "machineId",
@@ -311,6 +317,26 @@ _HELD = f"""SELECT {rounded(_MEASURES, 'window_start window_end machine_id windo
     last_value(CASE WHEN NOT filled THEN current_fluctuation END IGNORE NULLS) OVER w AS current_fluctuation)
   FROM w3s_gaps WINDOW w AS (PARTITION BY machine_id ORDER BY window_end))"""
 
+_RECORD_FIELDS = _RECORD.replace('"seq", ', "")
+
+
+def _clean_outputs() -> str:
+    """Each target's columns of every record, null where the target has no such column."""
+    source = f"SELECT record_id, machine_id, epoch_ms(record_time) AS record_time, {_CLEAN_NUMBERS} FROM cells"
+    every = OUTPUTS["cleaned_full_csv"][1]
+    parts = []
+    for target, name in (("full", "cleaned_full_csv"), ("metrics", "device_metrics_csv"), ("state", "device_state_csv"),
+                         ("json", "json_backup")):
+        held = OUTPUTS[name][1]
+        columns = ", ".join(
+            (f"nullif(\"{c}\", '') AS \"{c}\"" if c in EXTENSION_FIELDS else f'"{c}"') if c in held
+            else f'CASE WHEN false THEN "{c}" END AS "{c}"'
+            for c in every if c != "clean_time"
+        )
+        parts.append(f"SELECT {columns}, '{target}' AS target FROM ({source})")
+    return sql(" UNION ALL ".join(parts), "cells")
+
+
 CHECKS: dict[str, str] = {
     "parse_sensor_json": sql(
         f"""SELECT {rounded('temperature vibration_x vibration_y vibration_z current speed',
@@ -341,6 +367,9 @@ CHECKS: dict[str, str] = {
     "alerts_union": sql(
         f"SELECT {_ALERT} FROM sensor_alerts UNION ALL SELECT {_ALERT} FROM log_alerts",
         "sensor_alerts", "log_alerts"),
+    "alerts_with_spikes": sql(
+        f"SELECT {_ALERT} FROM sensor_alerts UNION ALL SELECT {_ALERT} FROM log_alerts UNION ALL SELECT {_ALERT} FROM spikes",
+        "sensor_alerts", "log_alerts", "spikes"),
     "alert_json": sql(
         f"""SELECT * REPLACE (strftime(alert_time, '%Y-%m-%d %H:%M:%S.%g') AS alert_time) FROM (
           SELECT {_ALERT} FROM sensor_alerts UNION ALL SELECT {_ALERT} FROM log_alerts)""",
@@ -350,10 +379,10 @@ CHECKS: dict[str, str] = {
           ELSE 'Normal' END AS severity FROM logs""", "logs"),
     "error_surge": sql(
         f"""SELECT window_start, error_code, n, round(baseline, {DIGITS}) AS baseline FROM (
-          SELECT *, avg(n) OVER (PARTITION BY error_code ORDER BY window_start
-            ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS baseline
-          FROM (SELECT epoch_ms(ts - ts % 10000) AS window_start, error_code, count(*) AS n FROM logs
-                GROUP BY 1, 2)) WHERE n >= 1.5 * baseline""", "logs"),
+          SELECT s, window_start, error_code, n, (SELECT COALESCE(sum(p.n), 0) FROM surge_counts p
+              WHERE p.error_code = c.error_code AND p.s BETWEEN c.s - 50 AND c.s - 10)
+            / NULLIF(least(5, (c.s - (SELECT min(s) FROM surge_counts)) // 10), 0) AS baseline
+          FROM surge_counts c) WHERE n >= 1.5 * baseline AND (baseline > 0 OR n >= 3)""", "surge_counts"),
     "log_templates": sql(
         """SELECT regexp_replace(regexp_replace(error_msg, '0x[0-9A-Fa-f]+', '<hex>', 'g'),
             '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS template, count(*) AS n,
@@ -433,8 +462,7 @@ CHECKS: dict[str, str] = {
         FROM state LEFT JOIN dictionary ON code = "isAlarm" """, "state", "dictionary"),
     "features_22": sql(f"SELECT {_RECORD} FROM records", "records"),
     "feature_json": sql(
-        f"""SELECT CAST("machineId" AS VARCHAR) AS "machineId", "alarmMessage", total_parts,
-          round(var_temp, {DIGITS}) AS var_temp, 22::INT AS n_fields FROM records""", "records"),
+        f"""SELECT {_RECORD_FIELDS}, 22::INT AS n_fields FROM records""", "records"),
     "trailing10": sql(
         f"""SELECT seq, "machineId", {_mean_of_ten('spindle_load', 'avg_spindle_load_10')},
           {_mean_of_ten('cutting_time', 'avg_cutting_time_10')} FROM metrics""", "metrics"),
@@ -459,12 +487,12 @@ CHECKS: dict[str, str] = {
             {_select(fx.SENSOR_RAW, 'base', where=fx.REALTIME_FILTER)}) r
             WHERE r.machine_id = o.machine_id AND r.ts = o.ts))""", "base"),
     "clean_change_data": sql(
-        f"SELECT record_id, machine_id, epoch_ms(record_time) AS record_time, {_CLEAN_NUMBERS} FROM cells",
-        "cells"),
-    "clean_outputs": sql(
-        """SELECT record_id, CASE WHEN alarm_no > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS "isAlarm",
-          status AS machine_status, cut_time::DOUBLE AS "cuttingTime", alarm_msg AS alarm_message
-        FROM cells""", "cells"),
+        f"SELECT record_id, machine_id, epoch_ms(record_time) AS record_time, {_CLEAN_NUMBERS}, true AS is_readable "
+        "FROM cells", "cells"),
+    "xml_quarantine": sql(
+        f"""SELECT record_id, machine_id, CASE WHEN record_id % {fx.MALFORMED_EVERY} = 0 THEN 40 END::INT AS n_chars
+        FROM cells WHERE record_id % {fx.MALFORMED_EVERY} < 2""", "cells"),
+    "clean_outputs": _clean_outputs(),
     "rul_label": sql(
         f"""SELECT f."machineId", window_start,
           round((epoch_ms(min(l."timestamp")) - epoch_ms(window_end)) / 3.6e6, {DIGITS}) AS rul_hours

@@ -138,6 +138,17 @@ def alerts_union(feeds: Feeds) -> DataFrame:
     return alerts.all_alerts(_sensor_alerts(feeds), alerts.log_alerts(feeds.log_raw()))
 
 
+@query
+def alerts_with_spikes(feeds: Feeds) -> DataFrame:
+    """Threshold, error-code and vibration-spike alerts as one table."""
+    s = settings(feeds)
+    filled = windows.fill_held(windows.window_metrics(feeds.sensor_raw()))
+    return alerts.all_alerts(
+        _sensor_alerts(feeds), alerts.log_alerts(feeds.log_raw(), s.alert_codes),
+        windows.vibration_spikes(filled, s.vibration_spike_ratio),
+    )
+
+
 @query
 def alert_json(feeds: Feeds) -> DataFrame:
     """The alert lines, read back so that their fields can be compared."""
@@ -156,7 +167,7 @@ def log_severity(feeds: Feeds) -> DataFrame:
 
 @query
 def error_surge(feeds: Feeds) -> DataFrame:
-    return alerts.error_surge(feeds.log_raw(), "10 seconds", 5, 1.5)
+    return alerts.error_surge(feeds.log_raw(), 10, 5, 1.5)
 
 
 @query
@@ -393,15 +404,13 @@ def features_22(feeds: Feeds) -> DataFrame:
 
 @query
 def feature_json(feeds: Feeds) -> DataFrame:
-    """The 22-field JSON lines, with the fields that name the record read back."""
-    lines = features.feature_json(_feature_records(feeds))
+    """The 22-field JSON lines, all fields read back."""
+    records = _feature_records(feeds)
+    kinds = T.StructType([records.schema[c] for c in schemas.FEATURE_RECORD])
+    lines = features.feature_json(records)
     return lines.select(
-        F.get_json_object("value", "$.machineId").alias("machineId"),
-        F.get_json_object("value", "$.alarmMessage").alias("alarmMessage"),
-        F.get_json_object("value", "$.total_parts").cast("int").alias("total_parts"),
-        F.get_json_object("value", "$.var_temp").cast("double").alias("var_temp"),
-        F.size(F.json_object_keys("value")).alias("n_fields"),
-    )
+        F.size(F.json_object_keys("value")).alias("n_fields"), F.from_json("value", kinds).alias("r")
+    ).select("r.*", "n_fields")
 
 
 @query
@@ -450,22 +459,37 @@ def clean_change_data(feeds: Feeds) -> DataFrame:
     return cleaner.clean_change_data(feeds.change_data())
 
 
+@query
+def xml_quarantine(feeds: Feeds) -> DataFrame:
+    """Change records without a readable fragment."""
+    broken = cleaner.quarantine_change_data(feeds.change_data(flawed=True))
+    return broken.select("record_id", "machine_id", F.length("ChangeData").alias("n_chars"))
+
+
 @query
 def clean_outputs(feeds: Feeds) -> DataFrame:
-    """Writes all four outputs and reads the state CSV and JSON backup back."""
+    """Writes all four outputs and reads every one back, with all columns."""
     cleaned = cleaner.clean_change_data(feeds.change_data()).withColumn(
         "clean_time", F.current_timestamp()
     )
     paths = cleaner.write_outputs(cleaned, shared_path(feeds.spark, "cleaned"))
-    state = feeds.spark.read.csv(paths["device_state_csv"], header=True)
-    backup = feeds.spark.read.json(
-        paths["json_backup"], schema="record_id bigint, cuttingTime double, alarm_message string"
-    )
-    return state.select(
-        F.col("record_id").cast("bigint").alias("record_id"),
-        F.col("isAlarm").cast("double").alias("isAlarm"),
-        "machine_status",
-    ).join(backup, "record_id")
+    whole = feeds.spark.read.csv(paths["cleaned_full_csv"], header=True, schema=_types(cleaned, "cleaned_full_csv"))
+    metrics = feeds.spark.read.csv(paths["device_metrics_csv"], header=True, schema=_types(cleaned, "device_metrics_csv"))
+    state = feeds.spark.read.csv(paths["device_state_csv"], header=True, schema=_types(cleaned, "device_state_csv"))
+    backup = feeds.spark.read.json(paths["json_backup"], schema=_types(cleaned, "json_backup"))
+    targets = []
+    for name, rows in (("full", whole), ("metrics", metrics), ("state", state), ("json", backup)):
+        rows = rows.drop("clean_time")
+        for field in (f for f in cleaned.schema if f.name not in (*rows.columns, "clean_time", "is_readable")):
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+        targets.append(rows.withColumn("target", F.lit(name)))
+    # an empty text is written as an empty field and read back as null
+    texts = [f.name for f in cleaned.schema if isinstance(f.dataType, T.StringType) and f.name != "machine_id"]
+    return alerts.all_alerts(*targets).withColumns({c: F.nullif(c, F.lit("")) for c in texts})
+
+
+def _types(cleaned: DataFrame, target: str) -> T.StructType:
+    return T.StructType([cleaned.schema[c] for c in cleaner.OUTPUTS[target][1]])
 
 
 # --- scoring ------------------------------------------------------------------------------------

@@ -83,8 +83,9 @@ class Feeds:
     @staticmethod
     def _lines(rows: DataFrame, payload) -> DataFrame:
         """JSON per row in ``value``; some lines arrive cut off."""
-        kept = F.when(F.col("seq") % fx.MALFORMED_EVERY == 0, 40).otherwise(1_000_000)
-        return rows.select("seq", F.substring(F.to_json(payload), F.lit(1), kept).alias("value"))
+        whole = F.to_json(payload)
+        cut_off = F.col("seq") % fx.MALFORMED_EVERY == 0
+        return rows.select("seq", F.when(cut_off, F.substring(whole, 1, 40)).otherwise(whole).alias("value"))
 
     def sensor_lines(self) -> DataFrame:
         """One number comes quoted, and noise is missing from some lines."""
@@ -105,9 +106,14 @@ class Feeds:
         stamp = "yyyy-MM-dd HH:mm:ss"
         start = F.date_format(F.timestamp_seconds("start_s"), stamp)
         end = F.date_format(F.timestamp_seconds("end_s"), stamp)
+        short = "yyyy-M-d HH:mm:ss"
+        short_start = F.concat(F.date_format(F.timestamp_seconds("start_s"), short), F.lit(".000000000"))
+        short_end = F.date_format(F.timestamp_seconds("end_s"), short)
         head = [F.col("seq").cast("string"), F.col("machine_id"), F.lit("30"), F.col("status")]
         line = (
             F.when(F.col("flaw") == "short", F.concat_ws(",", *head))
+            # the other spelling of times that devices send
+            .when((F.col("flaw") == "") & (F.col("seq") % 2 == 0), F.concat_ws(",", *head, short_start, short_end, F.lit("60")))
             .when(F.col("flaw") == "time", F.concat_ws(",", *head, F.lit("n/a"), end))
             .otherwise(F.concat_ws(",", *head, start, end, F.lit("60")))
         )
@@ -128,8 +134,11 @@ class Feeds:
         columns = [c for c in fx.HIGHFREQ_SENSOR if c not in ("seq", "ts", "machineId")]
         return self._lines(rows, F.struct("machineId", "timestamp", *columns))
 
-    def change_data(self) -> DataFrame:
-        """XML fragments; load and times carry units, the feed cell is absent where zero."""
+    def change_data(self, flawed: bool = False) -> DataFrame:
+        """XML fragments; load and times carry units, the feed cell is absent where zero.
+
+        With ``flawed``, some are cut off and some missing.
+        """
         rows = self._feed(fx.CHANGE_DATA)
 
         def cell(name: str, text):
@@ -156,6 +165,9 @@ class Feeds:
             cell(names["spindleSpeed"], number("spindle_speed", "RPM")),
             F.when(F.col("feed") > 0, cell(names["feedSpeed"], number("feed"))).otherwise(""),
         )
+        if flawed:
+            cut = F.col("record_id") % fx.MALFORMED_EVERY
+            xml = F.when(cut == 0, F.substring(xml, 1, 40)).when(cut != 1, xml)
         return rows.select(
             "record_id", "machine_id", fn.epoch_ms_to_timestamp("record_time").alias("record_time"),
             xml.alias("ChangeData"),

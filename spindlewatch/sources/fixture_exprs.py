@@ -60,7 +60,9 @@ LOG_RAW = {
     "machine_id": _MACHINE,
     "ts": "ts",
     "error_code": (
-        "CASE event_type WHEN 'error' THEN '999' WHEN 'purchase' THEN '500' ELSE '200' END"
+        # 777 is new and comes in bursts with silent windows between
+        f"CASE WHEN {_block(150)} % 9 = 7 AND event_type = 'signup' THEN '777' ELSE "
+        "CASE event_type WHEN 'error' THEN '999' WHEN 'purchase' THEN '500' ELSE '200' END END"
     ),
     "error_msg": (
         "CASE event_type "

@@ -8,12 +8,15 @@ from spindlewatch.operators import parse
 from spindlewatch.streaming.sinks import jdbc_options
 
 
-def kafka_options(brokers: str, topic: str, starting: str = "latest", per_trigger: int | None = None) -> dict:
+def kafka_options(
+    brokers: str, topic: str, starting: str = "latest", per_trigger: int | None = None, fail_on_data_loss: bool = True
+) -> dict:
+    """Options of a topic reader. Offsets the broker no longer has end the query unless told to be skipped."""
     options = {
         "kafka.bootstrap.servers": brokers,
         "subscribe": topic,
         "startingOffsets": starting,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if per_trigger:
         options["maxOffsetsPerTrigger"] = str(per_trigger)
@@ -21,12 +24,13 @@ def kafka_options(brokers: str, topic: str, starting: str = "latest", per_trigge
 
 
 def topic_lines(
-    spark: SparkSession, brokers: str, topic: str, starting: str = "latest", per_trigger: int | None = None
+    spark: SparkSession, brokers: str, topic: str, starting: str = "latest", per_trigger: int | None = None,
+    fail_on_data_loss: bool = True,
 ) -> DataFrame:
     """A topic as text lines in ``value``, with its partition and offset."""
     raw = (
         spark.readStream.format("kafka")
-        .options(**kafka_options(brokers, topic, starting, per_trigger))
+        .options(**kafka_options(brokers, topic, starting, per_trigger, fail_on_data_loss))
         .load()
     )
     return raw.selectExpr("CAST(value AS STRING) AS value", "partition", "offset AS seq")
