@@ -120,6 +120,14 @@ def rolled_up_metrics(sensor: DataFrame) -> DataFrame:
     return metrics_from_sums(merged, F.col("_label"))
 
 
+def rolled_up_stream(sensor: DataFrame) -> DataFrame:
+    """The table of ``rolled_up_metrics`` from a watermarked stream: each granularity is merged from the one below."""
+    minute = window_sums(sensor, GRANULARITIES["1m"])
+    five = roll_up(minute, GRANULARITIES["5m"])
+    hour = roll_up(five, GRANULARITIES["1h"])
+    return union_windows(*(metrics_from_sums(w, label) for w, label in ((minute, "1m"), (five, "5m"), (hour, "1h"))))
+
+
 def _window_of(start: Column, size: str) -> Column:
     """The tumbling window a smaller window's start falls into."""
     micros = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {size})")

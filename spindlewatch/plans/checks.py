@@ -517,7 +517,8 @@ CHECKS: dict[str, str] = {
         f"SELECT {_WINDOW} FROM w1m WHERE window_end <= (SELECT w FROM watermark)", "w1m", "watermark"),
     "stream_rollup": sql(
         f"""SELECT {_WINDOW} FROM w1m WHERE window_end <= (SELECT w FROM watermark) UNION ALL
-        SELECT {_WINDOW} FROM w5m WHERE window_end <= (SELECT w FROM watermark)""", "w1m", "w5m", "watermark"),
+        SELECT {_WINDOW} FROM w5m WHERE window_end <= (SELECT w FROM watermark) UNION ALL
+        SELECT {_WINDOW} FROM w1h WHERE window_end <= (SELECT w FROM watermark)""", "w1m", "w5m", "w1h", "watermark"),
     "stream_deviation": sql(
         f"""SELECT * FROM ({_SLIDING})
         WHERE record_time + INTERVAL 30 SECOND <= (SELECT w FROM watermark)""",

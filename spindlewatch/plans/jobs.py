@@ -20,8 +20,8 @@ from spindlewatch.streaming import sinks, transforms
 Writer = Callable[[DataFrame, int], None]
 
 REALTIME_OUTPUTS = [
-    "device_realtime_status", "realtime_status_window", "realtime_status_window_1m", "spike_alerts",
-    "realtime_alerts", "alert_topic", "realtime_process_deviation", "change_record_status",
+    "device_realtime_status", "realtime_status_window", "spike_alerts", "realtime_alerts", "alert_topic",
+    "realtime_process_deviation", "change_record_status",
     "device_health", "sensor_detail_realtime", "device_log_realtime",
 ]
 
@@ -53,12 +53,9 @@ def start_realtime_engine(
     def ordered_status() -> DataFrame:
         return transforms.status_stream(sensor, changes, s.start_speed)
 
-    def larger_windows() -> DataFrame:
-        five = windows.roll_up(windows.window_sums(sensor), "5 minutes")
-        return windows.union_windows(
-            windows.metrics_from_sums(five, "5m"),
-            windows.metrics_from_sums(windows.roll_up(five, "1 hour"), "1h"),
-        )
+    def every_window() -> DataFrame:
+        """1m, 5m and 1h in one table, told apart by ``window_type``."""
+        return windows.rolled_up_stream(sensor)
 
     def every_alert() -> DataFrame:
         return alerts.all_alerts(
@@ -84,12 +81,14 @@ def start_realtime_engine(
         return batch
 
     start("status", ordered_status, ("device_realtime_status", lambda b: b.drop("seq")))
+    start("windows", every_window, ("realtime_status_window", same))
     start(
-        "windows_1m", lambda: transforms.filled_window_stream(sensor),
-        ("realtime_status_window_1m", lambda b: b.drop("previous_vib_rms")),
-        ("spike_alerts", lambda b: transforms.spike_stream(b, s.vibration_spike_ratio)),
+        "spikes", lambda: transforms.filled_window_stream(sensor),
+        (
+            "spike_alerts",
+            lambda b: alerts.stamp_insert_time(transforms.spike_stream(b, s.vibration_spike_ratio)),
+        ),
     )
-    start("windows", larger_windows, ("realtime_status_window", same))
     start(
         "alerts", every_alert,
         ("realtime_alerts", alerts.stamp_insert_time), ("alert_topic", alerts.alert_json),
@@ -146,8 +145,9 @@ def cleaner_samples(spark: SparkSession) -> DataFrame:
             cleaner.CELL_ALARM: f'{{"AlmNo":{number},"AlmMsg":"{text}"}}',
             "切削时间": "495945",
         }
-        rows.append((i + 1, "".join(f'<col ColName="{k}">{v}</col>' for k, v in named.items())))
-    return spark.createDataFrame(rows, "record_id long, ChangeData string")
+        rows.append((i + 1, str(101 + i), "".join(f'<col ColName="{k}">{v}</col>' for k, v in named.items())))
+    samples = spark.createDataFrame(rows, "record_id long, machine_id string, ChangeData string")
+    return samples.withColumn("record_time", F.timestamp_seconds(F.lit(1704067200) + F.col("record_id")))
 
 
 def run_cleaner(records: DataFrame, output: str, column: str = "ChangeData") -> dict[str, str]:

@@ -50,12 +50,8 @@ def stream_windows(feeds: Feeds) -> DataFrame:
 
 @stream_query
 def stream_rollup(feeds: Feeds) -> DataFrame:
-    """1m and 5m windows, the latter merged from the former's sums."""
-    minute = windows.window_sums(_sensor(feeds))
-    five = windows.roll_up(minute, "5 minutes")
-    return windows.union_windows(
-        windows.metrics_from_sums(minute, "1m"), windows.metrics_from_sums(five, "5m")
-    )
+    """1m, 5m and 1h windows, each merged from the sums of the one below."""
+    return windows.rolled_up_stream(_sensor(feeds))
 
 
 @stream_query

@@ -99,6 +99,14 @@ STATUS_TABLES = {
          "suggested_action", "insert_time"],
         10,
     ),
+    # spikes go to the same table as the other alerts, from a query of their own
+    "spike_alerts": (
+        ["alert_time", "machine_id", "alert_type", "trigger_value", "threshold_value",
+         "suggested_action", "insert_time"],
+        10,
+    ),
+    "device_health": (["machine_id", "update_time", "machine_status", "health_score"], 100),
+    "change_record_status": (["machine_id", "status", "start_time"], 100),
     "realtime_process_deviation": (
         ["record_time", "machine_id", "param_name", "actual_value", "standard_value",
          "deviation_ratio", "duration_seconds"],
@@ -107,9 +115,13 @@ STATUS_TABLES = {
 }
 
 
-def jdbc_writer(url: str, table: str, driver: str) -> Callable[[DataFrame, int], None]:
-    columns, batch_size = STATUS_TABLES[table]
-    options = jdbc_options(url, table, driver, batch_size)
+#: Outputs whose table is called otherwise.
+TABLE_OF = {"spike_alerts": "realtime_alerts"}
+
+
+def jdbc_writer(url: str, output: str, driver: str) -> Callable[[DataFrame, int], None]:
+    columns, batch_size = STATUS_TABLES[output]
+    options = jdbc_options(url, TABLE_OF.get(output, output), driver, batch_size)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.select(*columns).write.format("jdbc").options(**options).mode("append").save()

@@ -28,7 +28,6 @@ def test_realtime_engine(spark, stream, small):
         if name in by_key
         else sinks.batch_folder_writer(f"{out}/{name}")
         for name in jobs.REALTIME_OUTPUTS
-        if name != "realtime_status_window"
     }
     for name, order in (("change_record_status", ["start_time", "seq"]), ("device_health", ["update_time"])):
         writers[name] = sinks.keyed_store_writer(f"{out}/{name}", "machine_id", order)
@@ -44,6 +43,8 @@ def test_realtime_engine(spark, stream, small):
     assert rows["realtime_alerts"].count() == rows["alert_topic"].count()
     assert rows["sensor_detail_realtime"].count() == 1000
     assert "insert_time" in rows["realtime_alerts"].columns
+    for name, (columns, _) in sinks.STATUS_TABLES.items():
+        assert set(columns) <= set(rows[name].columns)
     for name in ("change_record_status", "device_health"):
         assert rows[name].count() == rows[name].select("machine_id").distinct().count()
     want = latest.last_value_by_key(
