@@ -105,14 +105,14 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
            FROM highfreq GROUP BY ts - ts % 60000, "machineId" """,
         ("highfreq",),
     ),
-    # a stream's final watermark: five seconds behind the newest record of its slowest input
+    # a stream's final watermark: five seconds behind the newest record of any of its inputs
     "watermark": ("SELECT epoch_ms(max(ts) - 5000) AS w FROM base", ("base",)),
     "lowfreq_watermark": (
-        """SELECT epoch_ms(least((SELECT max(ts) FROM state), (SELECT max(ts) FROM metrics)) - 5000) AS w""",
+        """SELECT epoch_ms(greatest((SELECT max(ts) FROM state), (SELECT max(ts) FROM metrics)) - 5000) AS w""",
         ("state", "metrics"),
     ),
     "status_watermark": (
-        """SELECT epoch_ms(least((SELECT max(ts) FROM base),
+        """SELECT epoch_ms(greatest((SELECT max(ts) FROM base),
              (SELECT max(epoch_ms(start_time)) FROM changes)) - 5000) AS w""",
         ("changes",),
     ),
@@ -536,7 +536,7 @@ CHECKS: dict[str, str] = {
         WHERE epoch_ms(ts) <= (SELECT w FROM lowfreq_watermark)""", "pairs", "lowfreq_watermark"),
     "stream_feature_records": sql(
         f"""SELECT {_RECORD} FROM records JOIN (SELECT seq, ts FROM pairs) USING (seq)
-        WHERE epoch_ms(ts) <= (SELECT w FROM lowfreq_watermark)""", "records", "lowfreq_watermark"),
+        WHERE epoch_ms(ts) <= (SELECT w FROM watermark)""", "records", "watermark"),
     "stream_status": sql(
         f"SELECT {_STATUS_ROW} FROM statuses WHERE update_time <= (SELECT w FROM status_watermark)",
         "statuses", "status_watermark"),

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spindlewatch.config import Settings
 from spindlewatch.operators import alerts, cleaner, deviation, features, status, windows
 from spindlewatch.streaming import sinks, transforms
+from spindlewatch.streaming.watermarks import together
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -42,20 +43,21 @@ def start_realtime_engine(
 ) -> list[StreamingQuery]:
     """Start the outputs named in ``writers`` (any of ``REALTIME_OUTPUTS``).
 
-    ``sensor`` and ``changes`` carry watermarks on ``timestamp`` and ``start_time``; ``seq`` is the
-    arrival order within each feed.
+    The inputs carry no watermarks yet; ``seq`` is the arrival order within each feed. A silent change
+    feed holds back none of the outputs.
     """
     s = settings or Settings.from_spark(sensor.sparkSession)
+    delay = f"{s.watermark_seconds} seconds"
     unknown = set(writers) - set(REALTIME_OUTPUTS)
     if unknown:
         raise ValueError(f"no such outputs: {sorted(unknown)}")
 
     def ordered_status() -> DataFrame:
-        return transforms.status_stream(sensor, changes, s.start_speed)
+        return transforms.status_stream(sensor, changes, s.start_speed, delay)
 
     def every_window() -> DataFrame:
         """1m, 5m and 1h in one table, told apart by ``window_type``."""
-        return windows.rolled_up_stream(sensor)
+        return windows.rolled_up_stream(sensor.withWatermark("timestamp", delay))
 
     def every_alert() -> DataFrame:
         return alerts.all_alerts(
@@ -64,7 +66,8 @@ def start_realtime_engine(
         )
 
     def deviations() -> DataFrame:
-        readings = deviation.with_standards(sensor, standards, s.default_current, s.default_speed)
+        marked = sensor.withWatermark("timestamp", delay)
+        readings = deviation.with_standards(marked, standards, s.default_current, s.default_speed)
         return deviation.sliding_deviation(
             deviation.deviating(deviation.with_deviation(readings), s.deviation_threshold)
         )
@@ -83,7 +86,7 @@ def start_realtime_engine(
     start("status", ordered_status, ("device_realtime_status", lambda b: b.drop("seq")))
     start("windows", every_window, ("realtime_status_window", same))
     start(
-        "spikes", lambda: transforms.filled_window_stream(sensor),
+        "spikes", lambda: transforms.filled_window_stream(sensor.withWatermark("timestamp", delay)),
         (
             "spike_alerts",
             lambda b: alerts.stamp_insert_time(transforms.spike_stream(b, s.vibration_spike_ratio)),
@@ -100,7 +103,9 @@ def start_realtime_engine(
     )
     start(
         "health",
-        lambda: transforms.health_stream(sensor, changes, s.health_min_update_seconds, s.start_speed),
+        lambda: transforms.health_stream(
+            *together((sensor, "timestamp"), (changes, "start_time")), s.health_min_update_seconds, s.start_speed
+        ),
         ("device_health", same),
     )
     start(
@@ -123,9 +128,9 @@ def start_feature_engine(
 ) -> StreamingQuery:
     """22-field feature records as JSON lines in ``value``, to the feature topic's writer.
 
-    All three inputs are watermarked on ``event_time``.
+    The inputs carry no watermarks yet.
     """
-    records = transforms.feature_record_stream(state, metrics, highfreq)
+    records = transforms.feature_record_stream(*together(*[(rows, "event_time") for rows in (state, metrics, highfreq)]))
     return sinks.start_foreach(
         records, _select_then(write, features.feature_json), f"{checkpoint}/features", trigger
     )

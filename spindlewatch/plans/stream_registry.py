@@ -16,6 +16,7 @@ from spindlewatch.plans.registry import Query, plain, timed
 from spindlewatch.session import configure, shared_path
 from spindlewatch.sources.feeds import Feeds
 from spindlewatch.streaming import sinks, transforms
+from spindlewatch.streaming.watermarks import delay_of, marked, together
 
 _QUERIES: dict[str, Query] = {}
 
@@ -34,11 +35,6 @@ def stream_query(build: Callable[[Feeds], DataFrame]) -> Callable[[Feeds], DataF
     return build
 
 
-def marked(rows: DataFrame, column: str) -> DataFrame:
-    delay = Settings.from_spark(rows.sparkSession).watermark_seconds
-    return rows.withWatermark(column, f"{delay} seconds")
-
-
 def _sensor(feeds: Feeds) -> DataFrame:
     return marked(feeds.sensor_raw(), "timestamp")
 
@@ -77,34 +73,28 @@ def stream_features(feeds: Feeds) -> DataFrame:
     return features.window_features(marked(feeds.highfreq_sensor(), "event_time"))
 
 
-def _low_frequency(feeds: Feeds) -> tuple[DataFrame, DataFrame]:
-    return (
-        marked(timed(feeds.device_state()), "event_time"),
-        marked(timed(feeds.sensor_metrics()), "event_time"),
-    )
-
-
 @stream_query
 def stream_pairs(feeds: Feeds) -> DataFrame:
-    pairs = transforms.pair_stream(*_low_frequency(feeds), "seq", "event_time")
+    state, metrics = timed(feeds.device_state()), timed(feeds.sensor_metrics())
+    pairs = transforms.pair_stream(state, metrics, "seq", "event_time", delay_of(state))
     return features.low_frequency_record(pairs, ["seq"])
 
 
 @stream_query
 def stream_feature_records(feeds: Feeds) -> DataFrame:
-    return transforms.feature_record_stream(
-        *_low_frequency(feeds), marked(feeds.highfreq_sensor(), "event_time")
-    )
+    inputs = timed(feeds.device_state()), timed(feeds.sensor_metrics()), feeds.highfreq_sensor()
+    return transforms.feature_record_stream(*together(*[(rows, "event_time") for rows in inputs]))
 
 
 @stream_query
 def stream_status(feeds: Feeds) -> DataFrame:
-    return transforms.status_stream(_sensor(feeds), marked(feeds.changes(), "start_time"))
+    sensor = feeds.sensor_raw()
+    return transforms.status_stream(sensor, feeds.changes(), delay=delay_of(sensor))
 
 
 @stream_query
 def stream_health(feeds: Feeds) -> DataFrame:
-    return transforms.health_stream(_sensor(feeds), marked(feeds.changes(), "start_time"))
+    return transforms.health_stream(*together((feeds.sensor_raw(), "timestamp"), (feeds.changes(), "start_time")))
 
 
 @stream_query

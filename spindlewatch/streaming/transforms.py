@@ -23,14 +23,18 @@ def asof_stream(
     right_time: str,
     values: list[str],
     order: str,
-    salts: int = 8,
+    salts: int | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
-    """As-of left lookup between two watermarked streams.
+    """As-of left lookup between two streams.
 
+    With ``delay`` the inputs have no watermark yet and get one together, so that a silent right side
+    does not hold back the left one; without, they share a watermark already (``watermarks.together``).
     Each left row needs only the right rows of its key, so left rows of a key are spread over
-    ``salts`` state partitions and the few right rows are copied to each: a hot machine is then
-    shared by that many tasks.
+    ``salts`` state partitions (as many as there are shuffle partitions, unless given) and the few right rows are copied to
+    each: a hot machine is then shared by that many tasks.
     """
+    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(order), F.lit(salts)).cast("int")
     kept = [c for c in left.columns if c not in (key, order, left_time)]
     lefts = left.select(
@@ -41,6 +45,8 @@ def asof_stream(
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), *values,
     )
     both = lefts.unionByName(rights, allowMissingColumns=True)
+    if delay:
+        both = both.withWatermark("_time", delay)
     # at equal times a right row counts before a left one
     rank = F.col("side").cast("bigint") * (1 << 62) + F.col(order)
     both = p.with_time_ms(both, "_time").withColumn("_rank", rank)
@@ -51,17 +57,21 @@ def asof_stream(
     return found.withColumnRenamed("_time", left_time)
 
 
-def status_stream(sensor: DataFrame, changes: DataFrame, start_speed: float = 1000.0) -> DataFrame:
-    """Machine status of each reading; both streams carry watermarks on their times."""
+def status_stream(
+    sensor: DataFrame, changes: DataFrame, start_speed: float = 1000.0, delay: str | None = None
+) -> DataFrame:
+    """Machine status of each reading; '' before the machine's first change. For ``delay`` see ``asof_stream``."""
     found = asof_stream(
-        sensor, status.valid_changes(changes), "machine_id", "timestamp", "start_time", ["status"], "seq"
+        sensor, status.valid_changes(changes), "machine_id", "timestamp", "start_time", ["status"], "seq", delay=delay
     )
     found = found.withColumn("status", F.coalesce("status", F.lit("")))
     return status.status_record(found, start_speed, ["seq"])
 
 
-def pair_stream(state: DataFrame, metrics: DataFrame, order: str, time_column: str) -> DataFrame:
-    """Consume-once pairing of two watermarked streams; ``_time`` is the later record's time."""
+def pair_stream(
+    state: DataFrame, metrics: DataFrame, order: str, time_column: str, delay: str | None = None
+) -> DataFrame:
+    """Consume-once pairing of two streams; ``time_column`` is the later record's time. For ``delay`` see ``asof_stream``."""
     shared = ["machineId", order, time_column]
     s_cols = [c for c in state.columns if c not in shared]
     m_cols = [f"m_{c}" for c in metrics.columns if c not in shared]
@@ -71,6 +81,8 @@ def pair_stream(state: DataFrame, metrics: DataFrame, order: str, time_column: s
     both = state.withColumn("side", F.lit(features.STATE)).unionByName(
         right.withColumn("side", F.lit(features.METRICS)), allowMissingColumns=True
     )
+    if delay:
+        both = both.withWatermark(time_column, delay)
     both = p.with_time_ms(both, time_column)
     rows = _schema(both, ["machineId", order, p.TIME_MS, "side", time_column, *s_cols, *m_cols])
     output = _schema(both, ["machineId", order, time_column, *s_cols, *m_cols])
@@ -86,7 +98,8 @@ def pair_stream(state: DataFrame, metrics: DataFrame, order: str, time_column: s
 def feature_record_stream(
     state: DataFrame, metrics: DataFrame, highfreq: DataFrame, order: str = "seq", time_column: str = "event_time"
 ) -> DataFrame:
-    """22-field records: pairs, translated, with the latest closed window's features."""
+    """22-field records: pairs, translated, with the latest closed window's features. The three streams
+    share a watermark (``watermarks.together``)."""
     pairs = pair_stream(state, metrics, order, time_column)
     records = features.translate_alarm(
         features.low_frequency_record(pairs, [order, time_column])
@@ -145,7 +158,7 @@ def health_stream(
     sensor: DataFrame, changes: DataFrame, interval: int = 60, start_speed: float = 1000.0
 ) -> DataFrame:
     """Throttled health snapshot: readings are throttled first, and only those let through go on to
-    the status lookup."""
+    the status lookup. The two streams share a watermark (``watermarks.together``)."""
     readings = throttle_stream(
         sensor, "timestamp", ["temperature", "vibration_x", "speed"], "seq", interval
     )

@@ -7,7 +7,6 @@ from spindlewatch.config import PREFIX, Settings
 from spindlewatch.operators import cleaner, latest
 from spindlewatch.plans import jobs
 from spindlewatch.plans.registry import timed
-from spindlewatch.plans.stream_registry import marked
 from spindlewatch.session import shared_path
 from spindlewatch.sources.feeds import Feeds
 from spindlewatch.streaming import sinks
@@ -32,8 +31,7 @@ def test_realtime_engine(spark, stream, small):
     for name, order in (("change_record_status", ["start_time", "seq"]), ("device_health", ["update_time"])):
         writers[name] = sinks.keyed_store_writer(f"{out}/{name}", "machine_id", order)
     queries = jobs.start_realtime_engine(
-        marked(stream.sensor_raw(), "timestamp"), stream.log_raw(), marked(stream.changes(), "start_time"),
-        stream.standards(), writers, f"{out}/checkpoints", trigger=ONCE,
+        stream.sensor_raw(), stream.log_raw(), stream.changes(), stream.standards(), writers, f"{out}/checkpoints", trigger=ONCE,
     )
     for q in queries:
         q.awaitTermination()
@@ -59,9 +57,7 @@ def test_realtime_engine(spark, stream, small):
 def test_feature_engine(spark, stream):
     out = shared_path(spark, "features")
     jobs.start_feature_engine(
-        marked(timed(stream.device_state()), "event_time"),
-        marked(timed(stream.sensor_metrics()), "event_time"),
-        marked(stream.highfreq_sensor(), "event_time"),
+        timed(stream.device_state()), timed(stream.sensor_metrics()), stream.highfreq_sensor(),
         sinks.batch_folder_writer(f"{out}/topic"), f"{out}/checkpoints", ONCE,
     ).awaitTermination()
     lines = spark.read.parquet(f"{out}/topic")

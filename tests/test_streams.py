@@ -15,8 +15,10 @@ from spindlewatch.plans.stream_registry import marked
 from spindlewatch.session import shared_path
 from spindlewatch.sources.feeds import Feeds
 from spindlewatch.streaming import sinks, transforms
+from spindlewatch.streaming.watermarks import together
 
 FILES = 4
+DELAY = "5 seconds"
 
 
 @pytest.fixture(scope="module")
@@ -55,9 +57,9 @@ def drained(df):
 
 
 def watermark(feeds, *frames):
-    """Five seconds behind the slowest of the inputs, given as (frame, time column)."""
+    """Five seconds behind the newest record of any input, given as (frame, time column)."""
     newest = [df.agg(F.max(c)).first()[0] for df, c in frames]
-    return F.lit(min(newest)) - F.expr("INTERVAL 5 SECONDS")
+    return F.lit(max(t for t in newest if t)) - F.expr("INTERVAL 5 SECONDS")
 
 
 def test_windows_and_spikes(stream, batch):
@@ -76,10 +78,7 @@ def test_pairs(stream, batch):
     limit = watermark(batch, *[(f, "event_time") for f in frames])
     got = drained(
         transforms.pair_stream(
-            marked(timed(stream.device_state()), "event_time"),
-            marked(timed(stream.sensor_metrics()), "event_time"),
-            "seq",
-            "event_time",
+            timed(stream.device_state()), timed(stream.sensor_metrics()), "seq", "event_time", DELAY
         )
     )
     want = features.pair_latest(*frames, "seq").filter(
@@ -92,11 +91,7 @@ def test_pairs(stream, batch):
 def test_status(stream, batch):
     sensor, changes = batch.sensor_raw(), batch.changes()
     limit = watermark(batch, (sensor, "timestamp"), (changes, "start_time"))
-    got = drained(
-        transforms.status_stream(
-            marked(stream.sensor_raw(), "timestamp"), marked(stream.changes(), "start_time")
-        )
-    )
+    got = drained(transforms.status_stream(stream.sensor_raw(), stream.changes(), delay=DELAY))
     want = status.machine_status(sensor, changes).filter(F.col("update_time") <= limit)
     assert table(got) == table(want)
 
@@ -105,14 +100,41 @@ def test_health(stream, batch):
     sensor, changes = batch.sensor_raw(), batch.changes()
     limit = watermark(batch, (sensor, "timestamp"), (changes, "start_time"))
     got = drained(
-        transforms.health_stream(
-            marked(stream.sensor_raw(), "timestamp"), marked(stream.changes(), "start_time"), 9
-        )
+        transforms.health_stream(*together((stream.sensor_raw(), "timestamp"), (stream.changes(), "start_time")), 9)
     )
     want = status.throttled_health(sensor, changes, "seq", 9).filter(F.col("update_time") <= limit)
     assert table(got) == table(want)
 
 
+@pytest.mark.parametrize("until", ["false", "start_time < timestamp '2024-01-01 00:02:00'"])
+def test_a_silent_change_feed_holds_nothing_back(stream, batch, until):
+    """No change at all, or none after a while: status and health are those of the batch operators."""
+    sensor, changes = batch.sensor_raw(), batch.changes().filter(until)
+    limit = watermark(batch, (sensor, "timestamp"), (changes, "start_time"))
+    quiet = stream.changes().filter(until)
+    got = table(drained(transforms.status_stream(stream.sensor_raw(), quiet, delay=DELAY)))
+    assert got and got == table(status.machine_status(sensor, changes).filter(F.col("update_time") <= limit))
+    got = drained(transforms.health_stream(*together((stream.sensor_raw(), "timestamp"), (quiet, "start_time")), 9))
+    want = status.throttled_health(sensor, changes, "seq", 9).filter(F.col("update_time") <= limit)
+    assert table(got) == table(want)
+
+
+def test_a_silent_pairing_side_holds_nothing_back(stream, batch):
+    until = "event_time < timestamp '2024-01-01 00:02:00'"
+    state, metrics = timed(batch.device_state()), timed(batch.sensor_metrics()).filter(until)
+    limit = watermark(batch, (state, "event_time"), (metrics, "event_time"))
+    quiet = timed(stream.sensor_metrics()).filter(until)
+    got = drained(transforms.pair_stream(timed(stream.device_state()), quiet, "seq", "event_time", DELAY))
+    want = features.pair_latest(state, metrics, "seq").filter(
+        F.greatest("state.event_time", "metrics.event_time") <= limit
+    )
+    columns = ["seq", "machineId", "state.isAlarm", "metrics.total_parts"]
+    assert table(got.select(*columns)) and table(got.select(*columns)) == table(want.select(*columns))
+    inputs = timed(stream.device_state()), quiet, stream.highfreq_sensor()
+    records = drained(transforms.feature_record_stream(*together(*[(rows, "event_time") for rows in inputs])))
+    assert records.count() >= got.count()
+
+
 def test_restart_continues_state(spark, stream, folder, tmp_path):
     """A query stopped after two of four files goes on where it was."""
 
