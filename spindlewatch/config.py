@@ -45,8 +45,8 @@ class Settings:
     alert_topic: str = "alert_topic"
     feature_topic: str = "Feature_log"
     output_base_path: str = ""
-    # rows of one machine that one task may have to order; see operators/segments.py
-    segment_span: int = 2_000_000
+    # seconds of one machine's records that one task has to order; see operators/segments.py
+    segment_seconds: int = 3600
     # rows of the whole table per segment of the lateness filter
     arrival_span: int = 250_000
 

@@ -51,18 +51,19 @@ def window_features(
 STATE, METRICS = 0, 1
 
 
-def merged_feed(state: DataFrame, metrics: DataFrame, order: str) -> DataFrame:
-    """Both low-frequency feeds as one arrival sequence with a struct per side."""
-    s_cols = [c for c in state.columns if c not in ("machineId", order)]
-    m_cols = [c for c in metrics.columns if c not in ("machineId", order)]
-    left = state.select("machineId", order, F.lit(STATE).alias("side"), F.struct(*s_cols).alias("state"))
+def merged_feed(state: DataFrame, metrics: DataFrame, order: str | list[str]) -> DataFrame:
+    """Both low-frequency feeds as one sequence with a struct per side."""
+    orders = segments.order_columns(order)
+    s_cols = [c for c in state.columns if c not in ("machineId", *orders)]
+    m_cols = [c for c in metrics.columns if c not in ("machineId", *orders)]
+    left = state.select("machineId", *orders, F.lit(STATE).alias("side"), F.struct(*s_cols).alias("state"))
     right = metrics.select(
-        "machineId", order, F.lit(METRICS).alias("side"), F.struct(*m_cols).alias("metrics")
+        "machineId", *orders, F.lit(METRICS).alias("side"), F.struct(*m_cols).alias("metrics")
     )
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def _runs(events: DataFrame, order: str) -> DataFrame:
+def _runs(events: DataFrame, order: list[str]) -> DataFrame:
     """Number the runs of equal side in each segment and flag repeats within a run."""
     w = segments.segment_window(["machineId"], order)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
@@ -72,21 +73,22 @@ def _runs(events: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _pending_carry(events: DataFrame, order: str) -> DataFrame:
-    """Per segment, the sequence number of the record left waiting by the segments before it.
+def _inherited(events: DataFrame, order: list[str]) -> DataFrame:
+    """Per segment, the record left waiting by the segments before it, as a row of that segment.
 
     Only one summary row per machine and segment is scanned. A segment's effect is fixed by itself
     when it holds a repeat or opens with the side the previous one closed with; otherwise all of it
-    alternates, and only the number of its records counts.
+    alternates, and only the number of its records counts. What waits after a segment is its last record.
     """
+    record = [c for c in events.columns if c not in ("machineId", segments.SEGMENT)]
     summary = (
-        _runs(events.select("machineId", order, "side", segments.SEGMENT), order)
+        _runs(events, order)
         .groupBy("machineId", segments.SEGMENT)
         .agg(
             F.max("_run").alias("n"),
             F.max(F.when(F.col("_repeat"), F.col("_run"))).alias("r"),
             F.max(F.when((F.col("_run") == 1), F.col("side"))).alias("first_side"),
-            F.max(order).alias("last_order"),
+            F.max_by(F.struct(*record), F.struct(*order)).alias("last"),
         )
     )
     last_side = F.pmod(F.col("first_side") + F.col("n") - 1, F.lit(2))
@@ -105,7 +107,7 @@ def _pending_carry(events: DataFrame, order: str) -> DataFrame:
             F.when(F.col("_pinned").isNotNull(), F.struct(F.col("_pinned").alias("waits"), "_upto")),
         )
         .withColumn("_anchor", F.last("_anchor", ignorenulls=True).over(before))
-        .withColumn("_previous", F.lag("last_order").over(w))
+        .withColumn("_previous", F.lag("last").over(w))
         .withColumn("_gone", F.lag("_upto").over(w))
     )
     since = F.col("_gone") - F.coalesce(F.col("_anchor._upto"), F.lit(0))
@@ -113,31 +115,30 @@ def _pending_carry(events: DataFrame, order: str) -> DataFrame:
         F.pmod(since, F.lit(2)) == 1
     )
     return scanned.filter(F.col("_previous").isNotNull() & waits).select(
-        "machineId", F.col(segments.SEGMENT).alias("_to"), F.col("_previous").alias(order)
+        "machineId", segments.SEGMENT, "_previous.*"
     )
 
 
 def pair_latest(
-    state: DataFrame, metrics: DataFrame, order: str = "seq", span: int = 2_000_000
+    state: DataFrame, metrics: DataFrame, order: str | list[str] = "seq", span: int = 3600
 ) -> DataFrame:
     """Consume-once pairing per machine: a record meets the newest unmatched one of the other side;
     a newer record replaces an unmatched one of its own side.
 
+    ``order`` names what both feeds are merged by, an event time first where there is one: numbers
+    given by two feeds are not comparable. At equal values of the first a state record comes before
+    a metrics record. The pair carries the order columns of its later record.
+
     After run ``k`` of equal sides a record waits iff the run has two or more records or none
     waited before it. With ``r`` the last run of two or more, that is ``k - r`` even, or ``k`` odd
     if there is no such run. A pair then forms at each run start that finds a record waiting.
     Segments of the sequence are handled apart; the record a segment inherits is prepended to it.
     """
-    events = segments.with_segment(merged_feed(state, metrics, order), ["machineId"], order, span)
-    hot = events.filter(segments.HOT)
-    carry = _pending_carry(hot, order)
-    inherited = (
-        hot.drop(segments.SEGMENT)
-        .join(carry, ["machineId", order])
-        .withColumnRenamed("_to", segments.SEGMENT)
-    )
-    runs = _runs(events.unionByName(inherited), order)
-    w = segments.segment_window(["machineId"], order)
+    first, *rest = segments.order_columns(order)
+    merged = [first, "side", *rest]
+    events = segments.with_segment(merged_feed(state, metrics, [first, *rest]), first, span)
+    runs = _runs(events.unionByName(_inherited(events, merged)), merged)
+    w = segments.segment_window(["machineId"], merged)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     k = F.col("_run") - 1
     waiting = F.when(F.col("_r").isNotNull(), F.pmod(k - F.col("_r"), F.lit(2)) == 0).otherwise(
@@ -148,7 +149,9 @@ def pair_latest(
         .withColumn("_state", F.coalesce("state", F.lag("state").over(w)))
         .withColumn("_metrics", F.coalesce("metrics", F.lag("metrics").over(w)))
         .filter((F.col("_run") > 1) & ~F.col("_repeat") & waiting)
-        .select("machineId", order, F.col("_state").alias("state"), F.col("_metrics").alias("metrics"))
+        .select(
+            "machineId", first, *rest, F.col("_state").alias("state"), F.col("_metrics").alias("metrics")
+        )
     )
 
 
@@ -198,28 +201,21 @@ def fill_window_fields(found: DataFrame) -> DataFrame:
 
 
 def feature_records(
-    state: DataFrame,
-    metrics: DataFrame,
-    features: DataFrame,
-    order: str,
-    time_of: str,
-    span: int = 2_000_000,
+    state: DataFrame, metrics: DataFrame, features: DataFrame, order: list[str], span: int = 3600
 ) -> DataFrame:
-    """Pairs, translated and enriched; ``time_of`` is the event-time column of both feeds. A pair's
-    time is that of its later record."""
+    """Pairs, translated and enriched. ``order`` is the event time of both feeds and what follows it; a
+    pair's time is that of its later record."""
+    time_of, *rest = order
     pairs = pair_latest(state, metrics, order, span)
-    later = F.greatest(F.col(f"state.{time_of}"), F.col(f"metrics.{time_of}"))
-    timed = low_frequency_record(pairs.withColumn("_time", later), ["_time", order])
-    return attach_features(translate_alarm(timed), features, "_time").select(
-        order, *FEATURE_RECORD
-    )
+    timed = low_frequency_record(pairs, order)
+    return attach_features(translate_alarm(timed), features, time_of).select(*rest, *FEATURE_RECORD)
 
 
 def feature_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*FEATURE_RECORD)).alias("value"))
 
 
-def trailing_ten(metrics: DataFrame, order: str = "seq", span: int = 2_000_000) -> DataFrame:
+def trailing_ten(metrics: DataFrame, order: str | list[str] = "seq", span: int = 3600) -> DataFrame:
     """Means over the last ten records per machine, to one decimal."""
     names = {"avg_spindle_load_10": "spindle_load", "avg_cutting_time_10": "cutting_time"}
     bare = metrics.drop(*names)
@@ -230,6 +226,6 @@ def trailing_ten(metrics: DataFrame, order: str = "seq", span: int = 2_000_000)
 
 
 def running_totals(
-    records: DataFrame, sums: dict, order: str = "seq", span: int = 2_000_000
+    records: DataFrame, sums: dict, order: str | list[str] = "seq", span: int = 3600
 ) -> DataFrame:
     return segments.running_sums(records, ["machineId"], order, sums, span)

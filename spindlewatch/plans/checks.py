@@ -117,20 +117,20 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("changes",),
     ),
     "merged": (
-        """SELECT "machineId", seq, 0 AS side FROM state UNION ALL
-           SELECT "machineId", seq, 1 FROM metrics""",
+        """SELECT "machineId", ts, seq, 0 AS side FROM state UNION ALL
+           SELECT "machineId", ts, seq, 1 FROM metrics""",
         ("state", "metrics"),
     ),
     "run_rows": (
         """SELECT *, sum(starts) OVER w AS run FROM (
-             SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY "machineId" ORDER BY seq)
+             SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY "machineId" ORDER BY ts, side, seq)
                THEN 0 ELSE 1 END AS starts FROM merged)
-           WINDOW w AS (PARTITION BY "machineId" ORDER BY seq)""",
+           WINDOW w AS (PARTITION BY "machineId" ORDER BY ts, side, seq)""",
         ("merged",),
     ),
     "run_list": (
-        """SELECT "machineId", run, any_value(side) AS side, count(*) AS len, min(seq) AS first_seq,
-             max(seq) AS last_seq FROM run_rows GROUP BY 1, 2""",
+        """SELECT "machineId", run, any_value(side) AS side, count(*) AS len, arg_min(seq, (ts, seq)) AS first_seq,
+             arg_max(seq, (ts, seq)) AS last_seq FROM run_rows GROUP BY 1, 2""",
         ("run_rows",),
     ),
     "run_pending": (
@@ -262,7 +262,7 @@ _CLEAN_NUMBERS = """CASE WHEN status IN ('运行', '运行中', '自动运行',
 
 
 def _mean_of_ten(column: str, name: str) -> str:
-    over = 'OVER (PARTITION BY "machineId" ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)'
+    over = 'OVER (PARTITION BY "machineId" ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)'
     return f'floor(avg({column}) {over} * 10 + 0.5) / 10 AS {name}'
 
 
@@ -471,7 +471,7 @@ CHECKS: dict[str, str] = {
           CAST(sum(CASE WHEN "isAlarm" <> '' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS alarms_so_far,
           round(sum(duration_seconds) OVER w, {DIGITS}) AS runtime_so_far,
           CAST(sum(is_running) OVER w AS BIGINT) AS running_so_far
-        FROM state WINDOW w AS (PARTITION BY "machineId" ORDER BY seq)""", "state"),
+        FROM state WINDOW w AS (PARTITION BY "machineId" ORDER BY ts, seq)""", "state"),
     "latest_by_key": sql(
         """SELECT * FROM logs
         QUALIFY row_number() OVER (PARTITION BY machine_id, error_code ORDER BY ts DESC, seq DESC) = 1""",

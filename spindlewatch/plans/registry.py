@@ -367,10 +367,14 @@ def highfreq_features(feeds: Feeds) -> DataFrame:
     return features.window_features(feeds.highfreq_sensor())
 
 
+# sequence numbers of two feeds are not comparable: their times come first
+TIME_ORDER = ["event_time", "seq"]
+
+
 @query
 def lowfreq_pairs(feeds: Feeds) -> DataFrame:
     pairs = features.pair_latest(
-        feeds.device_state(), feeds.sensor_metrics(), "seq", settings(feeds).segment_span
+        timed(feeds.device_state()), timed(feeds.sensor_metrics()), TIME_ORDER, settings(feeds).segment_seconds
     )
     return features.low_frequency_record(pairs, ["seq"])
 
@@ -391,9 +395,8 @@ def _feature_records(feeds: Feeds) -> DataFrame:
         timed(feeds.device_state()),
         timed(feeds.sensor_metrics()),
         features.window_features(feeds.highfreq_sensor()),
-        "seq",
-        "event_time",
-        settings(feeds).segment_span,
+        TIME_ORDER,
+        settings(feeds).segment_seconds,
     )
 
 
@@ -416,7 +419,7 @@ def feature_json(feeds: Feeds) -> DataFrame:
 @query
 def trailing10(feeds: Feeds) -> DataFrame:
     return features.trailing_ten(
-        feeds.sensor_metrics(), "seq", settings(feeds).segment_span
+        timed(feeds.sensor_metrics()), TIME_ORDER, settings(feeds).segment_seconds
     ).select("seq", "machineId", "avg_spindle_load_10", "avg_cutting_time_10")
 
 
@@ -429,7 +432,7 @@ def running_totals(feeds: Feeds) -> DataFrame:
         "running_so_far": F.col("is_running").cast("bigint"),
     }
     return features.running_totals(
-        feeds.device_state(), sums, "seq", settings(feeds).segment_span
+        timed(feeds.device_state()), sums, TIME_ORDER, settings(feeds).segment_seconds
     ).select("seq", "machineId", *sums)
 
 

@@ -108,7 +108,8 @@ DEVICE_STATE = {
 
 METRICS_FILTER = "event_type IN ('purchase', 'signup')"
 SENSOR_METRICS = {
-    "seq": "seq",
+    # a numbering of its own, as another topic's offsets are
+    "seq": "-seq",
     "ts": "ts",
     "machineId": _MACHINE_INT,
     "cutting_time": f"value * {_d(3)}",

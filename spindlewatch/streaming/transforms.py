@@ -83,10 +83,12 @@ def pair_stream(
     )
     if delay:
         both = both.withWatermark(time_column, delay)
-    both = p.with_time_ms(both, time_column)
-    rows = _schema(both, ["machineId", order, p.TIME_MS, "side", time_column, *s_cols, *m_cols])
+    # as in the batch form: by time, then side, then number
+    rank = F.col("side").cast("bigint") * (1 << 62) + F.col(order)
+    both = p.with_time_ms(both, time_column).withColumn("_rank", rank)
+    rows = _schema(both, ["machineId", order, p.TIME_MS, "_rank", "side", time_column, *s_cols, *m_cols])
     output = _schema(both, ["machineId", order, time_column, *s_cols, *m_cols])
-    processor = p.LatestPairing(rows, order, (s_cols, m_cols), output)
+    processor = p.LatestPairing(rows, "_rank", (s_cols, m_cols), output)
     paired = p.run_processor(both, ["machineId"], processor, output, time_column)
     return paired.select(
         "machineId", order, time_column,

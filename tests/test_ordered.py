@@ -49,6 +49,29 @@ def test_pairs(spark, span, kind):
     assert sorted(tuple(r) for r in got.collect()) == pairing(events)
 
 
+@pytest.mark.parametrize("span", [1, 10, 3600])
+def test_pairs_of_feeds_with_numbers_of_their_own(spark, span):
+    """Each feed counts from one, times tie within and across feeds: time, side, number is the order."""
+    rng = random.Random(span)
+    events, counts, now = [], defaultdict(int), 0.0
+    for _ in range(300):
+        now += rng.choice([0, 0, 0.4, 3, 40])
+        side = rng.randint(0, 1)
+        counts[side] += 1
+        events.append((rng.choice([1, 1, 2]), START + datetime.timedelta(seconds=now), side, counts[side]))
+    df = spark.createDataFrame(events, "machineId int, t timestamp, side int, seq long").repartition(5)
+    feed = [df.filter(f"side = {k}").select("machineId", "t", "seq", F.col("seq").alias("n")) for k in (0, 1)]
+    got = features.pair_latest(*feed, ["t", "seq"], span).select("machineId", "t", "state.n", F.col("metrics.n").alias("m"))
+    waiting, want = {}, []
+    for machine, t, side, n in sorted(events):
+        held = waiting.pop(machine, None)
+        if held and held[0] != side:
+            want.append((machine, t, *((n, held[1]) if side == 0 else (held[1], n))))
+        else:
+            waiting[machine] = (side, n)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("span", [1, 4, 13, 1000])
 def test_running_sums_and_trailing_means(spark, span):
     rng = random.Random(span)

@@ -39,6 +39,13 @@ def test_filters_reach_the_scan(spark, small):
     assert re.search(r"PushedFilters: \[[^\]]*event_type", plan)
 
 
+@pytest.mark.parametrize(("name", "scans"), [("lowfreq_pairs", 4), ("trailing10", 2), ("running_totals", 2)])
+def test_ordered_operators_read_little(spark, small, name, scans):
+    plan = plan_of(entry.queries()[name](spark, small))
+    assert plan.count("FileScan parquet") <= scans
+    assert "SinglePartition" not in plan
+
+
 def test_roll_up_scans_once(spark, small):
     plan = plan_of(entry.queries()["window_rollup"](spark, small))
     assert plan.count("FileScan parquet") == 1

@@ -81,8 +81,8 @@ def test_pairs(stream, batch):
             timed(stream.device_state()), timed(stream.sensor_metrics()), "seq", "event_time", DELAY
         )
     )
-    want = features.pair_latest(*frames, "seq").filter(
-        F.greatest("state.event_time", "metrics.event_time") <= limit
+    want = features.pair_latest(*frames, ["event_time", "seq"]).filter(
+        F.col("event_time") <= limit
     )
     columns = ["seq", "machineId", "state.isAlarm", "state.duration_seconds", "metrics.total_parts"]
     assert table(got.select(*columns)) == table(want.select(*columns))
@@ -125,8 +125,8 @@ def test_a_silent_pairing_side_holds_nothing_back(stream, batch):
     limit = watermark(batch, (state, "event_time"), (metrics, "event_time"))
     quiet = timed(stream.sensor_metrics()).filter(until)
     got = drained(transforms.pair_stream(timed(stream.device_state()), quiet, "seq", "event_time", DELAY))
-    want = features.pair_latest(state, metrics, "seq").filter(
-        F.greatest("state.event_time", "metrics.event_time") <= limit
+    want = features.pair_latest(state, metrics, ["event_time", "seq"]).filter(
+        F.col("event_time") <= limit
     )
     columns = ["seq", "machineId", "state.isAlarm", "metrics.total_parts"]
     assert table(got.select(*columns)) and table(got.select(*columns)) == table(want.select(*columns))
