@@ -109,10 +109,10 @@ def start_realtime_engine(
         ("device_health", same),
     )
     start(
-        "lake_sensor", lambda: sinks.event_day(sensor.drop("timestamp")), ("sensor_detail_realtime", same)
+        "lake_sensor", lambda: sinks.event_hour(sensor.drop("timestamp")), ("sensor_detail_realtime", same)
     )
     start(
-        "lake_log", lambda: sinks.event_day(alerts.log_severity(log).drop("timestamp")),
+        "lake_log", lambda: sinks.event_hour(alerts.log_severity(log).drop("timestamp")),
         ("device_log_realtime", same),
     )
     return started

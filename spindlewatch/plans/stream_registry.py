@@ -108,19 +108,19 @@ def stream_alerts(feeds: Feeds) -> DataFrame:
 def lake_sensor_upsert(feeds: Feeds) -> DataFrame:
     """Sensor detail upserted by (machine_id, ts), one micro-batch after another."""
     path = shared_path(feeds.spark, "lake_sensor")
-    rows = sinks.event_day(feeds.sensor_raw().drop("timestamp"))
-    write = sinks.upsert_writer(f"{path}/table", ["machine_id", "ts"], ["seq"], "day")
+    rows = sinks.event_hour(feeds.sensor_raw().drop("timestamp"))
+    write = sinks.upsert_writer(f"{path}/table", ["machine_id", "ts"], ["seq"], sinks.HOURLY)
     sinks.start_foreach(rows, write, f"{path}/checkpoint", {"availableNow": True}).awaitTermination()
-    return feeds.spark.read.schema(rows.schema).parquet(f"{path}/table").drop("day", "seq")
+    return feeds.spark.read.schema(rows.schema).parquet(f"{path}/table").drop("day", "hour", "seq")
 
 
 @stream_query
 def lake_log_upsert(feeds: Feeds) -> DataFrame:
     path = shared_path(feeds.spark, "lake_log")
-    rows = sinks.event_day(alerts.log_severity(feeds.log_raw()).drop("timestamp"))
-    write = sinks.upsert_writer(f"{path}/table", ["machine_id", "ts"], ["seq"], "day")
+    rows = sinks.event_hour(alerts.log_severity(feeds.log_raw()).drop("timestamp"))
+    write = sinks.upsert_writer(f"{path}/table", ["machine_id", "ts"], ["seq"], sinks.HOURLY)
     sinks.start_foreach(rows, write, f"{path}/checkpoint", {"availableNow": True}).awaitTermination()
-    return feeds.spark.read.schema(rows.schema).parquet(f"{path}/table").drop("day", "seq")
+    return feeds.spark.read.schema(rows.schema).parquet(f"{path}/table").drop("day", "hour", "seq")
 
 
 @stream_query

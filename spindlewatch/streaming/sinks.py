@@ -149,37 +149,71 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def touched_partitions(batch: DataFrame, partition: str) -> Column:
-    """Partition filter for a batch. Only its distinct partition values (days) come to the driver,
-    no more than the table's file listing holds there anyway."""
-    values = [row[0] for row in batch.select(partition).distinct().collect()]
-    return F.col(partition).isin(values)
+def touched_partitions(batch: DataFrame, partition: str | Sequence[str]) -> Column:
+    """Partition filter for a batch. Only its distinct partition values (hours, buckets) come to the
+    driver, no more than the table's file listing holds there anyway."""
+    parts = _names(partition)
+    values = batch.select(*parts).distinct().collect()
+    if len(parts) == 1:
+        return F.col(parts[0]).isin([row[0] for row in values])
+    any_of = F.lit(False)
+    for row in values:
+        both = F.lit(True)
+        for name, value in zip(parts, row, strict=True):
+            both &= F.col(name).eqNullSafe(value)
+        any_of |= both
+    return any_of
+
+
+def _names(columns: str | Sequence[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+STAGED = "_staged"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def _apply_staged(batch: DataFrame, path: str, partition: str | Sequence[str]) -> None:
+    """Put the staged partitions into their places, then forget the stage; may be repeated at any point."""
+    spark, staged = batch.sparkSession, f"{path}/{STAGED}"
+    (
+        spark.read.schema(batch.schema).parquet(staged)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_names(partition))
+        .parquet(path)
+    )
+    _delete(spark, staged)
 
 
 def upsert_files(
-    batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], partition: str
+    batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], partition: str | Sequence[str]
 ) -> None:
     """Merge rows by key into a partitioned parquet table; of equal keys the last in ``order`` stays.
 
     Only partitions the batch touches are read and replaced. ``partition`` must be a function of the
-    keys. Running the same batch again leaves the table as it is.
+    keys. Merged partitions are first written whole to a hidden folder beside the table, and only a
+    complete stage replaces anything. A run that dies while old files are being replaced is finished
+    by the next call from that stage, so no stored row is lost, and running the same batch again leaves the
+    table as it is.
     """
-    spark = batch.sparkSession
+    spark, staged = batch.sparkSession, f"{path}/{STAGED}"
+    if _exists(spark, f"{staged}/_SUCCESS"):
+        _apply_staged(batch, path, partition)
     merged = batch
     if _exists(spark, path):
         stored = spark.read.schema(batch.schema).parquet(path)
         merged = stored.filter(touched_partitions(batch, partition)).unionByName(batch)
-    (
-        latest_by_key(merged, keys, order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    latest_by_key(merged, keys, order).write.mode("overwrite").partitionBy(*_names(partition)).parquet(staged)
+    _apply_staged(batch, path, partition)
 
 
 def upsert_writer(
-    path: str, keys: Sequence[str], order: Sequence[str], partition: str
+    path: str, keys: Sequence[str], order: Sequence[str], partition: str | Sequence[str]
 ) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
@@ -213,3 +247,11 @@ def merge_statement(table: str, keys: Sequence[str], columns: Sequence[str], sou
 def event_day(rows: DataFrame, ts_ms: str = "ts") -> DataFrame:
     """Add the partition column ``day`` of a lake table keyed by (machine_id, ts)."""
     return rows.withColumn("day", F.date_format(F.timestamp_millis(ts_ms), "yyyy-MM-dd"))
+
+
+HOURLY = ["day", "hour"]
+
+
+def event_hour(rows: DataFrame, ts_ms: str = "ts") -> DataFrame:
+    """Add the partition columns ``HOURLY``: a micro-batch then rewrites the hours it touches, not days."""
+    return event_day(rows, ts_ms).withColumn("hour", F.hour(F.timestamp_millis(ts_ms)))

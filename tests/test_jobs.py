@@ -23,7 +23,7 @@ def test_realtime_engine(spark, stream, small):
     out = shared_path(spark, "realtime")
     by_key = {"sensor_detail_realtime", "device_log_realtime"}
     writers = {
-        name: sinks.upsert_writer(f"{out}/{name}", ["machine_id", "ts"], ["seq"], "day")
+        name: sinks.upsert_writer(f"{out}/{name}", ["machine_id", "ts"], ["seq"], sinks.HOURLY)
         if name in by_key
         else sinks.batch_folder_writer(f"{out}/{name}")
         for name in jobs.REALTIME_OUTPUTS

@@ -2,6 +2,7 @@
 
 import os
 import random
+import shutil
 import time
 
 import pyarrow.parquet as pq
@@ -194,6 +195,31 @@ def test_upsert_replaces_and_repeats(spark, tmp_path):
     assert got == {("1", 1): 1.0, ("1", 2): 20.0, ("1", 3): 30.0, ("2", 9): 3.0}
 
 
+def test_upsert_finishes_what_a_dead_run_began(spark, tmp_path, monkeypatch):
+    """The run dies when old files are gone and the new ones are not in place; the replay loses nothing."""
+    path = str(tmp_path / "lake")
+    schema = "machine_id string, ts long, v double, seq long, day string, hour int"
+    old = spark.createDataFrame([("1", 1, 1.0, 1, "a", 0), ("1", 2, 2.0, 2, "a", 1), ("2", 9, 3.0, 3, "a", 1)], schema)
+    new = spark.createDataFrame([("1", 2, 20.0, 5, "a", 1)], schema)
+    keys = ["machine_id", "ts"], ["seq"], sinks.HOURLY
+    sinks.upsert_files(old, path, *keys)
+    untouched = {f.name for f in (tmp_path / "lake" / "day=a" / "hour=0").iterdir()}
+
+    def dies(batch, path, partition):
+        shutil.rmtree(f"{path}/day=a/hour=1")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_apply_staged", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            sinks.upsert_files(new, path, *keys)
+    for _ in range(2):
+        sinks.upsert_files(new, path, *keys)
+        got = {(r.machine_id, r.ts): r.v for r in spark.read.parquet(path).collect()}
+        assert got == {("1", 1): 1.0, ("1", 2): 20.0, ("2", 9): 3.0}
+    assert {f.name for f in (tmp_path / "lake" / "day=a" / "hour=0").iterdir()} == untouched
+
+
 def test_upsert_reads_touched_partitions_only(spark, tmp_path):
     path = str(tmp_path / "lake")
     schema = "k string, seq long, day string"
