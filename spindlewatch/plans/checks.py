@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from spindlewatch.functions.alarm_codes import ALARM_MESSAGES, UNKNOWN_ALARM_PREFIX
 from spindlewatch.operators.cleaner import EXTENSION_FIELDS, OUTPUTS
-from spindlewatch.plans.registry import DIGITS
+from spindlewatch.plans.registry import DIGITS, HORIZON_HOURS, HOUR_SECONDS
 from spindlewatch.sources import fixture_exprs as fx
 
 
@@ -167,10 +167,31 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
             LEFT JOIN dictionary d ON d.code = p."isAlarm" """,
         ("pairs", "features", "dictionary"),
     ),
+    "labels": (
+        f"""SELECT f."machineId", window_start, any_value(var_temp) AS var_temp, any_value(fft_peak) AS fft_peak,
+              (epoch_ms(min(l."timestamp")) - epoch_ms(window_end)) / {HOUR_SECONDS * 1000} AS rul_hours
+            FROM features f JOIN logs l ON CAST(l.machine_id AS INT) = f."machineId"
+              AND l.error_code = '999' AND l."timestamp" >= f.window_end
+            GROUP BY f."machineId", window_start, window_end""",
+        ("features", "logs"),
+    ),
+    "stable": (
+        """SELECT CAST(machine_id AS INT) AS "machineId", date_trunc('minute', update_time) AS window_start
+           FROM statuses GROUP BY 1, 2 HAVING arg_max(machine_status, (update_time, seq)) = '稳定运行'""",
+        ("statuses",),
+    ),
+    "lines": (
+        f"""SELECT regr_slope(rul_hours, var_temp) AS s1, regr_intercept(rul_hours, var_temp) AS i1,
+              regr_slope(fails, fft_peak) AS s2, regr_intercept(fails, fft_peak) AS i2
+            FROM (SELECT *, CASE WHEN rul_hours <= {HORIZON_HOURS} THEN 1.0 ELSE 0.0 END::DOUBLE AS fails FROM labels)
+            WHERE (epoch_ms(window_start) // 60000) % 4 <> 3""",
+        ("labels",),
+    ),
     "scored": (
-        """SELECT *, greatest(0.0, 220.0 - var_temp) AS rul_value, least(1.0, fft_peak / 4.5)
-             AS failure_probability FROM features""",
-        ("features",),
+        """SELECT f.*, greatest(0.0, i1 + s1 * var_temp) AS rul_value,
+             least(1.0, greatest(0.0, i2 + s2 * fft_peak)) AS failure_probability
+           FROM features f JOIN stable USING ("machineId", window_start), lines""",
+        ("features", "stable", "lines"),
     ),
 }
 
@@ -499,19 +520,18 @@ CHECKS: dict[str, str] = {
         FROM features f JOIN logs l ON CAST(l.machine_id AS INT) = f."machineId"
           AND l.error_code = '999' AND l."timestamp" >= f.window_end
         GROUP BY f."machineId", window_start, window_end""", "features", "logs"),
+    "rul_linear": sql(
+        f"""SELECT "machineId", window_start, {rounded('rul_value failure_probability')} FROM scored""", "scored"),
     "risk_level": sql(
         f"""SELECT "machineId", window_start, round(rul_value, {DIGITS}) AS rul_value,
           CASE WHEN rul_value < 48 THEN 'High' WHEN rul_value < 168 THEN 'Medium' ELSE 'Low' END
             AS risk_level FROM scored""", "scored"),
     "rul_alerts": sql(
         f"""SELECT {_ALERT} FROM (SELECT window_end AS alert_time, CAST("machineId" AS VARCHAR) AS machine_id,
-          'RUL预警' AS alert_type, rul_value AS trigger_value, 48.0::DOUBLE AS threshold_value,
+          'RUL预警' AS alert_type, rul_value AS trigger_value, 130.0::DOUBLE AS threshold_value,
           '请立即检查设备' AS suggested_action FROM scored
-        WHERE rul_value < 48 OR failure_probability > 0.85)""", "scored"),
-    "stable_windows": sql(
-        """SELECT CAST(machine_id AS INT) AS "machineId", date_trunc('minute', update_time) AS window_start
-        FROM statuses GROUP BY 1, 2
-        HAVING arg_max(machine_status, (update_time, seq)) = '稳定运行'""", "statuses"),
+        WHERE rul_value < 130 OR failure_probability > 0.6)""", "scored"),
+    "stable_windows": sql("SELECT * FROM stable", "stable"),
     # --- streams ---
     "stream_windows": sql(
         f"SELECT {_WINDOW} FROM w1m WHERE window_end <= (SELECT w FROM watermark)", "w1m", "watermark"),

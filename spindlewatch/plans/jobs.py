@@ -1,4 +1,4 @@
-"""The three jobs, wired from operators: realtime engine, feature engine, change-data cleaner.
+"""The jobs, wired from operators: realtime engine, feature engine, change-data cleaner, scoring.
 
 A job takes its parsed, watermarked inputs and one writer per output (see ``streaming.sinks``), so
 that tables, topics or files can stand behind each. Every output is a streaming query of its own,
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spindlewatch.config import Settings
-from spindlewatch.operators import alerts, cleaner, deviation, features, status, windows
+from spindlewatch.operators import alerts, cleaner, deviation, features, scoring, status, windows
 from spindlewatch.streaming import sinks, transforms
 from spindlewatch.streaming.watermarks import together
 
@@ -159,3 +159,22 @@ def run_cleaner(records: DataFrame, output: str, column: str = "ChangeData") ->
     """Clean a table of XML records and write its four outputs under ``output``."""
     cleaned = cleaner.clean_change_data(records, column).withColumn("clean_time", F.current_timestamp())
     return cleaner.write_outputs(cleaned, output)
+
+
+def run_scoring(
+    windows: DataFrame, sensor: DataFrame, changes: DataFrame, models: str, output: str,
+    hours: float = 48.0, probability: float = 0.85,
+) -> dict[str, str]:
+    """Remaining life, failure probability and risk of every window in the stable state, and the alerts they raise.
+
+    ``models`` holds the saved ``rul`` and ``failure`` models; returns the paths written.
+    """
+    stable = scoring.in_stable_state(windows, sensor, changes)
+    scored = scoring.score_rul(scoring.load_model(f"{models}/rul"), stable)
+    scored = scoring.score_failure(scoring.load_model(f"{models}/failure"), scored)
+    paths = {name: f"{output}/{name}" for name in ("rul_scores", "rul_alerts")}
+    scored.write.mode("overwrite").parquet(paths["rul_scores"])
+    # alerts come from the rows as written, so models are applied once
+    written = windows.sparkSession.read.parquet(paths["rul_scores"])
+    scoring.rul_alerts(written, hours, probability).write.mode("overwrite").parquet(paths["rul_alerts"])
+    return paths

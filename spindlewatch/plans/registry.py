@@ -498,14 +498,35 @@ def _types(cleaned: DataFrame, target: str) -> T.StructType:
 # --- scoring ------------------------------------------------------------------------------------
 
 
+# the feeds' clock runs fast: a tenth of a second stands for an hour
+HOUR_SECONDS, HORIZON_HOURS = 0.1, 100.0
+
+
+def _stable(feeds: Feeds) -> DataFrame:
+    return scoring.in_stable_state(
+        features.window_features(feeds.highfreq_sensor()), feeds.sensor_raw(), feeds.changes(), "seq",
+        settings(feeds).start_speed,
+    )
+
+
+def _labelled(feeds: Feeds) -> DataFrame:
+    return scoring.hours_to_next_failure(
+        features.window_features(feeds.highfreq_sensor()), feeds.log_raw(), hour_seconds=HOUR_SECONDS
+    )
+
+
 @query
 def rul_score(feeds: Feeds) -> DataFrame:
-    """Trains on time to each machine's next critical error, then scores all windows."""
-    windowed = features.window_features(feeds.highfreq_sensor())
-    labelled = scoring.hours_to_next_failure(windowed, feeds.log_raw())
-    model = scoring.fit_rul(labelled)
-    return scoring.score_rul(model, windowed).select(
-        "machineId", "window_start", "rul_value", "risk_level"
+    """Tree model for remaining life and classifier for failure, trained on three windows of four, saved, loaded,
+    and applied to all windows of machines in the stable state."""
+    labelled = _labelled(feeds)
+    path = shared_path(feeds.spark, "models")
+    scoring.save_model(scoring.fit_rul(labelled), f"{path}/rul")
+    scoring.save_model(scoring.fit_failure(labelled, HORIZON_HOURS), f"{path}/failure")
+    scored = scoring.score_rul(scoring.load_model(f"{path}/rul"), _stable(feeds))
+    return scoring.score_failure(scoring.load_model(f"{path}/failure"), scored).select(
+        "machineId", "window_start", "rul_value", "failure_probability", "risk_level",
+        scoring.held_out().alias("held_out"),
     )
 
 
@@ -516,33 +537,30 @@ def rul_label(feeds: Feeds) -> DataFrame:
     ).select("machineId", "window_start", "rul_hours")
 
 
-def _rule_scored(feeds: Feeds) -> DataFrame:
-    """Window features with a hand-made score in the model's place, so that rules can be checked."""
-    windowed = features.window_features(feeds.highfreq_sensor())
-    return windowed.withColumn(
-        "rul_value", F.greatest(F.lit(0.0), 220.0 - F.col("var_temp"))
-    ).withColumn("failure_probability", F.least(F.lit(1.0), F.col("fft_peak") / 4.5))
+def _linear(feeds: Feeds) -> DataFrame:
+    return scoring.score_linear(scoring.linear_models(_labelled(feeds), HORIZON_HOURS), _stable(feeds))
+
+
+@query
+def rul_linear(feeds: Feeds) -> DataFrame:
+    """Least-squares scores of windows in the stable state."""
+    return _linear(feeds).select("machineId", "window_start", "rul_value", "failure_probability")
 
 
 @query
 def risk_level(feeds: Feeds) -> DataFrame:
-    return _rule_scored(feeds).select(
-        "machineId", "window_start", "rul_value", fn.risk_level("rul_value").alias("risk_level")
-    )
+    return _linear(feeds).select("machineId", "window_start", "rul_value", "risk_level")
 
 
 @query
 def rul_alerts(feeds: Feeds) -> DataFrame:
-    return scoring.rul_alerts(_rule_scored(feeds))
+    return scoring.rul_alerts(_linear(feeds), 130.0, 0.6)
 
 
 @query
 def stable_windows(feeds: Feeds) -> DataFrame:
     """Windows that would be scored: machine stable at its last reading."""
-    return scoring.in_stable_state(
-        features.window_features(feeds.highfreq_sensor()), feeds.sensor_raw(), feeds.changes(), "seq",
-        settings(feeds).start_speed,
-    ).select("machineId", "window_start")
+    return _stable(feeds).select("machineId", "window_start")
 
 
 def batch_queries() -> dict[str, Query]:

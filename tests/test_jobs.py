@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindlewatch.config import PREFIX, Settings
-from spindlewatch.operators import cleaner, latest
+from spindlewatch.operators import cleaner, features, latest, scoring
 from spindlewatch.plans import jobs
 from spindlewatch.plans.registry import timed
 from spindlewatch.session import shared_path
@@ -91,3 +91,21 @@ def test_settings_from_session(spark):
     assert (s.temperature_threshold, s.alert_codes, s.alert_topic) == (75.5, ("999", "500"), "other")
     # text that is no number leaves the default
     assert s.interpolation_max_gap_seconds == 5
+
+
+def test_scoring_job(spark, small):
+    feeds = Feeds(spark, small)
+    windowed = features.window_features(feeds.highfreq_sensor())
+    labelled = scoring.hours_to_next_failure(windowed, feeds.log_raw(), hour_seconds=0.1)
+    models = shared_path(spark, "models")
+    scoring.save_model(scoring.fit_rul(labelled), f"{models}/rul")
+    scoring.save_model(scoring.fit_failure(labelled, 100.0), f"{models}/failure")
+    paths = jobs.run_scoring(windowed, feeds.sensor_raw(), feeds.changes(), models, shared_path(spark, "scores"), 130.0)
+    rows = spark.read.parquet(paths["rul_scores"]).collect()
+    stable = scoring.in_stable_state(windowed, feeds.sensor_raw(), feeds.changes())
+    assert sorted((r.machineId, r.window_start) for r in rows) == sorted(
+        map(tuple, stable.select("machineId", "window_start").collect())
+    )
+    assert all(0 <= r.failure_probability <= 1 and r.rul_value >= 0 for r in rows)
+    due = [r for r in rows if r.rul_value < 130 or r.failure_probability > 0.85]
+    assert spark.read.parquet(paths["rul_alerts"]).count() == len(due)
