@@ -297,7 +297,7 @@ def _quarantined() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _interpolated() -> str:
+def _interpolated(until: str = "true") -> str:
     def line(c: str) -> str:
         return f"p_{c} + ({c} - p_{c}) * (k * 1000 / gap)"
 
@@ -308,7 +308,7 @@ def _interpolated() -> str:
       SELECT *, ts - p_ts AS gap, unnest(range(1, 6)) AS k FROM (
         SELECT *, lag(ts) OVER w AS p_ts, {lags} FROM sensor
         WINDOW w AS (PARTITION BY machine_id ORDER BY ts, seq)))
-      WHERE gap > 1000 AND gap <= 5000 AND k * 1000 < gap"""
+      WHERE gap > 1000 AND gap <= 5000 AND k * 1000 < gap AND {until}"""
 
 
 def _throttled(statuses: str, until: str = "true") -> str:
@@ -543,6 +543,14 @@ CHECKS: dict[str, str] = {
         f"""SELECT * FROM ({_SLIDING})
         WHERE record_time + INTERVAL 30 SECOND <= (SELECT w FROM watermark)""",
         "deviations", "sliding_slots", "watermark"),
+    "stream_sustained": sql(
+        f"""SELECT {_DEVIATION_ROW} FROM sustained
+        WHERE record_time + INTERVAL 30 SECOND <= (SELECT w FROM watermark)""", "sustained", "watermark"),
+    "stream_interpolate": sql(_interpolated("epoch_ms(ts) <= (SELECT w FROM watermark)"), "sensor", "watermark"),
+    "stream_late": sql(
+        """SELECT epoch_ms(event_ms - event_ms % 60000) AS window_start, machine_id, count(*) AS n FROM arrivals
+        WHERE event_ms - event_ms % 60000 + 60000 <= (SELECT max(event_ms) - 30000 FROM arrivals)
+        GROUP BY 1, 2""", "arrivals"),
     "stream_spike": sql(
         f"SELECT {_ALERT} FROM spikes WHERE alert_time <= (SELECT w FROM watermark)", "spikes", "watermark"),
     "stream_gap_fill": sql(

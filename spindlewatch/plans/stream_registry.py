@@ -57,6 +57,32 @@ def stream_deviation(feeds: Feeds) -> DataFrame:
     return deviation.sliding_deviation(deviation.deviating(readings, s.deviation_threshold))
 
 
+@stream_query
+def stream_sustained(feeds: Feeds) -> DataFrame:
+    s = Settings.from_spark(feeds.spark)
+    readings = deviation.with_deviation(deviation.with_standards(_sensor(feeds), feeds.standards()))
+    return deviation.sustained_deviation(readings, s.sustained_deviation)
+
+
+@stream_query
+def stream_interpolate(feeds: Feeds) -> DataFrame:
+    s = Settings.from_spark(feeds.spark)
+    return transforms.interpolate_stream(
+        _sensor(feeds), ["temperature", "vibration_x", "current"], "seq",
+        s.interpolation_step_seconds, s.interpolation_max_gap_seconds,
+    )
+
+
+@stream_query
+def stream_late(feeds: Feeds) -> DataFrame:
+    """Windows over records that may be as late as the settings allow, some of them 45 seconds behind."""
+    late = f"{Settings.from_spark(feeds.spark).max_allowed_lateness_seconds} seconds"
+    arrivals = feeds.arrivals().withWatermark("event_time", late)
+    return arrivals.groupBy(F.window("event_time", "1 minute").alias("_w"), "machine_id").agg(
+        F.count(F.lit(1)).alias("n")
+    ).select(F.col("_w.start").alias("window_start"), "machine_id", "n")
+
+
 @stream_query
 def stream_spike(feeds: Feeds) -> DataFrame:
     return transforms.spike_stream(transforms.filled_window_stream(_sensor(feeds)))

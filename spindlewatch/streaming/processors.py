@@ -190,6 +190,26 @@ class Throttle(OrderedReplay):
         return (second,), self.emit(row)
 
 
+class Interpolate(OrderedReplay):
+    """Linear interpolation over short gaps; memory is the reading before, its time in microseconds first."""
+
+    def __init__(self, row_schema, order, columns: list[str], output: T.StructType, step_us: int, max_gap_us: int):
+        memory = T.StructType([T.StructField("us", T.LongType())] + [row_schema[c] for c in columns])
+        super().__init__(row_schema, memory, order)
+        self.columns, self.output = columns, output.fieldNames()
+        self.step_us, self.max_gap_us = step_us, max_gap_us
+
+    def step(self, memory, row):
+        out = []
+        gap = row["us"] - memory[0] if memory else 0
+        if self.step_us < gap <= self.max_gap_us:
+            for us in range(memory[0] + self.step_us, row["us"], self.step_us):
+                share = (us - memory[0]) / gap
+                values = {c: a + (row[c] - a) * share for c, a in zip(self.columns, memory[1:], strict=True)}
+                out += self.emit({**row, **values, "us": us})
+        return (row["us"], *[row[c] for c in self.columns]), out
+
+
 def run_processor(
     rows: DataFrame, keys: list[str], processor: StatefulProcessor, output: T.StructType,
     time_column: str = "",

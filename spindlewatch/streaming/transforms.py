@@ -145,6 +145,23 @@ def spike_stream(filled: DataFrame, ratio: float = 0.2) -> DataFrame:
     )
 
 
+def interpolate_stream(
+    sensor: DataFrame, columns: list[str], order: str = "seq", step_seconds: int = 1, max_gap_seconds: int = 5
+) -> DataFrame:
+    """Readings between the given ones across gaps of up to ``max_gap_seconds``, of a stream watermarked on ``timestamp``;
+    missing values count as 0, as the parsers give them."""
+    readings = p.with_time_ms(sensor, "timestamp").select(
+        "machine_id", "timestamp", order, p.TIME_MS, F.unix_micros("timestamp").alias("us"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
+    )
+    rows = _schema(readings, [order, p.TIME_MS, "timestamp", "us", "machine_id", *columns])
+    output = _schema(readings, ["machine_id", "timestamp", "us", *columns])
+    processor = p.Interpolate(rows, order, columns, output, step_seconds * 1_000_000, max_gap_seconds * 1_000_000)
+    # rows come out between readings, some before the watermark: they carry no event time for operators above
+    found = p.run_processor(readings, ["machine_id"], processor, output)
+    return found.withColumn("timestamp", F.timestamp_micros("us")).drop("us")
+
+
 def throttle_stream(
     rows: DataFrame, time_column: str, columns: list[str], order: str = "seq", interval: int = 60
 ) -> DataFrame:

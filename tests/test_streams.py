@@ -74,6 +74,14 @@ def test_windows_and_spikes(stream, batch):
     assert spikes and spikes == table(windows.vibration_spikes(want))
 
 
+def test_interpolation(stream, batch):
+    columns = ["temperature", "vibration_x", "current"]
+    got = drained(transforms.interpolate_stream(marked(stream.sensor_raw(), "timestamp"), columns))
+    limit = watermark(batch, (batch.sensor_raw(), "timestamp"))
+    due = batch.sensor_raw().filter(F.col("timestamp") <= limit)
+    assert table(got) and table(got) == table(windows.interpolate_gaps(due, columns, "seq", 1, 5))
+
+
 def test_pairs(stream, batch):
     frames = timed(batch.device_state()), timed(batch.sensor_metrics())
     limit = watermark(batch, *[(f, "event_time") for f in frames])
