@@ -338,6 +338,20 @@ _HELD = f"""SELECT {rounded(_MEASURES, 'window_start window_end machine_id windo
     last_value(CASE WHEN NOT filled THEN current_fluctuation END IGNORE NULLS) OVER w AS current_fluctuation)
   FROM w3s_gaps WINDOW w AS (PARTITION BY machine_id ORDER BY window_end))"""
 
+def _landed() -> str:
+    """Lines by feed and target; tests compare their contents."""
+    parts = []
+    feeds = [("sensor", "sensor", True), ("log", "logs", True), ("change", "change_rows", True), ("state", "state", False),
+             ("metrics", "metrics", False), ("highfreq", "highfreq", False)]
+    for feed, cte, files in feeds:
+        for target in ["topic", "files"] if files else ["topic"]:
+            cut = "0" if feed == "change" else f"count(*) FILTER (seq % {fx.MALFORMED_EVERY} = 0)"
+            parts.append(
+                f"SELECT '{feed}' AS topic_type, '{target}' AS target, count(*) AS n, {cut}::BIGINT AS n_cut_off FROM {cte}"
+            )
+    return sql(" UNION ALL ".join(parts), *[cte for _, cte, _ in feeds])
+
+
 _RECORD_FIELDS = _RECORD.replace('"seq", ', "")
 
 
@@ -580,6 +594,5 @@ CHECKS: dict[str, str] = {
         """SELECT machine_id, ts, error_code, error_msg, stack_trace,
           CASE error_code WHEN '999' THEN 'Critical' WHEN '500' THEN 'High' ELSE 'Normal' END AS severity
         FROM logs QUALIFY row_number() OVER (PARTITION BY machine_id, ts ORDER BY seq DESC) = 1""", "logs"),
-    "raw_landing": sql(
-        "SELECT unnest(['log', 'text']) AS topic_type, count(*) AS n FROM logs", "logs"),
+    "raw_landing": _landed(),
 }

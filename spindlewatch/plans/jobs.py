@@ -155,8 +155,11 @@ def cleaner_samples(spark: SparkSession) -> DataFrame:
     return samples.withColumn("record_time", F.timestamp_seconds(F.lit(1704067200) + F.col("record_id")))
 
 
-def run_cleaner(records: DataFrame, output: str, column: str = "ChangeData") -> dict[str, str]:
-    """Clean a table of XML records and write its four outputs under ``output``."""
+def run_cleaner(records: DataFrame, output: str | None = None, column: str = "ChangeData") -> dict[str, str]:
+    """Clean a table of XML records and write its four outputs under ``output``, or where the settings say."""
+    output = output or Settings.from_spark(records.sparkSession).output_base_path
+    if not output:
+        raise ValueError("name an output folder, or set output_base_path")
     cleaned = cleaner.clean_change_data(records, column).withColumn("clean_time", F.current_timestamp())
     return cleaner.write_outputs(cleaned, output)
 

@@ -151,19 +151,29 @@ def lake_log_upsert(feeds: Feeds) -> DataFrame:
 
 @stream_query
 def raw_landing(feeds: Feeds) -> DataFrame:
-    """Log lines to two targets at once (tagged lines for the topic, plain text files)."""
+    """Raw lines of all feeds to the targets of their routes: tagged lines for the topics, plain text files."""
     path = shared_path(feeds.spark, "landing")
-    lines = parse.tag_feed(feeds.log_lines(), "log")
-
-    def text(batch: DataFrame, batch_id: int) -> None:
-        sinks.batch_folder_writer(f"{path}/text", "text")(batch.select("value"), batch_id)
-
-    write = sinks.fan_out(sinks.batch_folder_writer(f"{path}/topic"), text)
-    sinks.start_foreach(lines, write, f"{path}/checkpoint", {"availableNow": True}).awaitTermination()
-    topic = feeds.spark.read.parquet(f"{path}/topic").groupBy("topic_type")
-    landed = feeds.spark.read.text(f"{path}/text").select(F.lit("text").alias("topic_type"), "value")
-    n = F.count(F.lit(1)).alias("n")
-    return topic.agg(n).unionByName(landed.groupBy("topic_type").agg(n))
+    lines = {
+        "sensor": feeds.sensor_lines(), "log": feeds.log_lines(), "change": feeds.change_lines(),
+        "state": feeds.device_state_lines(), "metrics": feeds.sensor_metrics_lines(), "highfreq": feeds.highfreq_lines(),
+    }
+    landed = []
+    for feed, rows in lines.items():
+        files = sinks.batch_folder_writer(f"{path}/{feed}/files", "text")
+        writers = {
+            "topic": sinks.batch_folder_writer(f"{path}/{feed}/topic"),
+            "files": lambda batch, batch_id, files=files: files(batch.select("value"), batch_id),
+        }
+        write = sinks.landing_writer(feed, writers)
+        tagged = parse.tag_feed(rows, feed)
+        sinks.start_foreach(tagged, write, f"{path}/{feed}/checkpoint", {"availableNow": True}).awaitTermination()
+        for target in sinks.ROUTES[feed]:
+            found = feeds.spark.read.parquet(f"{path}/{feed}/topic") if target == "topic" else feeds.spark.read.text(f"{path}/{feed}/files")
+            landed.append(found.select(F.lit(feed).alias("topic_type"), F.lit(target).alias("target"), "value"))
+    cut_off = F.sum((~F.col("value").endswith("}") & (F.col("topic_type") != "change")).cast("bigint"))
+    return alerts.all_alerts(*landed).groupBy("topic_type", "target").agg(
+        F.count(F.lit(1)).alias("n"), cut_off.alias("n_cut_off")
+    )
 
 
 def stream_queries() -> dict[str, Query]:

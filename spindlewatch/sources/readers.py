@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindlewatch.config import Settings
 from spindlewatch.operators import parse
 from spindlewatch.streaming.sinks import jdbc_options
 
@@ -44,16 +45,22 @@ def file_lines(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.load(path)
 
 
-def sensor_stream(spark: SparkSession, brokers: str, topic: str = "sensor_raw") -> DataFrame:
-    return parse.parse_sensor_raw(topic_lines(spark, brokers, topic))
+# the typed feeds; brokers and the treatment of missing numbers come from the settings unless given
 
 
-def log_stream(spark: SparkSession, brokers: str, topic: str = "log_raw") -> DataFrame:
-    return parse.parse_log_raw(topic_lines(spark, brokers, topic))
+def sensor_stream(spark: SparkSession, brokers: str | None = None, topic: str = "sensor_raw") -> DataFrame:
+    s = Settings.from_spark(spark)
+    return parse.parse_sensor_raw(topic_lines(spark, brokers or s.kafka_brokers, topic), s.missing)
 
 
-def change_stream(spark: SparkSession, brokers: str, topic: str = "ChangeRecord") -> DataFrame:
-    return parse.parse_change_record(topic_lines(spark, brokers, topic))
+def log_stream(spark: SparkSession, brokers: str | None = None, topic: str = "log_raw") -> DataFrame:
+    s = Settings.from_spark(spark)
+    return parse.parse_log_raw(topic_lines(spark, brokers or s.kafka_brokers, topic), s.missing)
+
+
+def change_stream(spark: SparkSession, brokers: str | None = None, topic: str = "ChangeRecord") -> DataFrame:
+    s = Settings.from_spark(spark)
+    return parse.parse_change_record(topic_lines(spark, brokers or s.kafka_brokers, topic))
 
 
 def change_table(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spindlewatch.config import secret
+from spindlewatch.config import Settings, secret
 from spindlewatch.operators.latest import latest_by_key
 
 BATCH_COLUMN = "batch_id"
@@ -144,6 +144,30 @@ def kafka_writer(brokers: str, topic: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def alert_topic_writer(spark: SparkSession) -> Callable[[DataFrame, int], None]:
+    """Writer of alert lines to the topic that the settings name."""
+    s = Settings.from_spark(spark)
+    return kafka_writer(s.kafka_brokers, s.alert_topic)
+
+
+def feature_topic_writer(spark: SparkSession) -> Callable[[DataFrame, int], None]:
+    """Writer of feature lines to the topic that the settings name."""
+    s = Settings.from_spark(spark)
+    return kafka_writer(s.kafka_brokers, s.feature_topic)
+
+
+#: Where the raw lines of each feed go: to its topic only, or to landing files as well.
+ROUTES = {
+    "sensor": ("topic", "files"), "log": ("topic", "files"), "change": ("topic", "files"),
+    "state": ("topic",), "metrics": ("topic",), "highfreq": ("topic",),
+}
+
+
+def landing_writer(feed: str, writers: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
+    """Writer of a feed's tagged lines to the targets of its route; ``writers`` has one for each target."""
+    return fan_out(*[writers[target] for target in ROUTES[feed]])
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

@@ -239,6 +239,20 @@ def test_upsert_reads_touched_partitions_only(spark, tmp_path):
     assert [r.k for r in stored.collect()] == ["1"]
 
 
+def test_landing_keeps_the_lines_as_they_are(spark, tmp_path, batch):
+    rows = batch.log_lines()
+    writers = {
+        "topic": sinks.batch_folder_writer(str(tmp_path / "topic")),
+        "files": lambda b, i: sinks.batch_folder_writer(str(tmp_path / "files"), "text")(b.select("value"), i),
+    }
+    want = sorted(r.value for r in rows.collect())
+    sinks.landing_writer("log", writers)(parse.tag_feed(rows, "log"), 0)
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "topic")).collect()) == want
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "files")).collect()) == want
+    sinks.landing_writer("state", {"topic": writers["topic"]})(parse.tag_feed(rows, "state"), 1)
+    assert spark.read.text(str(tmp_path / "files")).count() == len(want)
+
+
 def test_landing_replay_overwrites(spark, tmp_path):
     lines = parse.tag_feed(spark.createDataFrame([("a",), ("b",)], "value string"), "log")
     write = sinks.fan_out(
