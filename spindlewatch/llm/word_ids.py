@@ -20,6 +20,8 @@ CACHE_CHUNKS, KEPT_CHUNKS = 500_000, 300_000
 BLOCK_CHARS = 1 << 21
 #: Separators that ``str.split`` knows and the tokenizer's ``\s`` does not.
 ODD = re.compile("[\x1c-\x1f]")
+#: Marks that the pre-tokenizer never joins with the letter or digit before them.
+MARKS = ".,;:!?)"
 #: A character that is a token of its own between two spaces.
 SEPARATOR = "\0"
 PLAIN = re.compile(r"[ \t\n\r\f\v]+")
@@ -48,7 +50,22 @@ class WordCoder:
         self.ends = np.zeros(1 << 16, np.int64)  # of chunk i: ids[ends[i] : ends[i + 1]]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, many in one call: a separator that none of them holds stands between them."""
+        """Ids of new chunks. Many differ from a known word only in the marks at their end, which are always
+        pieces of their own behind a letter or digit: those are put together from the two."""
+        cores = [c.rstrip(MARKS) for c in chunks]
+        split = [bool(core) and len(core) < len(c) and core[-1].isalnum() for core, c in zip(cores, chunks, strict=True)]
+        tails = [c[len(core) :] for core, c in zip(cores, chunks, strict=True)]
+        parts = dict.fromkeys(core if cut else c for core, c, cut in zip(cores, chunks, split, strict=True))
+        parts.update(dict.fromkeys(tail for tail, cut in zip(tails, split, strict=True) if cut))
+        self._encode([p for p in parts if p not in self.number])
+        both = [(c, core, tail) for c, core, tail, cut in zip(chunks, cores, tails, split, strict=True) if cut]
+        if both:
+            pairs = np.array([self.number[x] for _, *ends in both for x in ends])
+            ids, sizes = self._gather(pairs)
+            self._store([c for c, _, _ in both], ids, sizes[::2] + sizes[1::2])
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Encode chunks, many in one call: a separator that none of them holds stands between them."""
         plain = [c for c in chunks if SEPARATOR not in c]
         for begin in range(0, len(plain), 4096):
             some = plain[begin : begin + 4096]
@@ -61,6 +78,14 @@ class WordCoder:
                 ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
                 self._store([chunk], ids, np.array([len(ids)]))
 
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of chunks by number, one after another, and how many each has)."""
+        starts = self.ends[which]
+        sizes = self.ends[which + 1] - starts
+        first = np.cumsum(sizes) - sizes
+        take = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(starts - first, sizes)
+        return self.ids[take], sizes
+
     def _store(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.number)
         begin = int(self.ends[first])
@@ -83,12 +108,7 @@ class WordCoder:
         if len(missing):
             self._learn(list(dict.fromkeys(chunks[i] for i in missing)))
             which[missing] = [self.number[chunks[i]] for i in missing]
-        starts = self.ends[which]
-        sizes = self.ends[which + 1] - starts
-        total = int(sizes.sum())
-        first = np.cumsum(sizes) - sizes
-        take = np.arange(total, dtype=np.int64) + np.repeat(starts - first, sizes)
-        return self.ids[take], sizes
+        return self._gather(which)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
