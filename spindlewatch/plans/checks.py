@@ -25,7 +25,7 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "base": (_select(fx.BASE, "events"), ()),
     "sensor": (f"SELECT *{_AT} FROM ({_select(fx.SENSOR_RAW, 'base')})", ("base",)),
     "logs": (f"SELECT *{_AT} FROM ({_select(fx.LOG_RAW, 'base')})", ("base",)),
-    "change_rows": (_select(fx.CHANGE_RECORD, "base", where=fx.CHANGE_FILTER), ("base",)),
+    "change_rows": (_select(fx.CHANGE_RECORD, "base"), ("base",)),
     "changes": (
         "SELECT seq, machine_id, status, epoch_ms(start_s * 1000) AS start_time, "
         "epoch_ms(end_s * 1000) AS end_time FROM change_rows WHERE flaw = ''",
@@ -33,6 +33,8 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "state": (_select(fx.DEVICE_STATE, "base", where=fx.STATE_FILTER), ("base",)),
     "metrics": (_select(fx.SENSOR_METRICS, "base", where=fx.METRICS_FILTER), ("base",)),
+    "all_state": (_select(fx.DEVICE_STATE, "base"), ("base",)),
+    "all_metrics": (_select(fx.SENSOR_METRICS, "base"), ("base",)),
     "highfreq": (_select(fx.HIGHFREQ_SENSOR, "base"), ("base",)),
     "cells": (_select(fx.CHANGE_DATA, "base"), ("base",)),
     "standards": (_select(fx.STANDARDS, "nation"), ()),
@@ -288,7 +290,7 @@ def _mean_of_ten(column: str, name: str) -> str:
 
 
 def _quarantined() -> str:
-    feeds = [("sensor", "sensor"), ("log", "logs"), ("state", "state"), ("metrics", "metrics"),
+    feeds = [("sensor", "sensor"), ("log", "logs"), ("state", "all_state"), ("metrics", "all_metrics"),
              ("highfreq", "highfreq")]
     parts = [
         f"SELECT seq, '{tag}' AS topic_type, 40::INT AS n_chars FROM {cte} WHERE NOT ({_READABLE})"
@@ -341,8 +343,8 @@ _HELD = f"""SELECT {rounded(_MEASURES, 'window_start window_end machine_id windo
 def _landed() -> str:
     """Lines by feed and target; tests compare their contents."""
     parts = []
-    feeds = [("sensor", "sensor", True), ("log", "logs", True), ("change", "change_rows", True), ("state", "state", False),
-             ("metrics", "metrics", False), ("highfreq", "highfreq", False)]
+    feeds = [("sensor", "sensor", True), ("log", "logs", True), ("change", "change_rows", True), ("state", "all_state", False),
+             ("metrics", "all_metrics", False), ("highfreq", "highfreq", False)]
     for feed, cte, files in feeds:
         for target in ["topic", "files"] if files else ["topic"]:
             cut = "0" if feed == "change" else f"count(*) FILTER (seq % {fx.MALFORMED_EVERY} = 0)"
@@ -382,17 +384,17 @@ CHECKS: dict[str, str] = {
     "parse_change_csv": sql("SELECT * FROM changes", "changes"),
     "parse_device_state_json": sql(
         f"""SELECT {rounded('duration_seconds', 'seq machineId is_running is_standby is_offline isAlarm '
-            'cumulative_alarms')} FROM state WHERE {_READABLE}""", "state"),
+            'cumulative_alarms')} FROM all_state WHERE {_READABLE}""", "all_state"),
     "parse_sensor_metrics_json": sql(
         f"""SELECT {rounded('cutting_time cycle_time spindle_load cumulative_runtime avg_spindle_load_10 '
             'avg_cutting_time_10', 'seq machineId feed_rate spindle_speed total_parts cumulative_parts')}
-        FROM metrics WHERE {_READABLE}""", "metrics"),
+        FROM all_metrics WHERE {_READABLE}""", "all_metrics"),
     "parse_highfreq_json": sql(
         f"""SELECT {rounded('temperature vibration_x vibration_y vibration_z spindle_load',
             'seq machineId feed_rate spindle_speed is_running')},
           strftime(epoch_ms(ts), '%Y-%m-%d %H:%M:%S.%g') AS "timestamp", epoch_ms(ts) AS event_time
         FROM highfreq WHERE {_READABLE}""", "highfreq"),
-    "quarantine": sql(_quarantined(), "sensor", "logs", "state", "metrics", "highfreq"),
+    "quarantine": sql(_quarantined(), "sensor", "logs", "all_state", "all_metrics", "highfreq"),
     "sensor_alerts": sql(f"SELECT {_ALERT} FROM sensor_alerts", "sensor_alerts"),
     "log_alerts": sql(f"SELECT {_ALERT} FROM log_alerts", "log_alerts"),
     "log_alerts_both_codes": sql(
@@ -494,19 +496,19 @@ CHECKS: dict[str, str] = {
     "alarm_translate": sql(
         f"""SELECT seq, "machineId", "isAlarm", CASE WHEN "isAlarm" = '' THEN '' ELSE
           COALESCE(message, '{UNKNOWN_ALARM_PREFIX}' || "isAlarm") END AS "alarmMessage"
-        FROM state LEFT JOIN dictionary ON code = "isAlarm" """, "state", "dictionary"),
+        FROM all_state LEFT JOIN dictionary ON code = "isAlarm" """, "all_state", "dictionary"),
     "features_22": sql(f"SELECT {_RECORD} FROM records", "records"),
     "feature_json": sql(
         f"""SELECT {_RECORD_FIELDS}, 22::INT AS n_fields FROM records""", "records"),
     "trailing10": sql(
         f"""SELECT seq, "machineId", {_mean_of_ten('spindle_load', 'avg_spindle_load_10')},
-          {_mean_of_ten('cutting_time', 'avg_cutting_time_10')} FROM metrics""", "metrics"),
+          {_mean_of_ten('cutting_time', 'avg_cutting_time_10')} FROM all_metrics""", "all_metrics"),
     "running_totals": sql(
         f"""SELECT seq, "machineId",
           CAST(sum(CASE WHEN "isAlarm" <> '' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS alarms_so_far,
           round(sum(duration_seconds) OVER w, {DIGITS}) AS runtime_so_far,
           CAST(sum(is_running) OVER w AS BIGINT) AS running_so_far
-        FROM state WINDOW w AS (PARTITION BY "machineId" ORDER BY ts, seq)""", "state"),
+        FROM all_state WINDOW w AS (PARTITION BY "machineId" ORDER BY ts, seq)""", "all_state"),
     "latest_by_key": sql(
         """SELECT * FROM logs
         QUALIFY row_number() OVER (PARTITION BY machine_id, error_code ORDER BY ts DESC, seq DESC) = 1""",

@@ -381,7 +381,7 @@ def lowfreq_pairs(feeds: Feeds) -> DataFrame:
 
 @query
 def alarm_translate(feeds: Feeds) -> DataFrame:
-    return features.translate_alarm(feeds.device_state()).select(
+    return features.translate_alarm(feeds.device_state(every=True)).select(
         "seq", "machineId", "isAlarm", "alarmMessage"
     )
 
@@ -419,7 +419,7 @@ def feature_json(feeds: Feeds) -> DataFrame:
 @query
 def trailing10(feeds: Feeds) -> DataFrame:
     return features.trailing_ten(
-        timed(feeds.sensor_metrics()), TIME_ORDER, settings(feeds).segment_seconds
+        timed(feeds.sensor_metrics(every=True)), TIME_ORDER, settings(feeds).segment_seconds
     ).select("seq", "machineId", "avg_spindle_load_10", "avg_cutting_time_10")
 
 
@@ -432,7 +432,7 @@ def running_totals(feeds: Feeds) -> DataFrame:
         "running_so_far": F.col("is_running").cast("bigint"),
     }
     return features.running_totals(
-        timed(feeds.device_state()), sums, TIME_ORDER, settings(feeds).segment_seconds
+        timed(feeds.device_state(every=True)), sums, TIME_ORDER, settings(feeds).segment_seconds
     ).select("seq", "machineId", *sums)
 
 

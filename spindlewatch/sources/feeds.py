@@ -47,7 +47,7 @@ class Feeds:
         return self._feed(fx.LOG_RAW).withColumn("timestamp", fn.epoch_ms_to_timestamp("ts"))
 
     def change_rows(self) -> DataFrame:
-        return self._feed(fx.CHANGE_RECORD, fx.CHANGE_FILTER)
+        return self._feed(fx.CHANGE_RECORD)
 
     def changes(self) -> DataFrame:
         """Change records that are well formed, as parsed rows."""
@@ -63,11 +63,12 @@ class Feeds:
             )
         )
 
-    def device_state(self) -> DataFrame:
-        return self._feed(fx.DEVICE_STATE, fx.STATE_FILTER)
+    def device_state(self, every: bool = False) -> DataFrame:
+        """The state side of the merged feeds, or the feed of every event."""
+        return self._feed(fx.DEVICE_STATE, None if every else fx.STATE_FILTER)
 
-    def sensor_metrics(self) -> DataFrame:
-        return self._feed(fx.SENSOR_METRICS, fx.METRICS_FILTER)
+    def sensor_metrics(self, every: bool = False) -> DataFrame:
+        return self._feed(fx.SENSOR_METRICS, None if every else fx.METRICS_FILTER)
 
     def highfreq_sensor(self) -> DataFrame:
         return self._feed(fx.HIGHFREQ_SENSOR).withColumn("event_time", fn.epoch_ms_to_timestamp("ts"))
@@ -120,11 +121,11 @@ class Feeds:
         return self.change_rows().select("seq", line.alias("value"))
 
     def device_state_lines(self) -> DataFrame:
-        rows = self.device_state()
+        rows = self.device_state(every=True)
         return self._lines(rows, F.struct(*[c for c in fx.DEVICE_STATE if c not in ("seq", "ts")]))
 
     def sensor_metrics_lines(self) -> DataFrame:
-        rows = self.sensor_metrics()
+        rows = self.sensor_metrics(every=True)
         return self._lines(rows, F.struct(*[c for c in fx.SENSOR_METRICS if c not in ("seq", "ts")]))
 
     def highfreq_lines(self) -> DataFrame:

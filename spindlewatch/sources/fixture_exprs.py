@@ -77,8 +77,7 @@ LOG_RAW = {
     "stack_trace": "concat('at unit', CAST(k % 5 AS STRING))",
 }
 
-# one change per event of type error; times are whole seconds, as in the feed's format
-CHANGE_FILTER = "event_type = 'error'"
+# one change per event; times are whole seconds, as in the feed's format
 CHANGE_RECORD = {
     "seq": "seq",
     "machine_id": _MACHINE,
@@ -106,7 +105,8 @@ DEVICE_STATE = {
     "cumulative_alarms": "k",
 }
 
-METRICS_FILTER = "event_type IN ('purchase', 'signup')"
+# where the two feeds are merged, every event is on one side; on their own, each feed has all events
+METRICS_FILTER = "COALESCE(event_type, '') NOT IN ('click', 'view')"
 SENSOR_METRICS = {
     # a numbering of its own, as another topic's offsets are
     "seq": "-seq",

@@ -35,7 +35,7 @@ def test_scan_reads_only_what_is_used(spark, small):
 
 
 def test_filters_reach_the_scan(spark, small):
-    plan = plan_of(entry.queries()["alarm_translate"](spark, small))
+    plan = plan_of(entry.queries()["lowfreq_pairs"](spark, small))
     assert re.search(r"PushedFilters: \[[^\]]*event_type", plan)
 
 
