@@ -34,9 +34,10 @@ SAMPLE_ROWS = 12_000
 CALIBRATION = 4
 EPOCHS = 12
 RATE = 0.5
-#: Share of right, calibrating documents that may score below the rejection threshold, and that threshold's ceiling.
+#: Share of right, calibrating documents that may score below the rejection threshold, and that threshold's ceiling:
+#: below one half, so that a text in equal parts of two known languages stays.
 REJECTED_SHARE = 0.001
-CEILING = 0.5
+CEILING = 0.4
 BLOCK_CHARS = 1 << 20
 UNDETERMINED = "und"
 

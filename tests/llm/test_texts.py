@@ -255,6 +255,14 @@ def test_language_odd_rows(spark, small):
     assert langid.keep_identified(train.limit(0)).count() == 0
 
 
+def test_texts_of_two_languages_are_kept(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").filter("length(text) BETWEEN 400 AND 4000").collect()
+    model = langid.fit_documents(spark.read.parquet(f"{small}/documents.parquet"))
+    one = {r["lang"]: r["text"] for r in rows}
+    mixed = [one[a][:400] + " " + one[b][:400] for a in one for b in one if a < b]
+    assert (model.score_texts(mixed).max(axis=1) >= model.threshold).mean() >= 0.9
+
+
 def test_language_scores_do_not_depend_on_blocks():
     texts = ["the cat sat on the mat " * 30, "der Hund und die Katze", "ß"]
     model = langid.train([("en", *langid.features(texts[0])), ("de", *langid.features(texts[1]))] * 4)
