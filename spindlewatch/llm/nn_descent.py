@@ -10,7 +10,8 @@ Search: each query keeps a beam of the nearest vectors met. A round expands the
 expanded along graph edges (its neighbours, and the ``degree`` nearest of those that name it), by joins of all queries
 at once; it ends when no beam has any left. The beam is then ranked by exact cosines in double precision.
 
-Graph and search work on 8-bit vectors; only the final ranking reads the originals. Equal vectors are one node.
+Graph and search compare the vectors as they are given, in double precision, so that near copies are told apart as the
+final ranking does it. Equal vectors are one node.
 
 Defined results: vectors that are null or zero or hold null or non-finite components take no part, as queries or as
 candidates; vectors of different lengths are no candidates for each other; rows with the same id are separate vectors; ties
@@ -41,16 +42,16 @@ SEED = 5
 
 
 def coded(x: np.ndarray) -> bytes:
-    """A direction in 8 bits a component, behind its scale."""
-    x = x / np.abs(x).max()
-    x = x / np.sqrt(x @ x)
-    scale = np.float32(np.abs(x).max() / 127)
-    return scale.tobytes() + np.rint(x / scale).astype(np.int8).tobytes()
+    """A vector's components as they are, behind a byte for their width."""
+    return x.dtype.char.encode() + x.tobytes()
 
 
 def decoded(codes) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)
-    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    """Directions of unit length in double precision, one row for each code of equal size."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    x = np.ascontiguousarray(raw[:, 1:]).view(chr(raw[0, 0])).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -65,9 +66,11 @@ def nodes_of(vectors: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
     rows = vectors.filter(usable("v")).select("key", "v", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
     classes = rows.groupBy("h1", "h2").agg(F.min("key").alias("node"), F.first("v").alias("v"))
 
+    width = np.float32 if vectors.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+
     @F.pandas_udf("binary")
     def code(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: coded(np.asarray(x, np.float64)))
+        return column.map(lambda x: coded(np.asarray(x, width)))
 
     nodes = written(classes.select("h1", "h2", "node", "v", code("v").alias("code")), "nn-nodes")
     first = Window.partitionBy("h1", "h2").orderBy("key")
@@ -78,7 +81,7 @@ def nodes_of(vectors: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
     return nodes.drop("h1", "h2"), members
 
 
-FLAT = "u bigint, v bigint, sim float"
+FLAT = "u bigint, v bigint, sim double"
 
 
 def _pairs(ids: np.ndarray, sims: np.ndarray, keep: np.ndarray) -> pd.DataFrame:
@@ -116,7 +119,7 @@ def _merged(flat: DataFrame, degree: int) -> DataFrame:
             )
 
     sorted_rows = flat.repartition("u").sortWithinPartitions("u")
-    return sorted_rows.mapInPandas(run, "u bigint, ids array<bigint>, sims array<float>, fresh int")
+    return sorted_rows.mapInPandas(run, "u bigint, ids array<bigint>, sims array<double>, fresh int")
 
 
 def _edges(graph: DataFrame) -> DataFrame:
@@ -127,7 +130,7 @@ def _edges(graph: DataFrame) -> DataFrame:
 def _start(nodes: DataFrame, degree: int) -> DataFrame:
     """Each node with its nearest among those beside it in ORDERS random orders."""
 
-    @F.pandas_udf("array<struct<t: int, bucket: int, place: float>>")
+    @F.pandas_udf("array<struct<t: int, bucket: int, place: double>>")
     def placed(codes: pd.Series) -> pd.Series:
         out: list = [None] * len(codes)
         sizes = codes.map(len)
@@ -187,7 +190,7 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     others = edges.join(named, "v").select(
         F.col("v").alias("centre"), F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int").alias("chunk"), F.col("u").alias("member")
     )
-    worst = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float")
+    worst = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("double")
     known = written(nodes.select("node", "code").join(graph.select(F.col("u").alias("node"), worst.alias("worst")), "node", "left"), "nn-known")
     met = own.unionByName(others).distinct().join(known, F.col("member") == F.col("node"))
     met = met.select(F.xxhash64("centre", "chunk").alias("group"), "member", "code", "worst")
@@ -196,7 +199,7 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     def compare(frames):
         for frame, starts in sorted_groups(frames, "group"):
             member, codes = frame["member"].to_numpy(), frame["code"].tolist()
-            worst, out = frame["worst"].fillna(-2.0).to_numpy(np.float32), []
+            worst, out = frame["worst"].fillna(-2.0).to_numpy(np.float64), []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a < 2 or len(set(map(len, codes[a:b]))) > 1:
                     continue
@@ -231,10 +234,10 @@ def search(
     back = back.filter(F.col("n") <= degree).select(F.col("v").alias("u"), F.col("u").alias("v"))
     links = written(edges.select("u", "v").unionByName(back).distinct(), "nn-links")
     codes = nodes.select("node", "code")
-    state_columns = "q bigint, code binary, ids array<bigint>, sims array<float>, done array<boolean>, next array<bigint>"
+    state_columns = "q bigint, code binary, ids array<bigint>, sims array<double>, done array<boolean>, next array<bigint>"
     nothing = F.lit(None)
     state = queries.select(
-        "q", "code", nothing.cast("array<bigint>").alias("ids"), nothing.cast("array<float>").alias("sims"),
+        "q", "code", nothing.cast("array<bigint>").alias("ids"), nothing.cast("array<double>").alias("sims"),
         nothing.cast("array<boolean>").alias("done"),
     )
     wanted = starts.select("q", "node")
@@ -249,7 +252,7 @@ def search(
                     continue
                 own, met = own.iloc[0], part[~part["is_state"].to_numpy()]
                 ids = np.zeros(0, np.int64) if own["ids"] is None else np.asarray(own["ids"], np.int64)
-                sims = np.zeros(0, np.float32) if own["sims"] is None else np.asarray(own["sims"], np.float32)
+                sims = np.zeros(0) if own["sims"] is None else np.asarray(own["sims"], np.float64)
                 done = np.zeros(0, bool) if own["done"] is None else np.asarray(own["done"], bool)
                 same = met["code"].map(len).to_numpy() == len(own["code"]) if len(met) else np.zeros(0, bool)
                 new, at = np.unique(met["node"].to_numpy()[same], return_index=True)
@@ -270,7 +273,7 @@ def search(
 
     while True:
         met = wanted.join(codes, "node").select(
-            "q", "code", nothing.cast("array<bigint>").alias("ids"), nothing.cast("array<float>").alias("sims"),
+            "q", "code", nothing.cast("array<bigint>").alias("ids"), nothing.cast("array<double>").alias("sims"),
             nothing.cast("array<boolean>").alias("done"), "node", F.lit(False).alias("is_state"),
         )
         rows = state.select("q", "code", "ids", "sims", "done", nothing.cast("bigint").alias("node"), F.lit(True).alias("is_state")).unionByName(met)

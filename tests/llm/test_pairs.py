@@ -215,3 +215,19 @@ def test_nearest_finds_most_on_a_larger_table(spark):
         sims[q] = -2
         hits += len(got[q] & set(np.argsort(-sims)[:5].tolist()))
     assert hits >= 0.9 * 5 * 60
+
+
+def test_nearest_tells_near_copies_apart(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal(64) + 0.01 * rng.standard_normal((3000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in nn_descent.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 50):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hits += len(got[q] & set(np.argsort(-sims)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 60
