@@ -21,6 +21,8 @@ The recall of the registered query is tested against brute force.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,10 +35,10 @@ from spindlewatch.llm.embedding_dedup import usable
 DEGREE = 32
 ORDERS = 8
 BLOCK = 1024
-ROUNDS = 4
 #: Share of list entries that changed, below which no further round is made.
 SETTLED = 0.02
-BEAM = 128
+#: Width of the beam up to so many nodes; it grows by as much again with each sixteenfold (``beam_for``).
+BEAM, BEAM_NODES = 128, 4096
 EXPANDED = 32
 SEED = 5
 
@@ -213,15 +215,19 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     return written(_merged(edges.withColumn("old", F.lit(True)).unionByName(found), degree), "nn-graph")
 
 
-def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (u, ids, sims) of ``nodes``."""
+def build(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
+    """The neighbour graph (u, ids, sims) of ``nodes``. Lists only ever get better, so they settle."""
     graph = _start(nodes, degree)
-    for _ in range(rounds):
+    while True:
         graph = _round(nodes, graph, degree)
         changed, entries = graph.agg(F.sum("fresh"), F.sum(F.size("ids"))).first()
         if not entries or changed < SETTLED * entries:
-            break
-    return graph
+            return graph
+
+
+def beam_for(n: int) -> int:
+    """The beam's width for ``n`` nodes: it grows with their logarithm."""
+    return BEAM + math.ceil(BEAM / 4 * math.log2(max(1.0, n / BEAM_NODES)))
 
 
 def search(
@@ -287,7 +293,7 @@ def search(
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", degree: int = DEGREE,
-    beam: int = BEAM,
+    beam: int | None = None,
 ) -> DataFrame:
     """For the rows that ``is_query`` says: query_id, rank (from 1), key, score of the k nearest other rows found."""
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), is_query.alias("is_query"))
@@ -300,7 +306,7 @@ def nearest(
     queries = written(asked.join(nodes.select(F.col("node").alias("q"), "code"), "q"), "nn-queries")
     starts = asked.join(graph.select(F.col("u").alias("q"), F.explode("ids").alias("node")), "q")
     starts = starts.unionByName(asked.select("q", F.col("q").alias("node")))
-    found = search(queries, starts, nodes, graph, beam, degree=degree)
+    found = search(queries, starts, nodes, graph, beam or beam_for(nodes.count()), degree=degree)
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:

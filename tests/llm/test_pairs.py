@@ -231,3 +231,18 @@ def test_nearest_tells_near_copies_apart(spark):
         sims[q] = -2
         hits += len(got[q] & set(np.argsort(-sims)[:5].tolist()))
     assert hits >= 0.9 * 5 * 60
+
+
+def test_rounds_go_on_until_the_lists_settle(spark, monkeypatch):
+    left = [90, 70, 50, 40, 30, 20, 10, 1, 0]
+    made = []
+
+    def one_round(nodes, graph, degree):
+        made.append(left[len(made)])
+        return spark.createDataFrame([(1, [2] * 100, made[-1])], "u bigint, ids array<bigint>, fresh int")
+
+    monkeypatch.setattr(nn_descent, "_start", lambda nodes, degree: None)
+    monkeypatch.setattr(nn_descent, "_round", one_round)
+    nn_descent.build(None)
+    assert made == left[:8]
+    assert [nn_descent.beam_for(n) for n in (0, 4096, 65_536, 1_048_576)] == [128, 128, 256, 384]
