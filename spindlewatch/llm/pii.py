@@ -70,6 +70,17 @@ KINDS = (
     ),
 )
 BASE = ("email", "ip", "card", "phone")
+#: The characters of an IBAN by its country code.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 
 
 def _digits(value: Column) -> Column:
@@ -112,6 +123,37 @@ def _confirmed(kind: str, value: Column) -> Column:
 SPAN = "array<struct<start: int, kind_order: int, end: int, kind: string, value: string, score: double>>"
 
 
+def _iban(run: Column) -> Column:
+    """The IBAN a run of groups begins with, else null: of its country's length, else the whole run; of a country not
+    listed, the longest part up to a group's end that its checksum confirms."""
+    lengths = F.create_map(*(F.lit(x) for item in IBAN_LENGTHS.items() for x in item))
+    length = F.try_element_at(lengths, F.substr(run, F.lit(1), F.lit(2)))
+    own = F.regexp_substr(run, F.concat(F.lit("^(?: ?[A-Z0-9]){"), length.cast("string"), F.lit("}(?![A-Za-z0-9])")))
+    groups = F.split(run, " ")
+    heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    tried = F.when(length.isNull(), heads).otherwise(F.array(own, run))
+    return F.try_element_at(F.filter(tried, lambda v: _confirmed("iban", v)), F.lit(1))
+
+
+def _iban_places(kind: Kind, text: Column) -> Column:
+    """Confirmed IBANs: a run is looked at from every place where one can begin, as the groups behind an IBAN may belong to
+    the next; of overlapping ones the first stays."""
+    first = kind.pattern.replace("[A-Z]{2}", "[A-Z](?=[A-Z]", 1) + ")"
+    gaps = F.split(text, first, -1)
+    # a match is one character, so each gap begins one behind the end of the gap before it
+    ends = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.array(F.lit(0)), lambda done, g: F.array_append(done, F.element_at(done, -1) + F.length(g) + 1))
+    runs = F.transform(F.slice(ends, F.lit(2), F.size(ends)), lambda e: F.struct(
+        e.alias("begin"), _iban(F.regexp_extract(F.substr(text, e, F.lit(64)), "^" + kind.pattern, 0)).alias("value")
+    ))
+    placed = F.transform(F.filter(runs, lambda s: s["value"].isNotNull()), lambda s: F.struct(
+        s["value"].alias("value"), (s["begin"] - 1 + F.length(s["value"])).alias("end")
+    ))
+    none = F.array().cast("array<struct<value: string, end: int>>")
+    return F.aggregate(placed, none, lambda done, s: F.when(
+        (F.size(done) == 0) | (s["end"] - F.length(s["value"]) >= F.try_element_at(done, F.lit(-1))["end"]), F.array_append(done, s)
+    ).otherwise(done))
+
+
 def _spans(kind: Kind, order: int, text: Column) -> Column:
     """Confirmed spans of one kind: texts between the matches give the positions."""
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -123,7 +165,7 @@ def _spans(kind: Kind, order: int, text: Column) -> Column:
         lambda done, s: F.array_append(done, F.element_at(done, -1) + s["gap"] + s["own"]),
     )
     placed = F.zip_with(values, F.slice(ends, F.lit(2), F.size(values)), lambda v, e: F.struct(v.alias("value"), e.alias("end")))
-    placed = F.filter(placed, lambda s: _confirmed(kind.name, s["value"]))
+    placed = _iban_places(kind, text) if kind.name == "iban" else F.filter(placed, lambda s: _confirmed(kind.name, s["value"]))
 
     def judged(s: Column) -> Column:
         start = s["end"] - F.length(s["value"])

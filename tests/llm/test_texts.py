@@ -220,6 +220,20 @@ def test_pii_checksums_and_context(spark):
     assert out[0][0]["value"] == "DE89 3704 0044 0532 0130 00" and out[5][0]["score"] == 1.0
 
 
+def test_ibans_end_where_their_country_says(spark):
+    at, es = "AT61 1904 3002 3457 3201", "ES9121000418450200051332"
+    cases = {
+        f"IBAN {at} BIC GIBAATWW": [at], f"{es} BIC X": [es], "AT611904300234573201 12 May": ["AT611904300234573201"],
+        f"é🙂 {at} {es} 2024": [at, es], f"AB12 {at} 77": [at], f"AB12 3456 7890 {at} OK": [at], f"{at}x": [], f"{at} DE89 3704 0044 0532 0130 00": [at, "DE89 3704 0044 0532 0130 00"],
+        "AT61 1904 3002 3457 3202 BIC X": [],
+    }
+    out = {r["doc_id"]: r["pii"] for r in pii.find(docs(spark, list(enumerate(cases)))).collect()}
+    for i, (text, values) in enumerate(cases.items()):
+        spans = [s for s in out[i] if s["kind"] == "iban"]
+        assert [s["value"] for s in spans] == values, text
+        assert all(text[s["start"] : s["end"]] == s["value"] for s in spans)
+
+
 def test_pii_redaction(spark):
     df = spark.createDataFrame(
         [(1, "é a@b.co and 4111 1111 1111 1111!", "en", 33), (2, "clean", "en", 5), (3, None, None, None)],
