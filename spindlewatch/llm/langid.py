@@ -20,13 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindlewatch.llm.common import slices
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
-#: Labelled documents used for training: about this many a language, so many languages and documents at most.
+#: Labelled documents used for training: this many a language at most, fewer if all languages together had more than SAMPLE_ROWS.
 PER_LANGUAGE = 400
 LANGUAGES = 256
 SAMPLE_ROWS = 12_000
@@ -184,7 +185,8 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mo
 def fit_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", eligible: Column | None = None
 ) -> Model | None:
-    """A model from a bounded sample of the labelled, eligible rows: those of the smallest key hashes in each language.
+    """A model from a bounded sample of the labelled, eligible rows: those of the smallest hashes of key and text in each
+    language, as many of each language at most. Rows that repeat key and text count once.
 
     Only subword counts of the sample reach the driver, SAMPLE_ROWS rows of them at most.
     """
@@ -192,19 +194,25 @@ def fit_documents(
         F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
         (F.lit(True) if eligible is None else eligible).alias("ok"),
     ).filter("ok AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)))
     counts = {
         r["lang"]: r["n"]
-        for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+        for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("n"))
+        .orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     }
     if not counts:
         return None
-    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    limit = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int((1 << 30) * min(1.0, PER_LANGUAGE / n)))))
-    sample = (
-        rows.filter(F.col("lang").isin(list(counts)) & (drawn < F.element_at(limit, F.col("lang"))))
-        .select("key", "lang", "text")
-    )
+    share = min(PER_LANGUAGE, SAMPLE_ROWS // len(counts))
+    # enough hashes below the limit to hold the share of smallest ones, as the counts are estimates
+    near = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int((1 << 40) * min(1.0, (2 * share + 50) / n)))))
+    drawn = rows.filter(F.col("lang").isin(list(counts)) & (F.col("h") < F.element_at(near, F.col("lang"))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = drawn.select("lang", "h").distinct().withColumn("n", rank).filter(F.col("n") <= share)
+    last = {r["lang"]: r["h"] for r in last.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return None
+    limit = F.create_map(*(F.lit(x) for k, h in last.items() for x in (k, h)))
+    sample = drawn.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).dropDuplicates(["lang", "h"]).select("key", "lang", "text")
 
     def count(frames):
         for frame in frames:
@@ -214,7 +222,7 @@ def fit_documents(
                  "n": [n.tobytes() for _, n in found]}
             )
 
-    rows = sample.mapInPandas(count, "key string, lang string, at binary, n binary").limit(SAMPLE_ROWS).collect()
+    rows = sample.mapInPandas(count, "key string, lang string, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["key"], bytes(r["at"])))
     return train([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in rows])
 

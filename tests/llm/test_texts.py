@@ -282,3 +282,15 @@ def test_language_scores_do_not_depend_on_blocks():
     model = langid.train([("en", *langid.features(texts[0])), ("de", *langid.features(texts[1]))] * 4)
     whole = model.score_texts(texts)
     assert abs(whole - [model.score_texts([t])[0] for t in texts]).max() < 1e-9
+
+
+def test_language_sample_cuts_no_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(langid, "train", lambda sample: sample)
+    rows = [(None, f"null {i} aaa", "a") for i in range(400)] + [(5, f"five {i} bbb", "b") for i in range(400)] + [(7, "same text", "c")] * 400
+    rows += [(1000 * k + i, f"word{k} text{i}", f"l{k:02}") for k in range(40) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3, "lang")
+    seen = {}
+    for s in langid.fit_documents(df):
+        seen[s[0]] = seen.get(s[0], 0) + 1
+    assert seen == {"a": 6, "b": 6, "c": 1} | {f"l{k:02}": 6 for k in range(40)}
