@@ -3,7 +3,9 @@
 Method: a text's subwords are the byte n-grams (1 to 4) of its lower-cased words with a mark at either end. Each
 hashes to one row of an embedding table; their mean goes through a linear layer and a softmax. Training is
 stochastic gradient descent in numpy on a bounded sample of labelled documents. Part of the sample is set aside to
-fit a temperature, and the score below which a text is rejected is a low quantile of the calibrated scores there.
+fit a temperature, and the score below which a text is rejected is a low quantile of the calibrated scores there. As a
+softmax always leans to some learnt language, a text is also rejected if its subwords are unusual: if their mean log
+probability over the training texts of all languages lies further below the known texts' than chance and they explain.
 As everything behind the mean is linear, prediction adds up one precomputed row of class scores per subword.
 
 Defined results: null texts and texts without a letter get language ``und``, score 0.0, and are rejected; without a
@@ -14,7 +16,7 @@ language. Repeated rows give repeated results; an empty table gives an empty tab
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,10 @@ RATE = 0.5
 #: below one half, so that a text in equal parts of two known languages stays.
 REJECTED_SHARE = 0.001
 CEILING = 0.4
+#: Standard deviations below the known texts that are never held against a text.
+FAMILIAR = 6.0
+#: Subwords of a text that say as much as one drawn alone, as n-grams of four lengths overlap.
+OVERLAP = 4
 BLOCK_CHARS = 1 << 20
 UNDETERMINED = "und"
 
@@ -108,10 +114,19 @@ class Model:
     table: np.ndarray = field(repr=False)  # buckets x languages: class scores, divided by the temperature
     bias: np.ndarray = field(repr=False)
     threshold: float = 0.0
+    usual: np.ndarray | None = field(default=None, repr=False)  # log probability of each bucket in known texts
+    centre: float = 0.0  # of known texts' means, with the variance among texts and that of a single subword
+    among: float = 0.0
+    single: float = 0.0
+    floor: float = -np.inf
 
     def score_texts(self, texts: list[str]) -> np.ndarray:
         """Probabilities, one row for each text; rows of texts without subwords are those of the bias alone."""
-        sums = np.zeros((len(texts), len(self.languages)))
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities, whether the text's subwords are as usual as those of known texts), one row for each text."""
+        sums = np.zeros((len(texts), len(self.languages) + 1))
         counts = np.zeros(len(texts))
         for begin, end in slices(texts, BLOCK_CHARS):
             if end == begin + 1 and len(texts[begin]) > BLOCK_CHARS:
@@ -119,7 +134,11 @@ class Model:
                     self._add(sums, counts, begin, [block])
             else:
                 self._add(sums, counts, begin, texts[begin:end])
-        return softmax(sums / np.maximum(counts, 1)[:, None] + self.bias)
+        means = sums / np.maximum(counts, 1)[:, None]
+        return softmax(means[:, :-1] + self.bias), self.deviation(means[:, -1], counts) >= self.floor
+
+    def deviation(self, mean: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (mean - self.centre) / np.sqrt(self.among + self.single / np.maximum(count, 1) + 1e-12)
 
     def _add(self, sums, counts, first: int, texts: list[str]) -> None:
         data = [t.lower().encode("utf-8", "replace") for t in texts]
@@ -131,6 +150,8 @@ class Model:
             sums[first : first + len(texts), k] += np.bincount(
                 owner, weights=self.table[:, k][buckets], minlength=len(texts)
             )
+        if self.usual is not None:
+            sums[first : first + len(texts), -1] += np.bincount(owner, weights=self.usual[buckets], minlength=len(texts))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -179,7 +200,27 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mo
     scores = softmax(raw / temperature)
     right = scores.max(axis=1)[scores.argmax(axis=1) == truth]
     threshold = min(CEILING, float(np.quantile(right, REJECTED_SHARE))) if len(right) else 0.0
-    return Model(languages, (table / temperature).astype(np.float64), bias.astype(np.float64) / temperature, threshold)
+    model = Model(languages, (table / temperature).astype(np.float64), bias.astype(np.float64) / temperature, threshold)
+    return _familiarity(model, fit, held)
+
+
+def _familiarity(model: Model, fit: list, held: list) -> Model:
+    """The model with what tells texts of unknown languages; every language weighs alike, so texts of several stay."""
+    chance = np.zeros(BUCKETS)
+    for name in {s[0] for s in fit}:
+        seen = np.zeros(BUCKETS)
+        for s in fit:
+            if s[0] == name:
+                seen[s[1]] += s[2] / np.sqrt(s[2].sum())
+        seen += 1e-3 * seen.mean()
+        chance += seen / seen.sum()
+    usual = np.log(chance / chance.sum())
+    counts = np.array([n.sum() for _, _, n in held], np.float64)
+    means = np.array([usual[at] @ n for _, at, n in held]) / counts
+    squares = np.array([usual[at] ** 2 @ n for _, at, n in held]) / counts
+    single = OVERLAP * float(np.median(squares - means**2))
+    model = replace(model, usual=usual, centre=float(np.median(means)), among=float(means.var()), single=single)
+    return replace(model, floor=min(-FAMILIAR, float(np.quantile(model.deviation(means, counts), REJECTED_SHARE))))
 
 
 def fit_documents(
@@ -234,13 +275,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", out: str =
     def run(column: pd.Series) -> pd.DataFrame:
         texts = ["" if t is None else t for t in column]
         lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        usual = np.ones(len(texts), bool)
         if model is not None and texts:
-            chances = model.score_texts(texts)
+            chances, usual = model.judge(texts)
             for i, (t, k) in enumerate(zip(texts, chances.argmax(axis=1), strict=True)):
                 if LETTER.search(t):
                     lang[i], score[i] = model.languages[k], chances[i, k]
         threshold = model.threshold if model else 0.0
-        rejected = [name == UNDETERMINED or s < threshold for name, s in zip(lang, score, strict=True)]
+        rejected = [name == UNDETERMINED or s < threshold or not u for name, s, u in zip(lang, score, usual, strict=True)]
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
     return docs.withColumn(out, run(F.col(text).cast("string")))

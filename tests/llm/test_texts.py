@@ -294,3 +294,22 @@ def test_language_sample_cuts_no_language(spark, monkeypatch):
     for s in langid.fit_documents(df):
         seen[s[0]] = seen.get(s[0], 0) + 1
     assert seen == {"a": 6, "b": 6, "c": 1} | {f"l{k:02}": 6 for k in range(40)}
+
+
+UNLEARNT = [
+    "Minä olen tänään kotona ja luen kirjaa, koska ulkona sataa vettä ja tuuli on kova.",
+    "Dziś wieczorem pójdziemy do kina, bo grają nowy film polskiego reżysera.",
+    "Сегодня вечером мы пойдём в кино, потому что показывают новый фильм.",
+    "今日は天気がいいので公園を散歩しました。",
+    "Bugün hava çok güzel olduğu için parkta uzun bir yürüyüş yaptık.",
+    "xqzvk wjqpx zzkqv vbxjq kkwzx qjxvz pqwkz xxjvq",
+]
+
+
+def test_unlearnt_languages_are_rejected(spark, small):
+    train = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    for known in (train, train.filter("lang = 'en'")):
+        model = langid.fit_documents(known)
+        odd = langid.predict(spark.createDataFrame([(t,) for t in UNLEARNT], "text string"), model)
+        assert odd.filter("NOT language.rejected").count() == 0
+        assert langid.predict(known, model).filter("language.rejected").count() <= 0.01 * known.count()
