@@ -69,35 +69,75 @@ HINTS = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\
 PART = re.compile(r"[a-z]+")
 
 
-def _standing(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is never article text, and whether its markup names it the article."""
-    never, main = tag in NEVER or (tag == "header" and not inside), tag in MAIN
-    if attrs:
+#: Parts of a class that say how an element is laid out, not what it holds: has-sidebar, page-with-header, side-by-side.
+LAYOUT = {"has", "no", "with", "without", "by", "is", "not", "hide", "fixed"}
+#: Words of a run of text that counts as running text where shares of a page are compared.
+RUNNING = 5
+#: Share of a page's running text from which an element with a listed word among others in a name is its wrapper.
+WRAPPER = 0.75
+
+
+class Element:
+    """An open element: whether it is never article text, bears a listed name (2: the name is that word alone), is named
+    the article by its markup, and how many words of running text it holds."""
+
+    __slots__ = ("tag", "never", "listed", "main", "words")
+
+    def __init__(self, tag: str, attrs: str, inside: bool) -> None:
+        self.tag, self.words, self.listed = tag, 0, 0
+        self.never, self.main = tag in NEVER or (tag == "header" and not inside), tag in MAIN
         for name, *values in HINTS.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                never = True
+                self.never = True
             elif name == "role":
-                never, main = never or value in NEVER_ROLES, main or value == "main"
-            elif name in ("class", "id"):
-                if tag not in ("body", "html"):
-                    names = value.split()
-                    main = main or any(n in MAIN_WORDS for n in names)
-                    words = {w for n in names for w in PART.findall(n)} - ({"header"} if inside else set())
-                    never = never or bool(words & NEVER_WORDS) and not main
+                self.never, self.main = self.never or value in NEVER_ROLES, self.main or value == "main"
+            elif name in ("class", "id") and tag not in ("body", "html"):
+                names = value.split()
+                self.main = self.main or any(n in MAIN_WORDS for n in names)
+                if name == "id" and inside and (tag == "section" or re.fullmatch("h[1-6]", tag)):
+                    continue  # an anchor
+                for n in names:
+                    parts = PART.findall(n)
+                    if n not in MAIN_WORDS and not LAYOUT & set(parts) and set(parts) & NEVER_WORDS - ({"header"} if inside else set()):
+                        self.listed = max(self.listed, 2 if len(parts) == 1 else 1)
             elif name == "itemprop":
-                main = main or value == "articlebody"
-                never = never or value == "comment"
-    return never, main
+                self.main = self.main or value == "articlebody"
+                self.never = self.never or value == "comment"
+
+
+def _settle(runs: list[tuple[int, tuple[Element, ...]]]) -> tuple[set[int], set[int], bool]:
+    """Ids of elements that are never article text and of those named the article; whether the names hold most of the
+    page's running text. ``runs``: words and open elements of each run of text."""
+    whole = 0
+    for n, stack in runs:
+        if n >= RUNNING and not any(e.never for e in stack):
+            whole += n
+            for e in stack:
+                e.words += n
+    elements = {id(e): e for _, stack in runs for e in stack}
+    never = {i for i, e in elements.items() if e.never or e.listed == 2 or e.listed and e.words < WRAPPER * max(whole, 1)}
+    named = {i for i, e in elements.items() if e.main and i not in never}
+    # names of what holds an article say nothing, unless it is an article's own part
+    for _, stack in runs:
+        last = max((k for k, e in enumerate(stack) if id(e) in named), default=-1)
+        first = next((k for k, e in enumerate(stack) if id(e) in named), -1)
+        if last >= 0 and not any(e.never for e in stack[:last]) and not any(e.main and id(e) in never for e in stack[:last]):
+            never -= {id(e) for e in stack[:first] if e.listed}
+    held = sum(n for n, stack in runs if n >= RUNNING and not any(id(e) in never for e in stack) and any(id(e) in named for e in stack))
+    rest = sum(n for n, stack in runs if n >= RUNNING and not any(id(e) in never for e in stack) and not any(id(e) in named for e in stack))
+    return never, named, held >= rest
 
 
 def tokens(page: str) -> list[tuple]:
     """The page in order: ("<tag", block) for tags and (text, standing, feature) for runs of text.
 
-    standing: 2 in a part that is never article text, 1 within an element that the markup names the article, else 0.
+    standing: 2 in a part that is never article text, 1 within an element that the markup names the article, 3 within one
+    on a page most of whose running text such names leave out (teaser cards), else 0.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, never, main
+    stack: list[Element] = []
+    runs: list[tuple[int, tuple[Element, ...]]] = []
     at, end = 0, len(page)
 
     def run(begin: int, stop: int) -> None:
@@ -106,11 +146,10 @@ def tokens(page: str) -> list[tuple]:
             if raw:
                 out.append((" ", 0, ""))
             return
-        never = any(x[1] for x in stack)
-        main = any(x[2] for x in stack)
-        block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
-        link = any(x[0] == "a" for x in stack)
-        out.append((entities.unescape(raw), 2 if never else int(main), f"{block}|{'a' if link else ''}"))
+        block = next((x.tag for x in reversed(stack) if x.tag not in INLINE), "")
+        link = any(x.tag == "a" for x in stack)
+        out.append((entities.unescape(raw), -len(runs) - 1, f"{block}|{'a' if link else ''}"))
+        runs.append((len(raw.split()), tuple(stack)))
 
     while at < end:
         found = TOKEN.search(page, at)
@@ -134,21 +173,26 @@ def tokens(page: str) -> list[tuple]:
             out.append((" ", 0, ""))
         out.append(("<" + tag, block))
         if found["close"]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if any(x.tag == tag for x in stack):
+                while stack.pop().tag != tag:
                     pass
             continue
         if tag in CLOSED_BY or block and tag not in VOID:
             ends = CLOSED_BY.get(tag, {"p"})  # a new block ends an open paragraph
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
+                if stack[k].tag in ends:
                     del stack[k:]
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in ("td", "th"):
+                if stack[k].tag not in INLINE and stack[k].tag not in ("td", "th"):
                     break
         if tag not in VOID and not found["attrs"].rstrip().endswith("/"):
-            never, main = _standing(tag, found["attrs"], any(x[2] for x in stack))
-            stack.append((tag, never, main))
+            stack.append(Element(tag, found["attrs"], any(x.main for x in stack)))
+    never, named, most = _settle(runs)
+    for i, t in enumerate(out):
+        if len(t) == 3 and t[1] < 0:
+            ids = {id(e) for e in runs[-t[1] - 1][1]}
+            standing = 2 if ids & never else (1 if most else 3) if ids & named else 0
+            out[i] = (t[0], standing, t[2])
     return out
 
 
@@ -164,6 +208,7 @@ def count_labelled(page: str) -> Counter:
         if len(t) == 3:
             if words := len(t[0].split()):
                 seen["word", t[2], int(t[1] == 1)] += words
+                seen["name", "in" if t[1] == 1 else "out", int(t[1] == 1)] += words
         else:
             seen["tag", t[0], int(first <= i <= last)] += 1
     return seen
@@ -183,6 +228,8 @@ def fit(counts: dict[tuple[str, str, int], float]) -> dict[str, float]:
         inside, outside = (counts.get((kind, feature, i), 0) + 0.5 for i in (1, 0))
         if kind == "word":
             weights["w:" + feature] = max(-4.0, min(4.0, math.log(inside / outside)))
+        elif kind == "name":
+            weights["n:" + feature] = max(-6.0, min(6.0, math.log(inside / outside)))
         else:
             shares = inside / (totals["tag", 1] + 1), outside / (totals["tag", 0] + 1)
             weights["t:" + feature] = max(-2.0, min(-0.05, math.log(shares[0] / shares[1]) - 0.05))
@@ -190,7 +237,9 @@ def fit(counts: dict[tuple[str, str, int], float]) -> dict[str, float]:
 
 
 #: Scores that hold whatever the labelled pages say.
-NEVER_WORD, NAMED_WORD, OTHER_WORD, TAG = -6.0, 6.0, -6.0, -0.2
+NEVER_WORD, TAG = -6.0, -0.2
+#: What the markup's names add to a word's weight where no page was counted.
+NAMES = {"in": 6.0, "out": -6.0, "card": -6.0}
 DEFAULT_WORDS = {"p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.7, "h4": 0.5, "blockquote": 0.8, "pre": 0.8, "li": 0.3, "td": 0.3}
 
 
@@ -206,14 +255,16 @@ def _scores(parts: list[tuple], weights: dict[str, float]) -> list[float]:
             out.append(0.0)
         elif t[1] == 2:
             out.append(NEVER_WORD * words if not named else -0.01 * words)
-        elif named:
-            out.append((NAMED_WORD if t[1] == 1 else OTHER_WORD) * words)
         else:
             block, _, link = t[2].partition("|")
             weight = weights.get("w:" + t[2])
             if weight is None:
                 weight = DEFAULT_WORDS.get(block, 0.1)
-            out.append((min(weight, -0.5) if link and weight <= 0 else weight) * words)
+            weight = min(weight, -0.5) if link and weight <= 0 else weight
+            if named or t[1] == 3:
+                name = "card" if t[1] == 3 else "in" if t[1] == 1 else "out"
+                weight += weights.get("n:" + name, NAMES[name])
+            out.append(weight * words)
     return out
 
 

@@ -94,6 +94,17 @@ def test_html_without_named_article_uses_learnt_weights(spark, small):
         assert html_extract.extract(bare, weights) == html_extract.extract(r["html"], weights)
 
 
+STORY = "<p>The story goes on for a good many words in this paragraph.</p><p>And it has a second one that is about as long.</p>"
+STORY_TEXT = "The story goes on for a good many words in this paragraph.\nAnd it has a second one that is about as long."
+
+
+def test_articles_that_are_cards_or_comments():
+    cards = "".join(f'<article><h3><a href="/{i}">Teaser {i}</a></h3><p>Read more of it</p></article>' for i in range(4))
+    said = '<article class="comment"><p>I, a reader, liked this very much indeed, and write so.</p></article>'
+    for page in (f"<div>{STORY}</div><div>{cards}</div>", f"<div>{STORY}</div>{said}", f"<article>{STORY}</article>{said * 9}"):
+        assert html_extract.extract(f"<body>{page}</body>", {}) == STORY_TEXT
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(2)
     for _ in range(300):
