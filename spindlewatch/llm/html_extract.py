@@ -118,12 +118,11 @@ def _settle(runs: list[tuple[int, tuple[Element, ...]]]) -> tuple[set[int], set[
     elements = {id(e): e for _, stack in runs for e in stack}
     never = {i for i, e in elements.items() if e.never or e.listed == 2 or e.listed and e.words < WRAPPER * max(whole, 1)}
     named = {i for i, e in elements.items() if e.main and i not in never}
-    # names of what holds an article say nothing, unless it is an article's own part
-    for _, stack in runs:
-        last = max((k for k, e in enumerate(stack) if id(e) in named), default=-1)
-        first = next((k for k, e in enumerate(stack) if id(e) in named), -1)
-        if last >= 0 and not any(e.never for e in stack[:last]) and not any(e.main and id(e) in never for e in stack[:last]):
-            never -= {id(e) for e in stack[:first] if e.listed}
+    # if all named text stands in listed elements, those that hold half of the page are its wrappers
+    if not any(ids & named and not ids & never for ids in ({id(e) for e in stack} for _, stack in runs)):
+        for _, stack in runs:
+            first = next((k for k, e in enumerate(stack) if id(e) in named), 0)
+            never -= {id(e) for e in stack[:first] if e.listed and not e.never and 2 * e.words >= whole}
     held = sum(n for n, stack in runs if n >= RUNNING and not any(id(e) in never for e in stack) and any(id(e) in named for e in stack))
     rest = sum(n for n, stack in runs if n >= RUNNING and not any(id(e) in never for e in stack) and not any(id(e) in named for e in stack))
     return never, named, held >= rest

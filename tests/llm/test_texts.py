@@ -105,6 +105,19 @@ def test_articles_that_are_cards_or_comments():
         assert html_extract.extract(f"<body>{page}</body>", {}) == STORY_TEXT
 
 
+def test_listed_words_do_not_veto_what_holds_the_article():
+    for name in ("content has-sidebar", "no-sidebar", "page-with-header", "header-fixed", "side-by-side", "sidebar"):
+        assert html_extract.extract(f'<body><div class="{name}"><article>{STORY}</article></div></body>', {}) == STORY_TEXT
+        if name != "sidebar":
+            assert html_extract.extract(f'<body><div class="{name}">{STORY}</div></body>', {}) == STORY_TEXT
+    for name in ("discussion", "related-work", "search", "form", "social-science"):
+        page = f'<article>{STORY}<h2 id="{name}">Next</h2><section id="{name}"><p>More of it.</p></section></article>'
+        assert html_extract.extract(page, {}) == STORY_TEXT + "\nNext\nMore of it."
+    aside = '<div class="sidebar"><article><p>A teaser in the side bar of some more words.</p></article></div>'
+    assert html_extract.extract(f"<main>{STORY}</main>{aside}", {}) == STORY_TEXT
+    assert html_extract.extract(f"<div>{STORY}</div>{aside}", {}) == STORY_TEXT
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(2)
     for _ in range(300):
