@@ -12,6 +12,7 @@ from spindlewatch.llm import (
     bagminhash,
     byte_bpe,
     chat_format,
+    conversation_repair,
     embedding_dedup,
     html_extract,
     langid,
@@ -116,6 +117,20 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged, then repaired by its cheapest edits."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    worse = conversation_repair.damage(rows)
+    found = conversation_repair.reports(conversation_repair.repair(worse)).join(
+        conversation_repair.gaps(worse).withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of")), "left"
+    ).withColumnRenamed("conv_id", "with_rows")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("with_rows")), "left").select(
+        "conv_id", *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_nearest": op2_nearest,
@@ -127,4 +142,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
+    "op11_conversation_repair": op11_conversation_repair,
 }
