@@ -19,6 +19,7 @@ from spindlewatch.llm import (
     nn_descent,
     packing,
     pii,
+    suffix_dedup,
     training_order,
 )
 from spindlewatch.llm.checks import CHECKS as CHECKS
@@ -131,6 +132,17 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 400 bytes that start anywhere else too."""
+    classes, members = suffix_dedup.classes_and_members(table(spark, folder, "documents"))
+    digests = classes.select("h1", "h2", "n_bytes", "starts", "stops", F.sha2("kept", 256).alias("kept_sha256"))
+    lengths = F.zip_with("starts", "stops", lambda a, b: (b - a).cast("bigint"))
+    return members.join(digests, ["h1", "h2"]).select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"), "kept_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_nearest": op2_nearest,
@@ -143,4 +155,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_language": op10_language,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_suffix_dedup": op12_suffix_dedup,
 }
