@@ -14,6 +14,7 @@ from spindlewatch.llm import (
     chat_format,
     conversation_repair,
     embedding_dedup,
+    gnat,
     html_extract,
     langid,
     nn_descent,
@@ -143,6 +144,16 @@ def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of each row whose id is divisible by 50, on whole-number vectors and labels with some noise."""
+    rows = table(spark, folder, "embeddings").filter(gnat.finite("embedding"))
+    rows = rows.select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("embedding"),
+    )
+    return gnat.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_nearest": op2_nearest,
@@ -156,4 +167,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
