@@ -32,6 +32,8 @@ class Settings:
     alert_codes: tuple[str, ...] = ("999",)
     deviation_threshold: float = 0.028
     sustained_deviation: float = 0.10
+    sustained_seconds: int = 30
+    episode_max_gap_seconds: int = 15
     default_current: float = 30.0
     default_speed: float = 3000.0
     start_speed: float = 1000.0

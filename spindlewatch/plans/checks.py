@@ -86,6 +86,12 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
            FROM deviations GROUP BY ts - ts % 30000, machine_id HAVING min(current_dev) > 0.10""",
         ("deviations",),
     ),
+    "deviations_by_param": (
+        """SELECT ts, seq, machine_id, 'current' AS param_name, "current" AS actual, std_current AS std, current_dev AS dev FROM deviations
+           UNION ALL SELECT ts, seq, machine_id, 'speed', speed, std_speed, speed_dev FROM deviations""",
+        ("deviations",),
+    ),
+    "log_texts": (_select(fx.LOG_TEXT, "base"), ("base",)),
     "surge_counts": (
         """SELECT (ts - ts % 10000) // 1000 AS s, epoch_ms(ts - ts % 10000) AS window_start, error_code, count(*) AS n
            FROM logs GROUP BY 1, 2, 3""",
@@ -354,6 +360,64 @@ def _landed() -> str:
     return sql(" UNION ALL ".join(parts), *[cte for _, cte, _ in feeds])
 
 
+def _episodes(threshold: float, seconds: int, gap: int = 15, until: str = "true", ended: bool = False) -> str:
+    """Islands of readings over a threshold, numbered over a machine's whole history."""
+    still_open = "run = max(run) OVER (PARTITION BY machine_id, param_name)"
+    return sql(
+        f"""SELECT epoch_ms(first) AS record_time, epoch_ms(last) AS end_time, machine_id, param_name,
+          round(actual, {DIGITS}) AS actual_value, round(std, {DIGITS}) AS standard_value, round(dev * 100, {DIGITS}) AS deviation_ratio,
+          round((last - first) / 1000, {DIGITS}) AS duration_seconds, n_readings, still_open FROM (
+          SELECT machine_id, param_name, run, min(ts) AS first, max(ts) AS last, max(actual) AS actual, max(std) AS std, max(dev) AS dev,
+            count(*) AS n_readings, any_value(over) AS over, {still_open} AS still_open FROM (
+            SELECT *, sum(starts) OVER (PARTITION BY machine_id, param_name ORDER BY ts, seq) AS run FROM (
+              SELECT *, dev > {threshold} AS over,
+                CASE WHEN (lag(dev) OVER w > {threshold}) IS NOT DISTINCT FROM (dev > {threshold}) AND ts - lag(ts) OVER w <= {gap * 1000}
+                  THEN 0 ELSE 1 END AS starts
+              FROM deviations_by_param WHERE {until} WINDOW w AS (PARTITION BY machine_id, param_name ORDER BY ts, seq)))
+          GROUP BY machine_id, param_name, run)
+        WHERE over AND last - first >= {seconds * 1000}{" AND NOT still_open" if ended else ""}""",
+        "deviations_by_param", *(["watermark"] if ended else []),
+    )
+
+
+def _clusters(body: str, depth: int = 4, merge_at: int = 5, merges: int = 2) -> str:
+    """Templates of all messages, round by round, as ``found(text, template)`` and the lines as ``lines``."""
+    masked = (
+        "array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(error_msg, ''), '0x[0-9A-Fa-f]+', '<hex>', 'g'), "
+        "'[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '\\s+'), lambda x: x <> ''), ' ')"
+    )
+    parts = [
+        f"lines AS (SELECT seq, machine_id, ts, error_msg, {masked} AS text FROM log_texts)",
+        "m0 AS MATERIALIZED (SELECT text, words, CAST(len(words) AS VARCHAR) AS grp FROM (SELECT text, list_filter(string_split(text, ' '), "
+        "lambda x: x <> '') AS words FROM (SELECT DISTINCT text FROM lines)))",
+    ]
+    places = "SELECT *, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM"
+    for i in range(depth):
+        parts += [
+            f"c{i} AS (SELECT grp, pos, word, count(*) AS c FROM ({places} m{i}) GROUP BY ALL)",
+            f"q{i} AS (SELECT grp, pos, count(*) AS d, sum(c)::DOUBLE AS n, sum(c * c)::DOUBLE AS s FROM c{i} GROUP BY ALL)",
+            f"b{i} AS (SELECT grp, arg_max(pos, (s, -pos)) AS place FROM q{i} WHERE d > 1 AND n * n * n <= s * s GROUP BY grp)",
+            f"m{i + 1} AS MATERIALIZED (SELECT text, words, CASE WHEN place IS NULL THEN grp ELSE concat(grp, ' ', place, ' ', words[place + 1]) END AS grp "
+            f"FROM m{i} LEFT JOIN b{i} USING (grp))",
+        ]
+    parts.append(
+        "t0 AS (SELECT grp, list(CASE WHEN low = high THEN low ELSE '<*>' END ORDER BY pos) AS template FROM ("
+        f"SELECT grp, pos, min(word) AS low, max(word) AS high FROM ({places} m{depth}) GROUP BY ALL) GROUP BY grp)"
+    )
+    for i in range(merges):
+        parts += [
+            f"k{i} AS (SELECT template, pos, template[:pos] || ['<*>'] || template[pos + 2:] AS merged FROM ("
+            f"SELECT template, unnest(range(len(template))) AS pos FROM (SELECT DISTINCT template FROM t{i})))",
+            f"z{i} AS (SELECT pos, merged, count(*) AS c FROM k{i} GROUP BY ALL HAVING count(*) >= {merge_at})",
+            f"g{i} AS (SELECT template, arg_max(merged, (c, -pos)) AS merged FROM k{i} JOIN z{i} USING (pos, merged) GROUP BY template)",
+            f"t{i + 1} AS (SELECT grp, coalesce(merged, t.template) AS template FROM t{i} t LEFT JOIN g{i} g ON g.template = t.template)",
+        ]
+    parts.append(
+        f"found AS (SELECT text, coalesce(array_to_string(template, ' '), '') AS template FROM m{depth} LEFT JOIN t{merges} USING (grp))"
+    )
+    return sql("", "log_texts") + "," + ",\n".join(parts) + "\n" + body
+
+
 _RECORD_FIELDS = _RECORD.replace('"seq", ', "")
 
 
@@ -429,6 +493,17 @@ CHECKS: dict[str, str] = {
             '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS template, count(*) AS n,
           min("timestamp") AS first_seen, max("timestamp") AS last_seen FROM logs GROUP BY 1
         HAVING count(*) <= 0.005 * (SELECT count(*) FROM logs)""", "logs"),
+    "log_line_patterns": _clusters("SELECT seq, machine_id, error_msg, template FROM lines JOIN found USING (text)"),
+    "log_patterns_found": _clusters(
+        """SELECT template, count(*) AS n, epoch_ms(min(ts)) AS first_seen, epoch_ms(max(ts)) AS last_seen
+        FROM lines JOIN found USING (text) GROUP BY template"""
+    ),
+    "log_new_patterns": _clusters(
+        """SELECT epoch_ms(s * 1000) AS window_start, template, n, silent AS silent_seconds FROM (
+          SELECT *, s - lag(s) OVER (PARTITION BY template ORDER BY s) - 10 AS silent, min(s) OVER () AS begun FROM (
+            SELECT (ts - ts % 10000) // 1000 AS s, template, count(*) AS n FROM lines JOIN found USING (text) GROUP BY ALL))
+        WHERE s - begun >= 60 AND (silent IS NULL OR silent >= 60)"""
+    ),
     "machine_status": sql(f"SELECT {_STATUS_ROW} FROM statuses", "statuses"),
     "change_record_status": sql(
         "SELECT machine_id, arg_max(status, (start_time, seq)) AS status FROM changes GROUP BY 1", "changes"),
@@ -487,6 +562,9 @@ CHECKS: dict[str, str] = {
                 UNION ALL SELECT ts, machine_id, 'speed', speed, std_speed, speed_dev FROM deviations),
             sliding_slots WHERE dev > 0.028
           GROUP BY ts - ts % 10000 - back, machine_id, param_name)""", "deviations", "sliding_slots"),
+    "deviation_episodes": _episodes(0.10, 30),
+    "deviation_episodes_short": _episodes(0.028, 8),
+    "stream_episodes": _episodes(0.10, 20, until="ts - ts % 10000 + 10000 <= (SELECT epoch_ms(w) FROM watermark)", ended=True),
     "deviation_sustained": sql(f"SELECT {_DEVIATION_ROW} FROM sustained", "sustained"),
     "deviation_top5": sql(
         f"""SELECT {_DEVIATION_ROW} FROM (SELECT * FROM sustained

@@ -18,8 +18,10 @@ from spindlewatch.operators import (
     alerts,
     cleaner,
     deviation,
+    episodes,
     features,
     latest,
+    log_patterns,
     parse,
     scoring,
     status,
@@ -180,6 +182,28 @@ def rare_templates(feeds: Feeds) -> DataFrame:
     return alerts.rare_templates(feeds.log_raw(), 0.005)
 
 
+def _log_assigned(feeds: Feeds) -> DataFrame:
+    lines = feeds.log_texts()
+    return log_patterns.assign_templates(lines, log_patterns.message_templates(lines))
+
+
+@query
+def log_line_patterns(feeds: Feeds) -> DataFrame:
+    """Every log line with the template its message was clustered into."""
+    return _log_assigned(feeds).select("seq", "machine_id", "error_msg", "template")
+
+
+@query
+def log_patterns_found(feeds: Feeds) -> DataFrame:
+    return log_patterns.pattern_counts(_log_assigned(feeds))
+
+
+@query
+def log_new_patterns(feeds: Feeds) -> DataFrame:
+    """Templates that come up after a minute without them (the feeds' clock runs fast)."""
+    return log_patterns.new_patterns(_log_assigned(feeds), 60, 10)
+
+
 # --- state --------------------------------------------------------------------------------------
 
 
@@ -359,6 +383,22 @@ def deviation_top5(feeds: Feeds) -> DataFrame:
     )
 
 
+@query
+def deviation_episodes(feeds: Feeds) -> DataFrame:
+    """Unbroken deviations by the configured share and length, with their true length."""
+    s = settings(feeds)
+    return episodes.deviation_episodes(
+        _deviation(feeds), s.sustained_deviation, s.sustained_seconds, s.episode_max_gap_seconds, s.segment_seconds
+    )
+
+
+@query
+def deviation_episodes_short(feeds: Feeds) -> DataFrame:
+    """The same at the threshold of single readings, from eight seconds on."""
+    s = settings(feeds)
+    return episodes.deviation_episodes(_deviation(feeds), s.deviation_threshold, 8, s.episode_max_gap_seconds, s.segment_seconds)
+
+
 # --- feature engine -----------------------------------------------------------------------------
 
 

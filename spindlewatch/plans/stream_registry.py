@@ -15,7 +15,7 @@ from spindlewatch.operators import alerts, deviation, features, parse, windows
 from spindlewatch.plans.registry import Query, plain, timed
 from spindlewatch.session import configure, shared_path
 from spindlewatch.sources.feeds import Feeds
-from spindlewatch.streaming import sinks, transforms
+from spindlewatch.streaming import episode_stream, sinks, transforms
 from spindlewatch.streaming.watermarks import delay_of, marked, together
 
 _QUERIES: dict[str, Query] = {}
@@ -64,6 +64,15 @@ def stream_sustained(feeds: Feeds) -> DataFrame:
     return deviation.sustained_deviation(readings, s.sustained_deviation)
 
 
+@stream_query
+def stream_episodes(feeds: Feeds) -> DataFrame:
+    """Deviations of 20 seconds and more that have ended."""
+    s = Settings.from_spark(feeds.spark)
+    readings = deviation.with_deviation(deviation.with_standards(_sensor(feeds), feeds.standards()))
+    found = episode_stream.episode_stream(readings, s.sustained_deviation, 20, s.episode_max_gap_seconds)
+    return found.filter(~F.col("still_open"))
+
+
 @stream_query
 def stream_interpolate(feeds: Feeds) -> DataFrame:
     s = Settings.from_spark(feeds.spark)

@@ -46,6 +46,10 @@ class Feeds:
     def log_raw(self) -> DataFrame:
         return self._feed(fx.LOG_RAW).withColumn("timestamp", fn.epoch_ms_to_timestamp("ts"))
 
+    def log_texts(self) -> DataFrame:
+        """Log lines with variable words that are no numbers."""
+        return self._feed(fx.LOG_TEXT).withColumn("timestamp", fn.epoch_ms_to_timestamp("ts"))
+
     def change_rows(self) -> DataFrame:
         return self._feed(fx.CHANGE_RECORD)
 

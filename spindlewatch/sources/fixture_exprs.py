@@ -77,6 +77,24 @@ LOG_RAW = {
     "stack_trace": "concat('at unit', CAST(k % 5 AS STRING))",
 }
 
+_NAME = "concat('op-', chr(97 + k % 26), chr(CAST(97 + seq % 26 AS INT)))"
+# messages with variable words that are no numbers, and one pattern that comes up in bursts with silence between
+LOG_TEXT = {
+    "seq": "seq",
+    "machine_id": _MACHINE,
+    "ts": "ts",
+    "error_msg": (
+        "CASE event_type "
+        f"WHEN 'error' THEN concat('axis ', CASE k % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END, ' overload reported by ', {_NAME}) "
+        "WHEN 'purchase' THEN concat('coolant pump ', CASE k % 2 WHEN 0 THEN 'left' ELSE 'right' END, ' pressure ', "
+        "CASE WHEN k < 50 THEN 'low' ELSE 'high' END, ' at ', CAST(k AS STRING), '.5 bar') "
+        f"WHEN 'signup' THEN CASE WHEN {_block(300)} % 4 = 2 THEN concat('servo bus desync seen by ', {_NAME}, ' near 0x', CAST(k AS STRING), 'F') "
+        f"ELSE concat('user ', {_NAME}, ' opened program part-', chr(97 + k % 20), '.nc') END "
+        "WHEN 'view' THEN concat('probe cycle finished in zone ', chr(97 + k % 20), ' status ok') "
+        "ELSE CASE WHEN k = 7 THEN '' ELSE 'heartbeat ok' END END"
+    ),
+}
+
 # one change per event; times are whole seconds, as in the feed's format
 CHANGE_RECORD = {
     "seq": "seq",

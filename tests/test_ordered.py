@@ -104,8 +104,9 @@ def test_drop_late(spark, span):
     assert got == want
 
 
-@pytest.mark.parametrize("cell", [1, 7, 60, 100_000])
-def test_asof(spark, cell):
+@pytest.mark.parametrize(("cell", "block"), [(1, 3), (1, asof.BLOCK), (7, 1), (60, 3), (60, asof.BLOCK), (100_000, 1)])
+def test_asof(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(asof, "BLOCK", block)
     rng = random.Random(cell)
 
     def times(n):
@@ -125,8 +126,20 @@ def test_asof(spark, cell):
     assert {r.i: r.v for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("interval", [1, 60, 90])
-def test_throttle(spark, interval):
+def test_asof_with_a_million_changes_in_a_minute(spark):
+    """One key, one minute: sorted like other rows, with no list in a cell."""
+    right = spark.range(1_000_000).selectExpr(
+        "'a' AS k", "id AS seq", "timestamp_micros(1704067200000000 + id * 60) AS at", "id AS v"
+    )
+    left = spark.range(0, 200_000).selectExpr("'a' AS k", "id AS i", "timestamp_micros(1704067200000000 + id * 300 + 7) AS t")
+    found = asof.asof_left(left, right, "k", "t", "at", ["v"], "seq")
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert found.filter("v = i * 5").count() == 200_000
+
+
+@pytest.mark.parametrize(("interval", "fan"), [(1, 24), (2, 24), (9, 1), (59, 2), (60, 24), (60, 1), (61, 2), (90, 24), (400, 2), (5000, 1)])
+def test_throttle(spark, monkeypatch, interval, fan):
+    monkeypatch.setattr(status, "FAN", fan)
     rng = random.Random(interval)
     rows, now = [], defaultdict(float)
     for seq in range(600):

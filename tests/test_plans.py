@@ -7,10 +7,6 @@ import pytest
 import __spark_entry__ as entry
 from spindlewatch.plans.registry import batch_queries
 
-# the throttle's recurrence, and scoring's trained model, are the only Python or ML steps
-SEQUENTIAL = {"health_throttled"}
-
-
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -20,7 +16,7 @@ def test_no_pairs_and_no_python_rows(spark, small, name):
     plan = plan_of(entry.queries()[name](spark, small))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert ("MapInPandas" in plan) == (name in SEQUENTIAL)
+    assert "MapInPandas" not in plan
 
 
 def read_columns(plan):
@@ -46,6 +42,14 @@ def test_ordered_operators_read_little(spark, small, name, scans):
     assert "SinglePartition" not in plan
 
 
+@pytest.mark.parametrize(("name", "scans"), [("machine_status", 2), ("features_22", 6)])
+def test_lookups_read_each_side_once(spark, small, name, scans):
+    """By the plan that ran, where equal shuffles are shared."""
+    df = entry.queries()[name](spark, small)
+    df.collect()
+    assert plan_of(df).split("== Initial Plan ==")[0].count("FileScan parquet") <= scans
+
+
 def test_roll_up_scans_once(spark, small):
     plan = plan_of(entry.queries()["window_rollup"](spark, small))
     assert plan.count("FileScan parquet") == 1
