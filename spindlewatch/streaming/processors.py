@@ -11,7 +11,9 @@ import pickle
 from collections.abc import Iterator
 from operator import itemgetter
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -118,39 +120,6 @@ class OrderedReplay(StatefulProcessor):
         pass
 
 
-class LatestPairing(OrderedReplay):
-    """Consume-once pairing of two sides; memory is the one record left waiting."""
-
-    def __init__(self, row_schema, order, sides: tuple[list[str], list[str]], output: T.StructType):
-        super().__init__(row_schema, row_schema, order)
-        self.sides, self.output = sides, output.fieldNames()
-
-    def step(self, memory, row):
-        held = dict(zip(self.names, memory, strict=True)) if memory else None
-        if held is None or held["side"] == row["side"]:
-            return tuple(row[n] for n in self.names), []
-        both = dict(row)
-        for name in self.sides[held["side"]]:
-            both[name] = held[name]
-        return None, self.emit(both)
-
-
-class LatestValue(OrderedReplay):
-    """As-of lookup: memory is the newest right-hand value; left rows come out with it."""
-
-    def __init__(self, row_schema, order, values: list[str], output: T.StructType):
-        memory = T.StructType([row_schema[v] for v in values])
-        super().__init__(row_schema, memory, order)
-        self.values, self.output = values, output.fieldNames()
-
-    def step(self, memory, row):
-        if row["side"] == 0:
-            return tuple(row[v] for v in self.values), []
-        found = dict(row)
-        found.update(zip(self.values, memory or (None,) * len(self.values), strict=True))
-        return memory, self.emit(found)
-
-
 class HoldAndSpike(OrderedReplay):
     """Gap fill over consecutive windows, with the previous vibration next to each window."""
 
@@ -176,20 +145,6 @@ class HoldAndSpike(OrderedReplay):
         return memory, self.emit(filled)
 
 
-class Throttle(OrderedReplay):
-    """Greedy throttle by whole seconds; memory is the second of the last row let through."""
-
-    def __init__(self, row_schema, order, output: T.StructType, interval: int):
-        super().__init__(row_schema, T.StructType([T.StructField("last_s", T.LongType())]), order)
-        self.output, self.interval = output.fieldNames(), interval
-
-    def step(self, memory, row):
-        second = row[TIME_MS] // 1000
-        if memory and second - memory[0] < self.interval:
-            return memory, []
-        return (second,), self.emit(row)
-
-
 class Interpolate(OrderedReplay):
     """Linear interpolation over short gaps; memory is the reading before, its time in microseconds first."""
 
@@ -210,6 +165,189 @@ class Interpolate(OrderedReplay):
         return (row["us"], *[row[c] for c in self.columns]), out
 
 
+#: Columns of the rows a ``VectorReplay`` takes beside the keys (names that begin with an underscore would be lost on the way).
+US, RANK, SIDE, PAYLOAD = "time_us", "time_rank", "record_side", "record"
+_CHUNK_KEY = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("part", T.IntegerType())])
+VECTOR_CHUNK = 20_000
+
+
+class VectorReplay(StatefulProcessor):
+    """``OrderedReplay`` on whole columns, for operators that move records about without looking into them.
+
+    A row is a time in microseconds, a rank among equal times, a side and a text that holds the record (``packed``), which is never parsed
+    here. Rows wait in the state store in chunks sorted by time; replay merges those that overlap and hands
+    arrays to ``fold(memory, us, side, payload) -> (memory, output columns or None)``, ``memory`` being any small object.
+    """
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", _CHUNK_KEY, _ROWS)
+        self.memory = handle.getValueState("memory", _ROWS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
+        for frame in rows:
+            held.append(tuple(frame[c].to_numpy() for c in (US, RANK, SIDE, PAYLOAD)))
+            count += len(frame)
+            if count >= HELD_ROWS:
+                self._store(held)
+                held, count = [], 0
+        self._store(held)
+        yield from self._replay(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._replay(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    @staticmethod
+    def _merged(parts: list[tuple]) -> tuple:
+        us, rank, side, payload = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((rank, us))
+        return us[by], rank[by], side[by], payload[by]
+
+    def _store(self, parts: list[tuple]) -> None:
+        if not parts:
+            return
+        columns = self._merged(parts)
+        for begin in range(0, len(columns[0]), VECTOR_CHUNK):
+            chunk = tuple(c[begin : begin + VECTOR_CHUNK] for c in columns)
+            place = (int(chunk[0][0]), 0)
+            while self.chunks.containsKey(place):
+                place = (place[0], place[1] + 1)
+            self.chunks.updateValue(place, (pickle.dumps(chunk),))
+
+    def _replay(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        places = sorted((k[0], k[1]) for k in self.chunks.keys())
+        due = [k for k in places if k[0] <= watermark]
+        memory = pickle.loads(bytes(self.memory.get()[0])) if self.memory.exists() else None
+        before, pool = memory, None
+        for i, place in enumerate(due):
+            chunk = pickle.loads(bytes(self.chunks.getValue(place)[0]))
+            self.chunks.removeKey(place)
+            pool = chunk if pool is None else self._merged([pool, chunk])
+            bound = due[i + 1][0] - 1 if i + 1 < len(due) else watermark
+            cut = int(np.searchsorted(pool[0], bound, side="right"))
+            if cut:
+                us, _, side, payload = (c[:cut] for c in pool)
+                pool = tuple(c[cut:] for c in pool)
+                memory, out = self.fold(memory, us, side, payload)
+                if out is not None and len(out[next(iter(out))]):
+                    names = dict(zip(self.keys, key, strict=True))
+                    yield pd.DataFrame(out).assign(**names)
+        later = [k[0] for k in places[len(due) :][:1]]
+        if pool is not None and len(pool[0]):
+            self._store([pool])
+            later.append(int(pool[0][0]))
+        if later:
+            self.handle.registerTimer(-(-min(later) // 1000))
+        if memory is None:
+            if before is not None:
+                self.memory.clear()
+        elif memory != before:
+            self.memory.update((pickle.dumps(memory),))
+
+    def fold(self, memory, us: np.ndarray, side: np.ndarray, payload: np.ndarray):
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _times(us: np.ndarray) -> np.ndarray:
+    return us.astype("datetime64[us]")
+
+
+class LatestPairing(VectorReplay):
+    """Consume-once pairing of two sides; memory is the one record left waiting (side, payload)."""
+
+    def fold(self, memory, us, side, payload):
+        first, second = [], []
+        held = -1 if memory else None
+        held_side = memory[0] if memory else None
+        for i, s in enumerate(side.tolist()):
+            if held is None or held_side == s:
+                held, held_side = i, s
+            else:
+                first.append(held)
+                second.append(i)
+                held = None
+        waiting = None if held is None else memory if held < 0 else (held_side, payload[held])
+        second = np.array(second, np.int64)
+        firsts = np.empty(len(first), object)
+        firsts[:] = [memory[1] if i < 0 else payload[i] for i in first]
+        seconds = payload[second]
+        swap = side[second] == 0
+        return waiting, {
+            TIME: _times(us[second]), "left": np.where(swap, seconds, firsts), "right": np.where(swap, firsts, seconds),
+            "last": np.where(swap, "0", "1").astype(object),
+        }
+
+
+class LatestValue(VectorReplay):
+    """As-of lookup: side 1 comes out with the newest payload of side 0, which is the memory."""
+
+    def fold(self, memory, us, side, payload):
+        at = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), -1))
+        left = side == 1
+        mine = at[left]
+        found = np.where(mine >= 0, payload[mine], memory)
+        return payload[at[-1]] if at[-1] >= 0 else memory, {TIME: _times(us[left]), "left": payload[left], "right": found}
+
+
+class Throttle(VectorReplay):
+    """Greedy throttle by whole seconds; memory is the second of the last row let through."""
+
+    def __init__(self, keys: list[str], interval: int):
+        super().__init__(keys)
+        self.interval = interval
+
+    def fold(self, memory, us, side, payload):
+        seconds = us // 1_000_000
+        passed = []
+        i = 0 if memory is None else int(np.searchsorted(seconds, memory + self.interval))
+        while i < len(seconds):
+            passed.append(i)
+            memory = int(seconds[i])
+            i = max(i + 1, int(np.searchsorted(seconds, memory + self.interval)))
+        at = np.array(passed, np.int64)
+        return memory, {TIME: _times(us[at]), "left": payload[at]}
+
+
+#: The time column of what a ``VectorReplay`` gives out.
+TIME = "event_at"
+
+
+def packed(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as one text, times in microseconds."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    timed = [c for c in columns if isinstance(kinds[c], T.TimestampType)]
+    return F.to_json(F.struct(F.lit(0).alias("_"), *[F.unix_micros(c).alias(c) if c in timed else F.col(c) for c in columns]))
+
+
+def unpacked(text: str, schema: T.StructType) -> list[Column]:
+    """The columns of a packed text, null where there is none."""
+    kinds = T.StructType([
+        T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in schema
+    ])
+    read = F.from_json(text, kinds)
+    return [
+        (F.timestamp_micros(read[f.name]) if isinstance(f.dataType, T.TimestampType) else read[f.name]).alias(f.name) for f in schema
+    ]
+
+
+def run_vector(rows: DataFrame, keys: list[str], processor: VectorReplay, texts: list[str]) -> DataFrame:
+    """Keys, ``TIME`` and the texts a processor gives out; ``rows`` carry ``TIME``, the watermarked time, too."""
+    columns = [*keys, TIME, US, RANK, SIDE, PAYLOAD]
+    output = T.StructType(
+        [rows.schema[k] for k in keys] + [T.StructField(TIME, T.TimestampType())] + [T.StructField(t, T.StringType()) for t in texts]
+    )
+    return rows.select(*columns).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime", eventTimeColumnName=TIME,
+    )
+
+
 def run_processor(
     rows: DataFrame, keys: list[str], processor: StatefulProcessor, output: T.StructType,
     time_column: str = "",

@@ -36,25 +36,25 @@ def asof_stream(
     """
     salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(order), F.lit(salts)).cast("int")
-    kept = [c for c in left.columns if c not in (key, order, left_time)]
+    kept = [c for c in left.columns if c not in (key, left_time)]
     lefts = left.select(
-        F.col(left_time).alias("_time"), key, order, F.lit(1).alias("side"), salt.alias("_salt"), *kept
+        F.col(left_time).alias(p.TIME), key, F.lit(1).cast("tinyint").alias(p.SIDE), F.col(order).cast("bigint").alias(p.RANK),
+        salt.alias("key_salt"), p.packed(left, kept).alias(p.PAYLOAD),
     )
     rights = right.select(
-        F.col(right_time).alias("_time"), key, order, F.lit(0).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), *values,
+        F.col(right_time).alias(p.TIME), key, F.lit(0).cast("tinyint").alias(p.SIDE), F.col(order).cast("bigint").alias(p.RANK),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("key_salt"), p.packed(right, values).alias(p.PAYLOAD),
     )
-    both = lefts.unionByName(rights, allowMissingColumns=True)
+    both = lefts.unionByName(rights)
     if delay:
-        both = both.withWatermark("_time", delay)
+        both = both.withWatermark(p.TIME, delay)
     # at equal times a right row counts before a left one
-    rank = F.col("side").cast("bigint") * (1 << 62) + F.col(order)
-    both = p.with_time_ms(both, "_time").withColumn("_rank", rank)
-    rows = _schema(both, [c for c in both.columns if c != "_salt"])
-    output = _schema(both, [key, order, "_time", *kept, *[v for v in values if v not in kept]])
-    processor = p.LatestValue(rows, "_rank", values, output)
-    found = p.run_processor(both, [key, "_salt"], processor, output, "_time")
-    return found.withColumnRenamed("_time", left_time)
+    both = both.withColumn(p.RANK, F.col(p.SIDE).cast("bigint") * (1 << 62) + F.col(p.RANK)).withColumn(p.US, F.unix_micros(p.TIME))
+    found = p.run_vector(both, [key, "key_salt"], p.LatestValue([key, "key_salt"]), ["left", "right"])
+    own = [c for c in kept if c not in values]
+    return found.select(
+        key, F.col(p.TIME).alias(left_time), *p.unpacked("left", _schema(left, own)), *p.unpacked("right", _schema(right, values))
+    )
 
 
 def status_stream(
@@ -72,29 +72,36 @@ def pair_stream(
     state: DataFrame, metrics: DataFrame, order: str, time_column: str, delay: str | None = None
 ) -> DataFrame:
     """Consume-once pairing of two streams; ``time_column`` is the later record's time. For ``delay`` see ``asof_stream``."""
-    shared = ["machineId", order, time_column]
-    s_cols = [c for c in state.columns if c not in shared]
-    m_cols = [f"m_{c}" for c in metrics.columns if c not in shared]
-    right = metrics.select(
-        *shared, *[F.col(c).alias(f"m_{c}") for c in metrics.columns if c not in shared]
-    )
-    both = state.withColumn("side", F.lit(features.STATE)).unionByName(
-        right.withColumn("side", F.lit(features.METRICS)), allowMissingColumns=True
-    )
+    shared = ["machineId", time_column]
+    held = {features.STATE: state, features.METRICS: metrics}
+    schemas = {side: _schema(rows, [c for c in rows.columns if c not in shared]) for side, rows in held.items()}
+    sides = [
+        rows.select(
+            "machineId", F.col(time_column).alias(p.TIME), F.lit(side).cast("tinyint").alias(p.SIDE),
+            # as in the batch form: by time, then side, then number
+            (F.lit(side).cast("bigint") * (1 << 62) + F.col(order)).alias(p.RANK), p.packed(rows, schemas[side].fieldNames()).alias(p.PAYLOAD),
+            F.unix_micros(time_column).alias(p.US),
+        )
+        for side, rows in held.items()
+    ]
+    both = sides[0].unionByName(sides[1])
     if delay:
-        both = both.withWatermark(time_column, delay)
-    # as in the batch form: by time, then side, then number
-    rank = F.col("side").cast("bigint") * (1 << 62) + F.col(order)
-    both = p.with_time_ms(both, time_column).withColumn("_rank", rank)
-    rows = _schema(both, ["machineId", order, p.TIME_MS, "_rank", "side", time_column, *s_cols, *m_cols])
-    output = _schema(both, ["machineId", order, time_column, *s_cols, *m_cols])
-    processor = p.LatestPairing(rows, "_rank", (s_cols, m_cols), output)
-    paired = p.run_processor(both, ["machineId"], processor, output, time_column)
-    return paired.select(
-        "machineId", order, time_column,
-        F.struct(*s_cols).alias("state"),
-        F.struct(*[F.col(c).alias(c[2:]) for c in m_cols]).alias("metrics"),
+        both = both.withWatermark(p.TIME, delay)
+    paired = p.run_vector(both, ["machineId"], p.LatestPairing(["machineId"]), ["left", "right", "last"])
+    texts = {features.STATE: "left", features.METRICS: "right"}
+    fields = {
+        side: p.unpacked(text, schemas[side]) for side, text in texts.items()
+    }
+    wide = paired.select(
+        "machineId", F.col(p.TIME).alias(time_column), "last",
+        *[F.struct(*fields[side]).alias(name) for side, name in ((features.STATE, "state"), (features.METRICS, "metrics"))],
     )
+    # the pair's number is that of the later record
+    number = F.when(F.col("last") == str(features.STATE), F.col("state")[order]).otherwise(F.col("metrics")[order])
+    return wide.select("machineId", number.alias(order), time_column, *[
+        F.struct(*[F.col(name)[c].alias(c) for c in schemas[side].fieldNames() if c != order]).alias(name)
+        for side, name in ((features.STATE, "state"), (features.METRICS, "metrics"))
+    ])
 
 
 def feature_record_stream(
@@ -166,11 +173,14 @@ def throttle_stream(
     rows: DataFrame, time_column: str, columns: list[str], order: str = "seq", interval: int = 60
 ) -> DataFrame:
     """Rows let through by the throttle, with ``columns``, of a stream watermarked on ``time_column``."""
-    timed = p.with_time_ms(rows, time_column)
-    schema = _schema(timed, ["machine_id", order, p.TIME_MS, time_column, *columns])
-    output = _schema(timed, ["machine_id", order, time_column, *columns])
-    processor = p.Throttle(schema, order, output, interval)
-    return p.run_processor(timed, ["machine_id"], processor, output, time_column)
+    kept = [order, *columns]
+    taken = rows.select(
+        "machine_id", F.col(time_column).alias(p.TIME), F.unix_micros(time_column).alias(p.US), F.col(order).cast("bigint").alias(p.RANK),
+        F.lit(1).cast("tinyint").alias(p.SIDE), p.packed(rows, kept).alias(p.PAYLOAD),
+    )
+    passed = p.run_vector(taken, ["machine_id"], p.Throttle(["machine_id"], interval), ["left"])
+    unpacked = dict(zip(kept, p.unpacked("left", _schema(rows, kept)), strict=True))
+    return passed.select("machine_id", unpacked[order], F.col(p.TIME).alias(time_column), *[unpacked[c] for c in columns])
 
 
 def health_stream(

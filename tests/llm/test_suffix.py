@@ -52,7 +52,7 @@ def corpus(seed, length, n=120):
         return " ".join(rng.choice(["der", "ünd", "mountain", "of", "xyz", "q", "ß"]) + str(rng.randint(0, 40)) for _ in range(k))
 
     shared = [prose(length // 4) for _ in range(6)] + ["z" * (length * 2), "ab" * length, prose(length // 14)]
-    texts = [None, "", "short", "z" * length, "z" * (length - 1), "z" * (length + 1), "y" * (3 * length), "ab" * length, "ab" * length]
+    texts = [None, "", "short", "z" * length, "z" * (length - 1), "z" * (length + 1), "y" * (3 * length), "ab" * length, "ab" * length, "pqr" * length, "k" * (5 * length)]
     for _ in range(n):
         text = [prose(rng.randint(1, length // 3))]
         for _ in range(rng.choice([0, 0, 1, 1, 2])):
@@ -65,7 +65,7 @@ def corpus(seed, length, n=120):
     return texts
 
 
-@pytest.mark.parametrize("settings", [{}, {"CHUNK": 3, "RUN": 50, "SHARD_BYTES": 4000, "BLOCK": 1500}])
+@pytest.mark.parametrize("settings", [{}, {"CHUNK": 2, "RUN": 50, "SHARD_BYTES": 4000, "BLOCK": 1500}])
 def test_whole_query(spark, tmp_path, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(suffix_dedup, name, value)
