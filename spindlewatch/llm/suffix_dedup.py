@@ -2,15 +2,19 @@
 
 Method: suffix arrays by shards, by Larsson-Sadakane refinement (suffixes sorted by eight bytes, then the unsettled groups alone by
 the ranks of the suffixes 8, 16, 32 ... bytes on), Kasai common prefixes (in the permuted order: a value is carried over from the text
-position before while the preceding bytes agree, all others are compared), and a merge of the shards by binary search.
+position before while the preceding bytes agree, all others are compared). Neighbours with a common prefix of ``LENGTH`` are
+repeated windows.
 
 A shard is not a stretch of the corpus, since then every pair of shards would have to be merged. A window of ``LENGTH``
-bytes belongs to the shard named by the least hash among its ``GRAM``-byte strings: equal windows have equal names, and
+bytes belongs to the shard named by the least hash among its strings of ``GRAM`` bytes: equal windows have equal names, and
 neighbouring windows mostly share theirs, so a text falls into runs of about 170 windows. Names that occur once are dropped
 on counts alone; of the others each run goes to its shard with the bytes of its windows. Equal runs are counted before they are
-moved. A name with more than ``CHUNK`` different runs is split into several shards; each reports the digests (128 bits) of its
-different windows in order, and equal ones are found by binary search in the merged list. Nothing is dropped or
-capped, and no name, text or group of copies passes one task whole.
+moved. The shards of the sorted runs of one task are told apart by binary search over their bounds. The runs of a name with
+more than ``CHUNK`` different ones (a passage many texts share, each in its own surroundings) are not one shard: they are taken as texts of
+their own and named anew by longer strings (64, 288, 363, 400 bytes), so that runs with foreign surroundings become
+unique and go, and the rest spreads over more names. At ``LENGTH`` itself a name is one string (and only a string of one byte repeated has
+several runs, ``RUN`` at most), so this ends there. Nothing is
+dropped or capped, and no name, text or group of copies passes one task whole.
 
 Equal texts are one class: its windows all repeat if it has two rows. Results: null is the empty text; texts shorter than
 ``LENGTH`` bytes lose nothing; repeated rows lose everything from that size on, ids do not matter; an empty table gives an
@@ -30,7 +34,7 @@ from spindlewatch.llm.shingles import mixed
 
 LENGTH = 400
 GRAM = 64
-#: Windows of a run, different runs of a shard, bytes of one suffix array, bytes hashed at once.
+#: Windows of a run, different runs of a name in one shard, bytes of one suffix array, bytes hashed at once.
 RUN = 2048
 CHUNK = 512
 SHARD_BYTES = 1 << 20
@@ -106,13 +110,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return (size[base] - (at - base))[order]
 
 
-def _hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each ``GRAM``-byte string of ``data``."""
+def _hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram``-byte string of ``data``."""
     up, down, weight = per_worker(("grams",), _tables)
-    n = len(data) - GRAM + 1
+    n = len(data) - gram + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(weight[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[GRAM:] - sums[:n]) * down[:n])
+    return mixed((sums[gram:] - sums[:n]) * down[:n])
 
 
 def _tables():
@@ -132,9 +136,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _runs(data: np.ndarray, bounds: np.ndarray):
-    """(text, first window, window behind the last, name) of each run; text i is data[bounds[i] : bounds[i + 1]]."""
-    names = _least(_hashes(data), LENGTH - GRAM + 1)
+def _runs(data: np.ndarray, bounds: np.ndarray, gram: int):
+    """(text, first window, window behind the last, name, whether its string lies there twice) of each run; text i is data[bounds[i] : bounds[i + 1]]."""
+    width = LENGTH - gram + 1
+    hashes = _hashes(data, gram)
+    names = _least(hashes, width)
     n = len(names)
     begins, ends = bounds[:-1], bounds[1:] - LENGTH + 1
     edge = np.unique(np.concatenate([begins, ends, np.flatnonzero(names[1:] != names[:-1]) + 1, np.arange(0, n + 1, RUN), [n]]))
@@ -143,46 +149,56 @@ def _runs(data: np.ndarray, bounds: np.ndarray):
     text = np.searchsorted(bounds, a, side="right") - 1
     ok = a < ends[text]
     a, b, text = a[ok], b[ok], text[ok]
-    return text, a - bounds[text], b - bounds[text], names[a].view(np.int64)
+    # places of naming strings: those whose hash is the least of a window over them
+    none = np.full(width - 1, np.iinfo(np.uint64).max)
+    at = np.flatnonzero(hashes == ~_least(np.concatenate([none, ~names, none]), width))
+    values, which = np.unique(hashes[at], return_inverse=True)
+    known = np.sort(which * (len(data) + 1) + at)
+    own = np.searchsorted(values, names[a]) * (len(data) + 1)
+    twice = np.searchsorted(known, own + b + width - 1) - np.searchsorted(known, own + a) > 1
+    return text, a - bounds[text], b - bounds[text], names[a].view(np.int64), twice
 
 
-def _to_runs(frames):
+def _to_runs(gram: int):
     """The runs of each text, texts hashed together; long ones by overlapping blocks."""
 
     def short(rows):
         joined = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
         bounds = np.cumsum([0] + [len(r[3]) for r in rows])
-        text, a, b, name = _runs(joined, bounds)
+        text, a, b, name, twice = _runs(joined, bounds, gram)
         cut = np.searchsorted(text, np.arange(len(rows) + 1))
-        return [(*r[:3], a[x:y], b[x:y], name[x:y]) for r, x, y in zip(rows, cut[:-1], cut[1:], strict=True)]
+        return [(*r[:3], a[x:y], b[x:y], name[x:y], name[x:y][twice[x:y]]) for r, x, y in zip(rows, cut[:-1], cut[1:], strict=True)]
 
     def long(row):
         data = np.frombuffer(row[3], np.uint8)
         parts = []
         for begin in range(0, len(data) - LENGTH + 1, BLOCK):
             piece = data[begin : begin + BLOCK + LENGTH - 1]
-            _, a, b, name = _runs(piece, np.array([0, len(piece)]))
-            parts.append((a + begin, b + begin, name))
+            _, a, b, name, twice = _runs(piece, np.array([0, len(piece)]), gram)
+            parts.append((a + begin, b + begin, name, name[twice]))
         return (*row[:3], *(np.concatenate(p) for p in zip(*parts, strict=True)))
 
-    for frame in frames:
-        done, held, size = [], [], 0
-        for row in zip(frame["h1"], frame["h2"], frame["n"], frame["bytes"], strict=True):
-            if len(row[3]) > BLOCK:
-                done.append(long(row))
-                continue
-            if size + len(row[3]) > BLOCK and held:
+    def run(frames):
+        for frame in frames:
+            done, held, size = [], [], 0
+            for row in zip(frame["h1"], frame["h2"], frame["n"], frame["bytes"], strict=True):
+                if len(row[3]) > BLOCK:
+                    done.append(long(row))
+                    continue
+                if size + len(row[3]) > BLOCK and held:
+                    done += short(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+            if held:
                 done += short(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-        if held:
-            done += short(held)
-        if done:
-            out = pd.DataFrame(done, columns=["h1", "h2", "n", "starts", "stops", "names"])
-            for c in ("starts", "stops"):
-                out[c] = [x.astype(np.int32) for x in out[c]]
-            yield out
+            if done:
+                out = pd.DataFrame(done, columns=["h1", "h2", "n", "starts", "stops", "names", "again"])
+                for c in ("starts", "stops"):
+                    out[c] = [x.astype(np.int32) for x in out[c]]
+                yield out
+
+    return run
 
 
 def _to_contexts(frames):
@@ -227,38 +243,19 @@ def _ranges(places: np.ndarray, begins: np.ndarray):
     return of[first], places[first] - begins[of[first]], places[last] - begins[of[first]] + 1
 
 
-_FOUND = "name bigint, digest binary, start int, stop int, w1 bigint, w2 bigint, weight bigint"
-
-
 def _to_found(frames):
-    """Windows that repeat within a shard, as ranges; of split names also the digest of each different window."""
-    names = [c.split()[0] for c in _FOUND.split(", ")]
+    """Windows that repeat within a shard, as ranges of each of its runs."""
 
     def solve(part: pd.DataFrame):
         pieces = part["piece"].tolist()
         places, group, total, begins = repeated(pieces, part["weight"].to_numpy(np.float64))
-        name, digest, split = part["name"].to_numpy(), part["digest"].to_numpy(), part["split"].to_numpy()
         again = places[total[group] >= 2]
         if len(again):
             of, a, b = _ranges(again, begins)
-            yield pd.DataFrame({"name": name[of], "digest": digest[of], "start": a, "stop": b, "w1": None, "w2": None, "weight": None}).astype(
-                {"w1": "Int64", "w2": "Int64", "weight": "Int64"}
-            )[names]
-        if split.any():
-            _, first = np.unique(group, return_index=True)
-            at = places[first]
-            of = np.searchsorted(begins, at, side="right") - 1
-            keep = split[of]
-            at, of, weight = at[keep], of[keep], total[group[first]][keep].astype(np.int64)
-            joined = b"".join(pieces)
-            hashes = np.array([divmod(xxhash.xxh3_128_intdigest(joined[p : p + LENGTH]), 1 << 64) for p in at.tolist()], np.uint64)
-            hashes = hashes.reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({
-                "name": name[of], "digest": digest[of], "start": at - begins[of], "stop": at - begins[of] + 1,
-                "w1": hashes[:, 0], "w2": hashes[:, 1], "weight": weight,
-            })[names]
-
-    for whole, starts in sorted_groups(frames, "shard"):
+            name, digest = part["name"].to_numpy(), part["digest"].to_numpy()
+            yield pd.DataFrame({"name": name[of], "digest": digest[of], "start": a, "stop": b})
+
+    for whole, starts in sorted_groups(frames, "name"):
         size = np.concatenate([[0], np.cumsum([len(p) for p in whole["piece"]])])
         begin = starts[0]
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -269,20 +266,6 @@ def _to_found(frames):
             yield from solve(whole.iloc[begin : starts[-1]])
 
 
-def _merged(frames):
-    """Of windows listed by several shards of a name, those alone in their own: found by binary search in the merged order."""
-    for whole, _ in sorted_groups(frames, "w1"):
-        whole = whole.sort_values(["w1", "w2"])
-        w1, w2, weight = (whole[c].to_numpy() for c in ("w1", "w2", "weight"))
-        heads = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
-        here = np.searchsorted(heads, np.arange(len(w1)), side="right")
-        behind = np.append(heads, len(w1))[here]
-        sums = np.concatenate([[0], np.cumsum(weight)])
-        again = (weight == 1) & (sums[behind] - sums[heads[here - 1]] >= 2)
-        if again.any():
-            yield whole.loc[again, ["name", "digest", "start", "stop"]]
-
-
 def _to_kept(frames):
     for frame in frames:
         rows = []
@@ -306,64 +289,81 @@ def _to_kept(frames):
             yield pd.DataFrame(rows, columns=["h1", "h2", "n_bytes", "starts", "stops", "kept"])
 
 
-def classes_and_members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(per different text: h1, h2, n_bytes, starts and stops of what goes, kept bytes; per row: key, h1, h2)."""
-    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(key), data.alias("bytes")).select(
-        key, "bytes", *(F.xxhash64(F.lit(seed), "bytes").alias(f"h{seed}") for seed in (1, 2))
-    )
-    members = rows.select(key, "h1", "h2")
-    classes = written(
-        rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")), "suffix-classes"
-    )
+def _longer(gram: int) -> int:
+    """Two thirds of the way to ``LENGTH``; all of it when little is left."""
+    left = LENGTH - gram
+    return LENGTH if left <= LENGTH // 10 else LENGTH - left // 3
+
+
+def repeats(texts: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(h1, h2, starts, stops): the windows of each text that start anywhere else too, for texts (h1, h2, n, bytes) with n = 1."""
     runs = written(
-        classes.filter(F.octet_length("bytes") >= LENGTH).mapInPandas(
-            _to_runs, "h1 bigint, h2 bigint, n bigint, starts array<int>, stops array<int>, names array<bigint>"
+        texts.filter(F.octet_length("bytes") >= LENGTH).mapInPandas(
+            _to_runs(gram), "h1 bigint, h2 bigint, n bigint, starts array<int>, stops array<int>, names array<bigint>, again array<bigint>"
         ),
         "suffix-runs",
     )
-    shared = (
-        runs.select("n", F.explode("names").alias("name")).groupBy("name")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("name")
+    shared = written(
+        runs.select("n", F.explode(F.concat("names", "again")).alias("name")).groupBy("name")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("name", "c"),
+        "suffix-shared",
     )
     wanted = (
-        runs.select("h1", "h2", "n", F.explode(F.arrays_zip("starts", "stops", "names")).alias("r"))
-        .select("h1", "h2", "n", "r.starts", "r.stops", F.col("r.names").alias("name")).join(shared, "name")
+        runs.select("h1", "h2", F.explode(F.arrays_zip("starts", "stops", "names")).alias("r"))
+        .select("h1", "h2", "r.starts", "r.stops", F.col("r.names").alias("name")).join(shared.select("name"), "name")
         .groupBy("h1", "h2").agg(*(F.collect_list(a).alias(b) for a, b in (("starts", "starts"), ("stops", "stops"), ("name", "names"))))
     )
     contexts = written(
-        classes.join(wanted, ["h1", "h2"]).mapInPandas(
+        texts.join(wanted, ["h1", "h2"]).mapInPandas(
             _to_contexts, "h1 bigint, h2 bigint, n bigint, start int, name bigint, digest binary, piece binary"
         ),
         "suffix-contexts",
     )
-    chunks = written(
-        contexts.select("name", "digest").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
-        .filter(F.col("runs") > CHUNK).select("name", F.ceil(F.col("runs") / CHUNK).cast("int").alias("chunks")),
-        "suffix-chunks",
-    )
     pieces = contexts.groupBy("name", "digest").agg(F.sum("n").alias("weight"), F.first("piece", True).alias("piece"))
-    chunk = F.coalesce(F.pmod(F.xxhash64("digest"), F.col("chunks")), F.lit(0))
-    shards = (
-        pieces.join(chunks, "name", "left").select(
-            "name", "digest", "weight", "piece", F.col("chunks").isNotNull().alias("split"), F.xxhash64("name", chunk).alias("shard")
-        ).repartition("shard").sortWithinPartitions("shard")
-    )
-    found = written(shards.mapInPandas(_to_found, _FOUND), "suffix-found")
-    merged = (
-        found.filter("w1 is not null").repartition("w1").sortWithinPartitions("w1")
-        .mapInPandas(_merged, "name bigint, digest binary, start int, stop int")
-    )
-    flags = found.filter("w1 is null").select("name", "digest", "start", "stop").unionByName(merged).groupBy("name", "digest").agg(
+    many = shared.filter(F.col("c") > CHUNK).select("name")
+    split = gram < LENGTH and not many.isEmpty()
+    if split:
+        crowded = written(
+            contexts.select("name", "digest").join(many, "name", "left_semi").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
+            .filter(F.col("runs") > CHUNK).select("name"),
+            "suffix-crowded",
+        )
+        split = not crowded.isEmpty()
+    shards = (pieces.join(crowded, "name", "left_anti") if split else pieces).repartition("name").sortWithinPartitions("name")
+    flags = written(shards.mapInPandas(_to_found, "name bigint, digest binary, start int, stop int"), "suffix-found").groupBy("name", "digest").agg(
         F.collect_list("start").alias("from"), F.collect_list("stop").alias("to")
     )
-    cover = (
+    if split:
+        own = [F.xxhash64(F.lit(seed), "name", "digest").alias(f"h{seed}") for seed in (1, 2)]
+        again = written(
+            pieces.join(crowded, "name", "left_semi").select("name", "digest", *own, F.col("weight").alias("n"), F.col("piece").alias("bytes")),
+            "suffix-again",
+        )
+        inside = repeats(again.select("h1", "h2", "n", "bytes"), _longer(gram))
+        every = F.array(F.octet_length("bytes") - LENGTH + 1)
+        flags = flags.unionByName(again.filter("n > 1").select("name", "digest", F.array(F.lit(0)).alias("from"), every.alias("to"))).unionByName(
+            again.join(inside, ["h1", "h2"]).select("name", "digest", F.col("starts").alias("from"), F.col("stops").alias("to"))
+        )
+    return (
         contexts.filter("n = 1").select("h1", "h2", "start", "name", "digest").join(flags, ["name", "digest"])
         .select(
             "h1", "h2", F.transform("from", lambda x: x + F.col("start")).alias("starts"), F.transform("to", lambda x: x + F.col("start")).alias("stops")
         )
         .groupBy("h1", "h2").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
     )
+
+
+def classes_and_members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(per different text: h1, h2, n_bytes, starts and stops of what goes, kept bytes; per row: key, h1, h2)."""
+    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(key), data.alias("bytes")).select(
+        key, "bytes", *(F.xxhash64(F.lit(seed), "bytes").alias(f"h{seed}") for seed in (1, 2))
+    )
+    members = rows.select(key, "h1", "h2")
+    classes = written(
+        rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")), "suffix-classes"
+    )
+    cover = repeats(classes)
     kept = classes.join(cover, ["h1", "h2"], "left").mapInPandas(
         _to_kept, "h1 bigint, h2 bigint, n_bytes bigint, starts array<int>, stops array<int>, kept binary"
     )
