@@ -33,13 +33,28 @@ def last_value_by_key(df: DataFrame, key: str, value: str, order: Sequence[str])
 
 
 def merge_offline_realtime(
-    offline: DataFrame, realtime: DataFrame, keys: Sequence[str], order: Sequence[str]
+    offline: DataFrame, realtime: DataFrame, keys: Sequence[str], order: Sequence[str], time: str | None = None
 ) -> DataFrame:
-    """Both tables as one, a realtime row replacing the offline row of the same key."""
-    both = offline.withColumn("source", F.lit("offline")).unionByName(
-        realtime.withColumn("source", F.lit("realtime"))
-    )
-    return latest_by_key(both, keys, ["source", *order])
+    """Both tables as one, a realtime row replacing the offline row of the same key.
+
+    The offline table holds one row per key, as upserts keep it; of several realtime rows the last in ``order`` counts. Offline
+    rows are neither shuffled nor sorted as a whole: with ``time``, one of the keys, those outside the span of realtime times pass
+    straight through (the range filter reaches the scan), and only the rest meet the realtime keys, in an anti join.
+    """
+    newest = latest_by_key(realtime, keys, order).withColumn("source", F.lit("realtime"))
+    tagged = offline.withColumn("source", F.lit("offline"))
+    parts = [newest]
+    near = tagged
+    if time is not None:
+        span = realtime.agg(F.min(time).alias("_from"), F.max(time).alias("_to"))
+        inside = F.col(time).between(span.select("_from").scalar(), span.select("_to").scalar())
+        near = tagged.filter(inside)
+        parts.append(tagged.filter(~F.coalesce(inside, F.lit(False))))
+    parts.append(near.join(newest.select(*keys), [*keys], "left_anti"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def latest_rows(df: DataFrame, order: Sequence, limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from spindlewatch.functions.alarm_codes import ALARM_MESSAGES, UNKNOWN_ALARM_PREFIX
 from spindlewatch.operators.cleaner import EXTENSION_FIELDS, OUTPUTS
-from spindlewatch.plans.registry import DIGITS, HORIZON_HOURS, HOUR_SECONDS
+from spindlewatch.plans.registry import BINS, DIGITS, FAR_HOURS, HORIZON_HOURS, HOUR_SECONDS, SURVIVAL_STEP_HOURS
 from spindlewatch.sources import fixture_exprs as fx
 
 
@@ -39,6 +39,8 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cells": (_select(fx.CHANGE_DATA, "base"), ("base",)),
     "standards": (_select(fx.STANDARDS, "nation"), ()),
     "arrivals": (_select(fx.ARRIVALS, "base"), ("base",)),
+    "quarters": ("SELECT *, seq * 4 // (SELECT max(seq) + 1 FROM arrivals) AS part FROM arrivals", ("arrivals",)),
+    "quarter_ends": ("SELECT part, max(event_ms) AS newest FROM quarters GROUP BY part", ("quarters",)),
     "dictionary": (f"SELECT * FROM (VALUES {_DICTIONARY}) AS t(code, message)", ()),
     "sensor_status": (
         """SELECT s.*, COALESCE(c.status, '') AS status FROM sensor s ASOF LEFT JOIN (
@@ -183,6 +185,43 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
             GROUP BY f."machineId", window_start, window_end""",
         ("features", "logs"),
     ),
+    "lives": (
+        f"""SELECT f.*, coalesce(l.rul_hours, greatest(0.0, ((SELECT epoch_ms(max("timestamp")) FROM logs) - epoch_ms(window_end))
+              / {HOUR_SECONDS * 1000})) AS life_hours, l.rul_hours IS NOT NULL AS failed
+            FROM features f LEFT JOIN (SELECT "machineId", window_start, rul_hours FROM labels) l USING ("machineId", window_start)""",
+        ("features", "labels", "logs"),
+    ),
+    "life_steps": (
+        f"""SELECT coalesce(state, 'other') AS grp, floor(life_hours / {SURVIVAL_STEP_HOURS}) * {SURVIVAL_STEP_HOURS}::DOUBLE AS after_hours,
+              count(*) FILTER (failed) AS failures, count(*) FILTER (NOT failed) AS censored
+            FROM lives LEFT JOIN (SELECT *, 'stable' AS state FROM stable) USING ("machineId", window_start) GROUP BY 1, 2""",
+        ("lives", "stable"),
+    ),
+    "far_lines": (
+        f"""SELECT regr_slope(rul_hours, var_temp) AS s1, regr_intercept(rul_hours, var_temp) AS i1,
+              regr_slope(fails, fft_peak) AS s2, regr_intercept(fails, fft_peak) AS i2
+            FROM (SELECT *, CASE WHEN rul_hours <= {FAR_HOURS} THEN 1.0 ELSE 0.0 END::DOUBLE AS fails FROM labels)
+            WHERE (epoch_ms(window_start) // 60000) % 4 <> 3""",
+        ("labels",),
+    ),
+    "far_scored": (
+        """SELECT f.*, greatest(0.0, i1 + s1 * var_temp) AS rul_value,
+             least(1.0, greatest(0.0, i2 + s2 * fft_peak)) AS failure_probability
+           FROM features f JOIN stable USING ("machineId", window_start), far_lines""",
+        ("features", "stable", "far_lines"),
+    ),
+    "score_bins": (
+        f"""SELECT least(floor(p * {BINS}), {BINS} - 1)::INT AS bin, count(*) AS n, count(*) FILTER (fails) AS failures, avg(p) AS mean_score FROM (
+              SELECT least(1.0, greatest(0.0, i2 + s2 * fft_peak)) AS p, failed AND life_hours <= {FAR_HOURS} AS fails FROM lives, far_lines
+              WHERE (epoch_ms(window_start) // 60000) % 4 = 3 AND (failed OR life_hours > {FAR_HOURS})) GROUP BY 1""",
+        ("lives", "far_lines"),
+    ),
+    "calibration": (
+        """SELECT bin, max(least_mean) AS calibrated FROM (
+             SELECT i.bin, j.bin AS first, min((SELECT sum(failures) / sum(n) FROM score_bins b WHERE b.bin BETWEEN j.bin AND k.bin)) AS least_mean
+             FROM score_bins i JOIN score_bins j ON j.bin <= i.bin JOIN score_bins k ON k.bin >= i.bin GROUP BY 1, 2) GROUP BY 1""",
+        ("score_bins",),
+    ),
     "stable": (
         """SELECT CAST(machine_id AS INT) AS "machineId", date_trunc('minute', update_time) AS window_start
            FROM statuses GROUP BY 1, 2 HAVING arg_max(machine_status, (update_time, seq)) = '稳定运行'""",
@@ -493,6 +532,18 @@ CHECKS: dict[str, str] = {
             '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS template, count(*) AS n,
           min("timestamp") AS first_seen, max("timestamp") AS last_seen FROM logs GROUP BY 1
         HAVING count(*) <= 0.005 * (SELECT count(*) FROM logs)""", "logs"),
+    "error_change_points": sql(
+        f"""SELECT window_start, error_code, n, round(score, {DIGITS}) AS score, round(sqrt(mean) * 4, {DIGITS}) AS score_limit, began FROM (
+          SELECT *, after - least(low, after) AS score, coalesce(
+            last_value(CASE WHEN before <= low THEN window_start END IGNORE NULLS) OVER u, first_value(window_start) OVER u) AS began FROM (
+            SELECT *, least(0.0, min(before) OVER u) AS low FROM (
+              SELECT *, upto - n - drift * t AS before, upto - drift * (t + 1) AS after FROM (
+                SELECT *, mean + sqrt(mean) * 0.5 AS drift, sum(n) OVER u AS upto FROM (
+                  SELECT *, (s - min(s) OVER ()) // 10 AS t, sum(n) OVER (PARTITION BY error_code) / ((max(s) OVER () - min(s) OVER ()) / 10 + 1) AS mean
+                  FROM surge_counts) WINDOW u AS (PARTITION BY error_code ORDER BY s)))
+            WINDOW u AS (PARTITION BY error_code ORDER BY s))
+          WINDOW u AS (PARTITION BY error_code ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        WHERE score > sqrt(mean) * 4""", "surge_counts"),
     "log_line_patterns": _clusters("SELECT seq, machine_id, error_msg, template FROM lines JOIN found USING (text)"),
     "log_patterns_found": _clusters(
         """SELECT template, count(*) AS n, epoch_ms(min(ts)) AS first_seen, epoch_ms(max(ts)) AS last_seen
@@ -626,6 +677,21 @@ CHECKS: dict[str, str] = {
           '请立即检查设备' AS suggested_action FROM scored
         WHERE rul_value < 130 OR failure_probability > 0.6)""", "scored"),
     "stable_windows": sql("SELECT * FROM stable", "stable"),
+    "rul_lives": sql(f'SELECT "machineId", window_start, round(life_hours, {DIGITS}) AS life_hours, failed FROM lives', "lives"),
+    "rul_survival": sql(
+        f"""SELECT grp, after_hours, at_risk, failures, censored, round(CASE WHEN max(failures = at_risk) OVER u THEN 0.0
+          ELSE exp(sum(CASE WHEN failures < at_risk THEN ln(1 - failures / at_risk) END) OVER u) END, {DIGITS}) AS survival FROM (
+          SELECT *, (sum(failures + censored) OVER (PARTITION BY grp ORDER BY after_hours DESC))::BIGINT AS at_risk FROM life_steps)
+        WINDOW u AS (PARTITION BY grp ORDER BY after_hours)""", "life_steps"),
+    "failure_reliability": sql(
+        f"""SELECT bin, n, failures, round(mean_score, {DIGITS}) AS mean_score, round(failures / n, {DIGITS}) AS observed_rate,
+          round(calibrated, {DIGITS}) AS calibrated FROM score_bins JOIN calibration USING (bin)""", "score_bins", "calibration"),
+    "rul_alerts_calibrated": sql(
+        f"""SELECT {_ALERT} FROM (SELECT window_end AS alert_time, CAST("machineId" AS VARCHAR) AS machine_id,
+          'RUL预警' AS alert_type, rul_value AS trigger_value, 48.0::DOUBLE AS threshold_value, '请立即检查设备' AS suggested_action,
+          coalesce((SELECT arg_max(calibrated, bin) FROM calibration c WHERE c.bin <= least(floor(failure_probability * {BINS}), {BINS} - 1)),
+            (SELECT arg_min(calibrated, bin) FROM calibration)) AS calibrated FROM far_scored)
+        WHERE trigger_value < 48 OR calibrated > 0.85""", "far_scored", "calibration"),
     # --- streams ---
     "stream_windows": sql(
         f"SELECT {_WINDOW} FROM w1m WHERE window_end <= (SELECT w FROM watermark)", "w1m", "watermark"),
@@ -641,6 +707,17 @@ CHECKS: dict[str, str] = {
         f"""SELECT {_DEVIATION_ROW} FROM sustained
         WHERE record_time + INTERVAL 30 SECOND <= (SELECT w FROM watermark)""", "sustained", "watermark"),
     "stream_interpolate": sql(_interpolated("epoch_ms(ts) <= (SELECT w FROM watermark)"), "sensor", "watermark"),
+    "late_rows": sql(
+        """SELECT seq, machine_id, epoch_ms(event_ms) AS event_time,
+          CASE WHEN event_ms < (SELECT max(newest) FROM quarter_ends q WHERE q.part < p.part) - 30000 THEN 'late' ELSE 'on_time' END AS routed_to
+        FROM quarters p""", "quarters", "quarter_ends"),
+    "stream_error_surge": sql(
+        f"""SELECT window_start, error_code, n, round(baseline, {DIGITS}) AS baseline FROM (
+          SELECT s, window_start, error_code, n, (SELECT COALESCE(sum(p.n), 0) FROM surge_counts p
+              WHERE p.error_code = c.error_code AND p.s BETWEEN c.s - 50 AND c.s - 10)
+            / NULLIF(least(5, (c.s - (SELECT min(s) FROM surge_counts)) // 10), 0) AS baseline
+          FROM surge_counts c) WHERE n >= 1.5 * baseline AND (baseline > 0 OR n >= 3)
+          AND s + 10 <= (SELECT epoch_ms(w) / 1000 FROM watermark)""", "surge_counts", "watermark"),
     "stream_late": sql(
         """SELECT epoch_ms(event_ms - event_ms % 60000) AS window_start, machine_id, count(*) AS n FROM arrivals
         WHERE event_ms - event_ms % 60000 + 60000 <= (SELECT max(event_ms) - 30000 FROM arrivals)

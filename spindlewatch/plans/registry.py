@@ -25,6 +25,8 @@ from spindlewatch.operators import (
     parse,
     scoring,
     status,
+    surges,
+    survival,
     windows,
 )
 from spindlewatch.session import configure, shared_path
@@ -172,6 +174,12 @@ def error_surge(feeds: Feeds) -> DataFrame:
     return alerts.error_surge(feeds.log_raw(), 10, 5, 1.5)
 
 
+@query
+def error_change_points(feeds: Feeds) -> DataFrame:
+    """Surges by cumulative sums, with the window in which each began."""
+    return surges.cusum_surges(feeds.log_raw(), 10)
+
+
 @query
 def log_templates(feeds: Feeds) -> DataFrame:
     return alerts.log_templates(feeds.log_raw())
@@ -489,7 +497,7 @@ def latest_by_key(feeds: Feeds) -> DataFrame:
 def offline_realtime_merge(feeds: Feeds) -> DataFrame:
     offline = feeds.sensor_raw(fx.OFFLINE_FILTER).withColumn("temperature", F.lit(0.0))
     realtime = feeds.sensor_raw(fx.REALTIME_FILTER)
-    return latest.merge_offline_realtime(offline, realtime, ["machine_id", "ts"], ["seq"]).select(
+    return latest.merge_offline_realtime(offline, realtime, ["machine_id", "ts"], ["seq"], "ts").select(
         "source", "machine_id", "ts", "temperature", "speed"
     )
 
@@ -597,6 +605,55 @@ def rul_alerts(feeds: Feeds) -> DataFrame:
     return scoring.rul_alerts(_linear(feeds), 130.0, 0.6)
 
 
+# the probability is that of failing within FAR_HOURS
+SURVIVAL_STEP_HOURS, BINS, FAR_HOURS = 10.0, 50, 250.0
+
+
+def _lives(feeds: Feeds) -> DataFrame:
+    return survival.observed_lives(
+        features.window_features(feeds.highfreq_sensor()), feeds.log_raw(), hour_seconds=HOUR_SECONDS
+    )
+
+
+@query
+def rul_lives(feeds: Feeds) -> DataFrame:
+    """Every window with its life, those without a later failure as censored."""
+    return _lives(feeds).select("machineId", "window_start", "life_hours", "failed")
+
+
+@query
+def rul_survival(feeds: Feeds) -> DataFrame:
+    """Kaplan-Meier curves of windows in the stable state and of the others."""
+    stable = _stable(feeds).select("machineId", "window_start", F.lit("stable").alias("state"))
+    lives = _lives(feeds).join(stable, ["machineId", "window_start"], "left")
+    return survival.survival_curve(lives, F.coalesce("state", F.lit("other")), SURVIVAL_STEP_HOURS)
+
+
+def _far_models(feeds: Feeds) -> DataFrame:
+    return scoring.linear_models(_labelled(feeds), FAR_HOURS)
+
+
+def _reliability(feeds: Feeds) -> DataFrame:
+    """On windows held out of training whose fate within the horizon is known."""
+    lives = _lives(feeds).filter(scoring.held_out() & (F.col("failed") | (F.col("life_hours") > FAR_HOURS)))
+    scored = scoring.score_linear(_far_models(feeds), lives)
+    return survival.reliability(scored, "failure_probability", F.col("failed") & (F.col("life_hours") <= FAR_HOURS), BINS)
+
+
+@query
+def failure_reliability(feeds: Feeds) -> DataFrame:
+    """Observed failure rates by predicted probability, and their isotonic fit."""
+    return _reliability(feeds)
+
+
+@query
+def rul_alerts_calibrated(feeds: Feeds) -> DataFrame:
+    """Alerts under 48 hours, or over 85 % calibrated probability."""
+    stable = scoring.score_linear(_far_models(feeds), _stable(feeds))
+    scored = survival.with_calibrated(stable, _reliability(feeds), "failure_probability", "calibrated", BINS)
+    return scoring.rul_alerts(scored.withColumn("failure_probability", F.col("calibrated")))
+
+
 @query
 def stable_windows(feeds: Feeds) -> DataFrame:
     """Windows that would be scored: machine stable at its last reading."""

@@ -15,7 +15,7 @@ from spindlewatch.operators import alerts, deviation, features, parse, windows
 from spindlewatch.plans.registry import Query, plain, timed
 from spindlewatch.session import configure, shared_path
 from spindlewatch.sources.feeds import Feeds
-from spindlewatch.streaming import episode_stream, sinks, transforms
+from spindlewatch.streaming import episode_stream, late, sinks, surge_stream, transforms
 from spindlewatch.streaming.watermarks import delay_of, marked, together
 
 _QUERIES: dict[str, Query] = {}
@@ -92,6 +92,33 @@ def stream_late(feeds: Feeds) -> DataFrame:
     ).select(F.col("_w.start").alias("window_start"), "machine_id", "n")
 
 
+LATE_RUNS = 4
+
+
+@stream_query
+def late_rows(feeds: Feeds) -> DataFrame:
+    """All arrivals with the table each was routed to; the stream runs once for every quarter that arrives."""
+    path = shared_path(feeds.spark, "late")
+    arrivals = Feeds(feeds.spark, feeds.folder).arrivals()
+    end = arrivals.agg((F.max("seq") + 1).alias("end")).scalar()
+    write = late.late_router(f"{path}/routed", "arrivals", "event_time", Settings.from_spark(feeds.spark).max_allowed_lateness_seconds)
+    rows = feeds.spark.readStream.schema(arrivals.schema).parquet(f"{path}/arrived/*")
+    for i in range(LATE_RUNS):
+        arrivals.filter(F.floor(F.col("seq") * LATE_RUNS / end) == i).write.parquet(f"{path}/arrived/{i}")
+        sinks.start_foreach(rows, write, f"{path}/checkpoint", {"availableNow": True}).awaitTermination()
+    columns = ["seq", "machine_id", "event_time"]
+    routed = [
+        feeds.spark.read.parquet(f"{path}/routed/{name}").select(*columns, F.lit(name).alias("routed_to")) for name in (late.ON_TIME, late.LATE)
+    ]
+    return alerts.all_alerts(*routed)
+
+
+@stream_query
+def stream_error_surge(feeds: Feeds) -> DataFrame:
+    begun = Feeds(feeds.spark, feeds.folder).log_raw().agg(F.unix_seconds(F.min(F.window("timestamp", "10 seconds")["start"]))).first()[0]
+    return surge_stream.error_surge_stream(marked(feeds.log_raw(), "timestamp"), begun, 10)
+
+
 @stream_query
 def stream_spike(feeds: Feeds) -> DataFrame:
     return transforms.spike_stream(transforms.filled_window_stream(_sensor(feeds)))
