@@ -733,6 +733,9 @@ CHECKS: dict[str, str] = {
     "stream_pairs": sql(
         f"""SELECT {_PAIR}, "isAlarm" FROM pairs
         WHERE epoch_ms(ts) <= (SELECT w FROM lowfreq_watermark)""", "pairs", "lowfreq_watermark"),
+    "stream_pairs_split": sql(
+        f"""SELECT {_PAIR}, "isAlarm" FROM pairs
+        WHERE epoch_ms(ts - ts % 10000 + 10000) <= (SELECT w FROM lowfreq_watermark)""", "pairs", "lowfreq_watermark"),
     "stream_feature_records": sql(
         f"""SELECT {_RECORD} FROM records JOIN (SELECT seq, ts FROM pairs) USING (seq)
         WHERE epoch_ms(ts) <= (SELECT w FROM watermark)""", "records", "watermark"),

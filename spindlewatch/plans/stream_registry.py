@@ -15,7 +15,7 @@ from spindlewatch.operators import alerts, deviation, features, parse, windows
 from spindlewatch.plans.registry import Query, plain, timed
 from spindlewatch.session import configure, shared_path
 from spindlewatch.sources.feeds import Feeds
-from spindlewatch.streaming import episode_stream, late, sinks, surge_stream, transforms
+from spindlewatch.streaming import episode_stream, late, pair_segments, sinks, surge_stream, transforms
 from spindlewatch.streaming.watermarks import delay_of, marked, together
 
 _QUERIES: dict[str, Query] = {}
@@ -142,6 +142,14 @@ def stream_pairs(feeds: Feeds) -> DataFrame:
     return features.low_frequency_record(pairs, ["seq"])
 
 
+@stream_query
+def stream_pairs_split(feeds: Feeds) -> DataFrame:
+    """The same pairs by segments of ten seconds, which any task can work out."""
+    state, metrics = timed(feeds.device_state()), timed(feeds.sensor_metrics())
+    pairs = pair_segments.pair_stream_by_segment(state, metrics, "seq", "event_time", "10 seconds", delay_of(state))
+    return features.low_frequency_record(pairs, ["seq"])
+
+
 @stream_query
 def stream_feature_records(feeds: Feeds) -> DataFrame:
     inputs = timed(feeds.device_state()), timed(feeds.sensor_metrics()), feeds.highfreq_sensor()

@@ -68,10 +68,10 @@ def status_stream(
     return status.status_record(found, start_speed, ["seq"])
 
 
-def pair_stream(
-    state: DataFrame, metrics: DataFrame, order: str, time_column: str, delay: str | None = None
-) -> DataFrame:
-    """Consume-once pairing of two streams; ``time_column`` is the later record's time. For ``delay`` see ``asof_stream``."""
+def pair_sides(
+    state: DataFrame, metrics: DataFrame, order: str, time_column: str
+) -> tuple[DataFrame, dict[int, T.StructType]]:
+    """Both sides in one stream of packed records, and the columns packed of each side."""
     shared = ["machineId", time_column]
     held = {features.STATE: state, features.METRICS: metrics}
     schemas = {side: _schema(rows, [c for c in rows.columns if c not in shared]) for side, rows in held.items()}
@@ -84,26 +84,38 @@ def pair_stream(
         )
         for side, rows in held.items()
     ]
-    both = sides[0].unionByName(sides[1])
-    if delay:
-        both = both.withWatermark(p.TIME, delay)
-    paired = p.run_vector(both, ["machineId"], p.LatestPairing(["machineId"]), ["left", "right", "last"])
-    texts = {features.STATE: "left", features.METRICS: "right"}
-    fields = {
-        side: p.unpacked(text, schemas[side]) for side, text in texts.items()
-    }
+    return sides[0].unionByName(sides[1]), schemas
+
+
+def pair_columns(paired: DataFrame, schemas: dict[int, T.StructType], order: str, time_column: str) -> DataFrame:
+    """Pairs of packed texts (``left`` a state, ``right`` a metrics record, ``last`` the later side) as ``pair_latest`` gives them."""
+    names = {features.STATE: ("left", "state"), features.METRICS: ("right", "metrics")}
     wide = paired.select(
         "machineId", F.col(p.TIME).alias(time_column), "last",
-        *[F.struct(*fields[side]).alias(name) for side, name in ((features.STATE, "state"), (features.METRICS, "metrics"))],
+        *[F.struct(*p.unpacked(text, schemas[side])).alias(name) for side, (text, name) in names.items()],
     )
     # the pair's number is that of the later record
     number = F.when(F.col("last") == str(features.STATE), F.col("state")[order]).otherwise(F.col("metrics")[order])
     return wide.select("machineId", number.alias(order), time_column, *[
         F.struct(*[F.col(name)[c].alias(c) for c in schemas[side].fieldNames() if c != order]).alias(name)
-        for side, name in ((features.STATE, "state"), (features.METRICS, "metrics"))
+        for side, (_, name) in names.items()
     ])
 
 
+def pair_stream(
+    state: DataFrame, metrics: DataFrame, order: str, time_column: str, delay: str | None = None
+) -> DataFrame:
+    """Consume-once pairing of two streams; ``time_column`` is the later record's time. For ``delay`` see ``asof_stream``.
+
+    A machine's records pass one task in order; ``pair_segments`` has the form that splits them.
+    """
+    both, schemas = pair_sides(state, metrics, order, time_column)
+    if delay:
+        both = both.withWatermark(p.TIME, delay)
+    paired = p.run_vector(both, ["machineId"], p.LatestPairing(["machineId"]), ["left", "right", "last"])
+    return pair_columns(paired, schemas, order, time_column)
+
+
 def feature_record_stream(
     state: DataFrame, metrics: DataFrame, highfreq: DataFrame, order: str = "seq", time_column: str = "event_time"
 ) -> DataFrame:

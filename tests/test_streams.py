@@ -15,7 +15,7 @@ from spindlewatch.plans.registry import plain, timed
 from spindlewatch.plans.stream_registry import marked
 from spindlewatch.session import shared_path
 from spindlewatch.sources.feeds import Feeds
-from spindlewatch.streaming import sinks, transforms
+from spindlewatch.streaming import pair_segments, sinks, transforms
 from spindlewatch.streaming.watermarks import together
 
 FILES = 4
@@ -97,6 +97,21 @@ def test_pairs(stream, batch):
     assert table(got.select(*columns)) == table(want.select(*columns))
 
 
+@pytest.mark.parametrize("seconds", [1, 20])
+def test_pairs_by_segment(stream, batch, seconds):
+    frames = timed(batch.device_state()), timed(batch.sensor_metrics())
+    limit = watermark(batch, *[(f, "event_time") for f in frames])
+    got = drained(
+        pair_segments.pair_stream_by_segment(
+            timed(stream.device_state()), timed(stream.sensor_metrics()), "seq", "event_time", f"{seconds} seconds", DELAY
+        )
+    )
+    closed = F.window("event_time", f"{seconds} seconds")["end"] <= limit
+    want = features.pair_latest(*frames, ["event_time", "seq"]).filter(closed)
+    columns = ["seq", "machineId", "event_time", "state.isAlarm", "state.duration_seconds", "metrics.total_parts"]
+    assert table(got) and table(got.select(*columns)) == table(want.select(*columns))
+
+
 def test_status(stream, batch):
     sensor, changes = batch.sensor_raw(), batch.changes()
     limit = watermark(batch, (sensor, "timestamp"), (changes, "start_time"))
