@@ -24,9 +24,7 @@ ODD = ["", None, "\x1c a\x1cb", "x\x00y", "\x00", "don't  ÀÉ ﬁ İstanbul Σ
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def texts_of(spark, small, n=60):
