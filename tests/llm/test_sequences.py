@@ -188,7 +188,7 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark):
 
 def test_registered_queries():
     names = list(llm_queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(entry.queries())
 
 
