@@ -17,12 +17,7 @@ class Episodes(p.OrderedReplay):
     """Chains panes of a machine's parameter; memory is the open episode: start, end, maxima, readings, whether reported."""
 
     def __init__(self, row_schema, order, output: T.StructType, gap: int, least: int):
-        memory = T.StructType(
-            [T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType())]
-            + [T.StructField(m, T.DoubleType()) for m in MEASURES]
-            + [T.StructField("n", T.LongType()), T.StructField("reported", T.BooleanType())]
-        )
-        super().__init__(row_schema, memory, order)
+        super().__init__(row_schema, order)
         self.output, self.gap, self.least = output.fieldNames(), gap, least
 
     def _record(self, row, run, still_open: bool) -> list:
@@ -81,7 +76,7 @@ def episode_stream(
         F.array_sort(F.collect_list(each)).alias("_all")
     )
     closed = panes.select(
-        "machine_id", "param_name", F.unix_millis("_w.end").alias("end_ms"), F.unix_millis("_w.end").alias(p.TIME_MS),
+        "machine_id", "param_name", F.window_time("_w").alias("closed_at"), F.unix_millis("_w.end").alias("end_ms"), F.unix_millis("_w.end").alias(p.TIME_MS),
         *[F.col("_all")[c].alias(c) for c in _ARRAYS],
     )
     schema = T.StructType([T.StructField(c, closed.schema[c].dataType) for c in closed.columns])
@@ -92,4 +87,4 @@ def episode_stream(
         + [T.StructField("still_open", T.BooleanType())]
     )
     processor = Episodes(schema, "end_ms", output, gap_micros(max_gap_seconds), int(least_seconds * 1_000_000))
-    return episode_record(p.run_processor(closed, ["machine_id", "param_name"], processor, output))
+    return episode_record(p.run_rows(closed, "closed_at", ["machine_id", "param_name"], processor, output))

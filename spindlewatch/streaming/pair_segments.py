@@ -9,6 +9,7 @@ takes one row a segment, picks the value, and passes its text through unread.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,19 +38,27 @@ def _folded(rows: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
-class ChainSegments(p.OrderedReplay):
-    """Picks a segment's value by what waits before it, which is the memory: (side, record)."""
+_VALUES = ("a_side", "a_held", "a_pairs", "b_side", "b_held", "b_pairs")
 
-    def __init__(self, row_schema, order, output: T.StructType):
-        memory = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("held", T.StringType())])
-        super().__init__(row_schema, memory, order)
-        self.output = output.fieldNames()
 
-    def step(self, memory, row):
-        consumed = memory is not None and memory[0] != row["first_side"]
-        value = "b" if consumed else "a"
-        after = None if row[f"{value}_side"] == _NONE else (row[f"{value}_side"], row[f"{value}_held"])
-        return after, self.emit({**row, "pairs": row[f"{value}_pairs"], "waited": memory[1] if consumed else None})
+class ChainSegments(p.VectorReplay):
+    """Picks a segment's value by what waits before it, which is the memory: (side, record). A row is a segment's first record
+    and its two values."""
+
+    more = ("first_us", *_VALUES)
+
+    def fold(self, memory, us, side, payload, first_us, a_side, a_held, a_pairs, b_side, b_held, b_pairs):
+        waited, consumed = np.empty(len(us), object), np.zeros(len(us), bool)
+        for i, first in enumerate(side.tolist()):
+            if memory is not None and memory[0] != first:
+                waited[i], consumed[i] = memory[1], True
+                after, held = b_side[i], b_held[i]
+            else:
+                after, held = a_side[i], a_held[i]
+            memory = None if after == _NONE else (int(after), held)
+        return memory, {
+            "first_us": first_us, "first_side": side, "first_record": payload, "pairs": np.where(consumed, b_pairs, a_pairs), "waited": waited,
+        }
 
 
 def pair_stream_by_segment(
@@ -63,19 +72,18 @@ def pair_stream_by_segment(
     gathered = both.groupBy(F.window(p.TIME, segment).alias("_w"), "machineId").agg(F.array_sort(F.collect_list(each)).alias("_r"))
     first = F.element_at("_r", 1)
     values = gathered.select(
-        "machineId", F.unix_millis("_w.end").alias("end_ms"), F.unix_millis("_w.end").alias(p.TIME_MS), first["us"].alias("first_us"),
-        first["side"].alias("first_side"), first["record"].alias("first_record"),
+        "machineId", F.window_time("_w").alias(p.TIME), F.unix_micros("_w.end").alias(p.US), F.lit(0).cast("bigint").alias(p.RANK),
+        first["us"].alias("first_us"), first["side"].alias(p.SIDE), first["record"].alias(p.PAYLOAD),
         _folded(F.col("_r")).alias("a"), _folded(F.slice("_r", 2, F.greatest(F.size("_r"), F.lit(1)))).alias("b"),
     )
     plain = values.select(
-        "machineId", "end_ms", p.TIME_MS, "first_us", "first_side", "first_record",
+        "machineId", p.TIME, p.US, p.RANK, p.SIDE, p.PAYLOAD, "first_us",
         *[c for v in "ab" for c in (F.col(f"{v}.side").alias(f"{v}_side"), F.col(f"{v}.held").alias(f"{v}_held"), F.to_json(f"{v}.out").alias(f"{v}_pairs"))],
     )
-    schema = T.StructType([T.StructField(c, plain.schema[c].dataType) for c in plain.columns])
-    output = T.StructType([schema[c] for c in ("machineId", "first_us", "first_side", "first_record")] + [
-        T.StructField("pairs", T.StringType()), T.StructField("waited", T.StringType()),
+    output = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("first_side", T.IntegerType())] + [
+        T.StructField(c, T.StringType()) for c in ("first_record", "pairs", "waited")
     ])
-    chosen = p.run_processor(plain, ["machineId"], ChainSegments(schema, "end_ms", output), output)
+    chosen = p.run_vector(plain, ["machineId"], ChainSegments(["machineId"]), output)
     joined = F.struct(F.col("first_us").alias("us"), F.col("first_side").alias("side"), F.col("waited").alias("held"), F.col("first_record").alias("record"))
     inside = F.from_json("pairs", _PAIRS)
     pairs = chosen.select("machineId", F.inline(F.when(F.col("waited").isNotNull(), F.array_prepend(inside, joined)).otherwise(inside)))

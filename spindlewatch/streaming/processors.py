@@ -1,184 +1,56 @@
 """Keyed state for streams: what a batch window function does, one machine at a time.
 
-Rows of a key reach a processor in no particular order. ``OrderedReplay`` therefore holds rows back
-until the watermark has passed them and replays them by (time, sequence), so that results equal
+Rows of a key reach a processor in no particular order. ``VectorReplay`` therefore holds rows back
+until the watermark has passed them and replays them by (time, rank), so that results equal
 those of the batch operators. State lives in the state store, so it survives lost executors.
+Rows go in and come out as bounded frames: the row-wise form of ``transformWithState`` would gather all that a
+key puts out at once in a list.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TIME_MS = "_t_ms"
-# rows per state entry: one store call per row would dominate the run time
-CHUNK = 1000
-# rows of one key held in memory before they are put into the store
+# rows, and characters of their texts, of one key held in memory before they are put into the store
 HELD_ROWS = 100_000
-BUCKET_MS = 300_000
-_BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
-_PART = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
-_PARTS = T.StructType([T.StructField("parts", T.IntegerType())])
+HELD_TEXT = 1 << 25
+# rows per state entry: few of a held block, so that entries of blocks without order overlap little in time
+VECTOR_CHUNK = 500
+# rows, and stored bytes, folded at once
+FOLD_ROWS = 20_000
+FOLD_BYTES = 1 << 24
 _ROWS = T.StructType([T.StructField("rows", T.BinaryType())])
 
 
-class OrderedReplay(StatefulProcessor):
-    """Buffer, sort and fold. Subclasses give ``step(memory, row) -> (memory, output rows)``;
-    ``memory`` is a tuple of ``memory_schema`` or None at the start of a key.
-
-    Waiting rows are kept in the state store by five minutes, in chunks. Replay loads one such bucket at a
-    time, so memory use is bounded however much a micro-batch brings.
-    """
-
-    def __init__(self, row_schema: T.StructType, memory_schema: T.StructType, order: str):
-        self.row_schema, self.memory_schema, self.order = row_schema, memory_schema, order
-        self.names = row_schema.fieldNames()
-        self.at, self.by = self.names.index(TIME_MS), self.names.index(order)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.parts = handle.getMapState("parts", _BUCKET, _PARTS)
-        self.chunks = handle.getMapState("chunks", _PART, _ROWS)
-        self.memory = handle.getValueState("memory", self.memory_schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held, count, pick = {}, 0, None
-        for row in rows:
-            if pick is None:
-                # by position: looking a field up by name searches the row's names each time
-                pick = itemgetter(*[row.__fields__.index(n) for n in self.names])
-            values = pick(tuple(row))
-            held.setdefault(values[self.at] // BUCKET_MS, []).append(values)
-            count += 1
-            if count == HELD_ROWS:
-                self._store(held)
-                held, count = {}, 0
-        self._store(held)
-        yield from self._replay(timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._replay(timerValues.getCurrentWatermarkInMs())
-
-    def _store(self, held: dict) -> None:
-        for bucket, values in held.items():
-            known = (bucket,)
-            parts = self.parts.getValue(known)[0] if self.parts.containsKey(known) else 0
-            for i in range(0, len(values), CHUNK):
-                self.chunks.updateValue((bucket, parts), (pickle.dumps(values[i : i + CHUNK]),))
-                parts += 1
-            self.parts.updateValue(known, (parts,))
-
-    def _take(self, bucket: int) -> list:
-        """Remove and return the rows of a bucket, in order."""
-        values = []
-        for part in range(self.parts.getValue((bucket,))[0]):
-            values += pickle.loads(bytes(self.chunks.getValue((bucket, part))[0]))
-            self.chunks.removeKey((bucket, part))
-        self.parts.removeKey((bucket,))
-        values.sort(key=lambda r: (r[self.at], r[self.by]))
-        return values
-
-    def _replay(self, watermark: int) -> Iterator[Row]:
-        memory = tuple(self.memory.get()) if self.memory.exists() else None
-        before = memory
-        buckets = sorted(k[0] for k in self.parts.keys())
-        for bucket in buckets:
-            if bucket * BUCKET_MS > watermark:
-                self.handle.registerTimer(bucket * BUCKET_MS)
-                break
-            values = self._take(bucket)
-            due = sum(1 for r in values if r[self.at] <= watermark)
-            for r in values[:due]:
-                memory, out = self.step(memory, dict(zip(self.names, r, strict=True)))
-                yield from out
-            if due < len(values):
-                self._store({bucket: values[due:]})
-                # one timer, for the row due next
-                self.handle.registerTimer(values[due][self.at])
-                break
-        if memory is None:
-            if before is not None:
-                self.memory.clear()
-        elif memory != before:
-            self.memory.update(memory)
-
-    def step(self, memory, row: dict):
-        raise NotImplementedError
-
-    def emit(self, values: dict) -> list[Row]:
-        return [Row(*self.output)(*[values[n] for n in self.output])]
-
-    def close(self) -> None:
-        pass
-
-
-class HoldAndSpike(OrderedReplay):
-    """Gap fill over consecutive windows, with the previous vibration next to each window."""
-
-    HELD = ["max_temperature", "avg_vib_rms", "current_fluctuation"]
-
-    def __init__(self, row_schema, order, output: T.StructType, min_gap: int, max_gap: int):
-        memory = T.StructType(
-            [T.StructField("end_ms", T.LongType())]
-            + [T.StructField(c, T.DoubleType()) for c in self.HELD]
-        )
-        super().__init__(row_schema, memory, order)
-        self.output, self.min_gap, self.max_gap = output.fieldNames(), min_gap, max_gap
-
-    def step(self, memory, row):
-        filled, previous = dict(row), None
-        if memory:
-            previous = memory[2]
-            gap = (row["end_ms"] - memory[0]) // 1000
-            if self.min_gap < gap <= self.max_gap:
-                filled.update(zip(self.HELD, memory[1:], strict=True))
-        filled["previous_vib_rms"] = previous
-        memory = (row["end_ms"], *[filled[c] for c in self.HELD])
-        return memory, self.emit(filled)
-
-
-class Interpolate(OrderedReplay):
-    """Linear interpolation over short gaps; memory is the reading before, its time in microseconds first."""
-
-    def __init__(self, row_schema, order, columns: list[str], output: T.StructType, step_us: int, max_gap_us: int):
-        memory = T.StructType([T.StructField("us", T.LongType())] + [row_schema[c] for c in columns])
-        super().__init__(row_schema, memory, order)
-        self.columns, self.output = columns, output.fieldNames()
-        self.step_us, self.max_gap_us = step_us, max_gap_us
-
-    def step(self, memory, row):
-        out = []
-        gap = row["us"] - memory[0] if memory else 0
-        if self.step_us < gap <= self.max_gap_us:
-            for us in range(memory[0] + self.step_us, row["us"], self.step_us):
-                share = (us - memory[0]) / gap
-                values = {c: a + (row[c] - a) * share for c, a in zip(self.columns, memory[1:], strict=True)}
-                out += self.emit({**row, **values, "us": us})
-        return (row["us"], *[row[c] for c in self.columns]), out
-
-
 #: Columns of the rows a ``VectorReplay`` takes beside the keys (names that begin with an underscore would be lost on the way).
 US, RANK, SIDE, PAYLOAD = "time_us", "time_rank", "record_side", "record"
 _CHUNK_KEY = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("part", T.IntegerType())])
-VECTOR_CHUNK = 20_000
+
+
+def _text_size(columns: tuple) -> int:
+    return sum(len(x) for c in columns if c.dtype == object for x in c if x is not None)
 
 
 class VectorReplay(StatefulProcessor):
-    """``OrderedReplay`` on whole columns, for operators that move records about without looking into them.
+    """Buffer, sort and fold, on whole columns; operators mostly move records about without looking into them.
 
     A row is a time in microseconds, a rank among equal times, a side and a text that holds the record (``packed``), which is never parsed
-    here. Rows wait in the state store in chunks sorted by time; replay merges those that overlap and hands
-    arrays to ``fold(memory, us, side, payload) -> (memory, output columns or None)``, ``memory`` being any small object.
+    here, and the columns named by ``more``. Rows wait in the state store in chunks sorted by time; replay merges those that overlap and hands
+    arrays to ``fold(memory, us, side, payload, *more) -> (memory, output columns or None)``, ``memory`` being any small object.
     """
 
+    more: tuple[str, ...] = ()
+
     def __init__(self, keys: list[str]):
         self.keys = keys
 
@@ -188,13 +60,14 @@ class VectorReplay(StatefulProcessor):
         self.memory = handle.getValueState("memory", _ROWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, count = [], 0
+        held, count, text = [], 0, 0
         for frame in rows:
-            held.append(tuple(frame[c].to_numpy() for c in (US, RANK, SIDE, PAYLOAD)))
+            held.append(tuple(frame[c].to_numpy() for c in (US, RANK, SIDE, PAYLOAD, *self.more)))
             count += len(frame)
-            if count >= HELD_ROWS:
+            text += _text_size(held[-1])
+            if count >= HELD_ROWS or text >= HELD_TEXT:
                 self._store(held)
-                held, count = [], 0
+                held, count, text = [], 0, 0
         self._store(held)
         yield from self._replay(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
@@ -203,9 +76,9 @@ class VectorReplay(StatefulProcessor):
 
     @staticmethod
     def _merged(parts: list[tuple]) -> tuple:
-        us, rank, side, payload = (np.concatenate(c) for c in zip(*parts, strict=True))
-        by = np.lexsort((rank, us))
-        return us[by], rank[by], side[by], payload[by]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        by = np.lexsort((columns[1], columns[0]))
+        return tuple(c[by] for c in columns)
 
     def _store(self, parts: list[tuple]) -> None:
         if not parts:
@@ -222,24 +95,29 @@ class VectorReplay(StatefulProcessor):
         places = sorted((k[0], k[1]) for k in self.chunks.keys())
         due = [k for k in places if k[0] <= watermark]
         memory = pickle.loads(bytes(self.memory.get()[0])) if self.memory.exists() else None
-        before, pool = memory, None
+        before, pool, size = memory, [], 0
         for i, place in enumerate(due):
-            chunk = pickle.loads(bytes(self.chunks.getValue(place)[0]))
+            stored = bytes(self.chunks.getValue(place)[0])
+            pool.append(pickle.loads(stored))
             self.chunks.removeKey(place)
-            pool = chunk if pool is None else self._merged([pool, chunk])
-            bound = due[i + 1][0] - 1 if i + 1 < len(due) else watermark
-            cut = int(np.searchsorted(pool[0], bound, side="right"))
+            size += len(stored)
+            last = i + 1 == len(due)
+            if not last and size < FOLD_BYTES and sum(len(c[0]) for c in pool) < FOLD_ROWS:
+                continue
+            rows = self._merged(pool)
+            bound = watermark if last else due[i + 1][0] - 1
+            cut = int(np.searchsorted(rows[0], bound, side="right"))
+            pool, size = [tuple(c[cut:] for c in rows)] if cut < len(rows[0]) else [], 0
             if cut:
-                us, _, side, payload = (c[:cut] for c in pool)
-                pool = tuple(c[cut:] for c in pool)
-                memory, out = self.fold(memory, us, side, payload)
+                us, _, *columns = (c[:cut] for c in rows)
+                memory, out = self.fold(memory, us, *columns)
                 if out is not None and len(out[next(iter(out))]):
                     names = dict(zip(self.keys, key, strict=True))
                     yield pd.DataFrame(out).assign(**names)
         later = [k[0] for k in places[len(due) :][:1]]
-        if pool is not None and len(pool[0]):
-            self._store([pool])
-            later.append(int(pool[0][0]))
+        if pool:
+            self._store(pool)
+            later.append(int(pool[0][0][0]))
         if later:
             self.handle.registerTimer(-(-min(later) // 1000))
         if memory is None:
@@ -248,7 +126,7 @@ class VectorReplay(StatefulProcessor):
         elif memory != before:
             self.memory.update((pickle.dumps(memory),))
 
-    def fold(self, memory, us: np.ndarray, side: np.ndarray, payload: np.ndarray):
+    def fold(self, memory, us: np.ndarray, side: np.ndarray, payload: np.ndarray, *more: np.ndarray):
         raise NotImplementedError
 
     def close(self) -> None:
@@ -259,6 +137,82 @@ def _times(us: np.ndarray) -> np.ndarray:
     return us.astype("datetime64[us]")
 
 
+class OrderedReplay(VectorReplay):
+    """``VectorReplay`` row by row. Subclasses give ``step(memory, row) -> (memory, output rows)``, rows being dictionaries;
+    ``memory`` is None at the start of a key. For rows that Spark has aggregated before."""
+
+    def __init__(self, row_schema: T.StructType, order: str):
+        super().__init__([])
+        self.order, self.names = order, row_schema.fieldNames()
+        # numbers that are not finite are texts in JSON
+        self.doubles = [f.name for f in row_schema if isinstance(f.dataType, T.DoubleType)]
+        self.lists = [f.name for f in row_schema if f.dataType == T.ArrayType(T.DoubleType())]
+
+    def _row(self, text: str) -> dict:
+        row = dict.fromkeys(self.names) | json.loads(text)
+        for c in self.doubles:
+            if row[c] is not None:
+                row[c] = float(row[c])
+        for c in self.lists:
+            if row[c] is not None:
+                row[c] = [None if x is None else float(x) for x in row[c]]
+        return row
+
+    def fold(self, memory, us, side, payload):
+        found = []
+        for text in payload:
+            memory, out = self.step(memory, self._row(text))
+            found += out
+        return memory, {"left": [json.dumps(x) for x in found]}
+
+    def step(self, memory, row: dict):
+        raise NotImplementedError
+
+    def emit(self, values: dict) -> list[dict]:
+        return [{n: values[n] for n in self.output}]
+
+
+class HoldAndSpike(VectorReplay):
+    """Gap fill over consecutive windows: with each window's record comes the one whose values it holds (its own, unless it fills a gap), and
+    that one of the window before. Memory is the end of the last window and the record it holds."""
+
+    def __init__(self, keys: list[str], min_gap: int, max_gap: int):
+        super().__init__(keys)
+        self.min_gap, self.max_gap = min_gap, max_gap
+
+    def fold(self, memory, us, side, payload):
+        if memory:
+            us, payload = np.append(memory[0], us), np.append(np.array([memory[1]], object), payload)
+        gap = np.diff(us) // 1_000_000
+        fills = np.append(False, (gap > self.min_gap) & (gap <= self.max_gap))
+        held = payload[np.maximum.accumulate(np.where(fills, 0, np.arange(len(us))))]
+        first = 1 if memory else 0
+        before = np.append(np.array([None], object), held[:-1])
+        return (int(us[-1]), held[-1]), {
+            TIME: _times(us[first:]), "left": payload[first:], "right": held[first:], "before": before[first:],
+        }
+
+
+class Interpolate(VectorReplay):
+    """Linear interpolation over short gaps; memory is the reading before, its time in microseconds first."""
+
+    def __init__(self, keys: list[str], columns: list[str], step_us: int, max_gap_us: int):
+        super().__init__(keys)
+        self.columns, self.more = columns, ("at_us", *columns)
+        self.step_us, self.max_gap_us = step_us, max_gap_us
+
+    def fold(self, memory, us, side, payload, at, *values):
+        if memory:
+            at, *values = (np.append(np.array([a], b.dtype), b) for a, b in zip(memory, (at, *values), strict=True))
+        gap = np.diff(at)
+        points = np.where((gap > self.step_us) & (gap <= self.max_gap_us), (gap - 1) // self.step_us, 0)
+        of = np.repeat(np.arange(len(gap)), points)
+        ahead = (np.arange(len(of)) - np.repeat(np.cumsum(points) - points, points) + 1) * self.step_us
+        share = ahead / gap[of]
+        out = {c: v[of] + (v[of + 1] - v[of]) * share for c, v in zip(self.columns, values, strict=True)}
+        return tuple(v[-1].item() for v in (at, *values)), {"us": at[of] + ahead, **out}
+
+
 class LatestPairing(VectorReplay):
     """Consume-once pairing of two sides; memory is the one record left waiting (side, payload)."""
 
@@ -337,29 +291,31 @@ def unpacked(text: str, schema: T.StructType) -> list[Column]:
     ]
 
 
-def run_vector(rows: DataFrame, keys: list[str], processor: VectorReplay, texts: list[str]) -> DataFrame:
-    """Keys, ``TIME`` and the texts a processor gives out; ``rows`` carry ``TIME``, the watermarked time, too."""
-    columns = [*keys, TIME, US, RANK, SIDE, PAYLOAD]
-    output = T.StructType(
-        [rows.schema[k] for k in keys] + [T.StructField(TIME, T.TimestampType())] + [T.StructField(t, T.StringType()) for t in texts]
-    )
-    return rows.select(*columns).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime", eventTimeColumnName=TIME,
-    )
-
-
-def run_processor(
-    rows: DataFrame, keys: list[str], processor: StatefulProcessor, output: T.StructType,
-    time_column: str = "",
+def run_vector(
+    rows: DataFrame, keys: list[str], processor: VectorReplay, texts: list[str] | T.StructType,
 ) -> DataFrame:
-    return rows.groupBy(*keys).transformWithState(
-        statefulProcessor=processor,
-        outputStructType=output,
-        outputMode="append",
-        timeMode="eventTime",
-        eventTimeColumnName=time_column,
+    """Keys, ``TIME`` and the texts a processor gives out; ``rows`` carry ``TIME``, the watermarked time, too.
+
+    With fields in place of texts, keys and those fields, which carry no event time for operators above.
+    """
+    # a row without time is never passed by the watermark
+    columns = [*keys, TIME, US, RANK, SIDE, PAYLOAD, *processor.more]
+    timed = not isinstance(texts, T.StructType)
+    fields = [T.StructField(TIME, T.TimestampType())] + [T.StructField(t, T.StringType()) for t in texts] if timed else list(texts)
+    output = T.StructType([rows.schema[k] for k in keys] + fields)
+    return rows.select(*columns).filter(F.col(TIME).isNotNull()).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime",
+        eventTimeColumnName=TIME if timed else "",
     )
 
 
-def with_time_ms(rows: DataFrame, time_column: str) -> DataFrame:
-    return rows.withColumn(TIME_MS, F.unix_millis(time_column))
+def run_rows(rows: DataFrame, time_column: str, keys: list[str], processor: OrderedReplay, output: T.StructType) -> DataFrame:
+    """What an ``OrderedReplay`` gives out for ``rows`` with ``TIME_MS``, watermarked on ``time_column``."""
+    processor.keys = keys
+    kept = [c for c in rows.columns if c not in (time_column, TIME_MS)]
+    taken = rows.select(
+        *keys, F.col(time_column).alias(TIME), (F.col(TIME_MS) * 1000).alias(US), F.col(processor.order).cast("bigint").alias(RANK),
+        F.lit(0).cast("tinyint").alias(SIDE), packed(rows, kept).alias(PAYLOAD),
+    )
+    found = run_vector(taken, keys, processor, T.StructType([T.StructField("left", T.StringType())]))
+    return found.select(*unpacked("left", output))

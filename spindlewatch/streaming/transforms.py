@@ -10,6 +10,9 @@ from spindlewatch.operators import features, status, windows
 from spindlewatch.schemas import FEATURE_RECORD, WINDOW_FEATURES
 from spindlewatch.streaming import processors as p
 
+#: Values that a window takes over from the one before a short gap.
+HELD = ["max_temperature", "avg_vib_rms", "current_fluctuation"]
+
 
 def _schema(df: DataFrame, columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns])
@@ -140,16 +143,16 @@ def filled_window_stream(
 ) -> DataFrame:
     """Closed windows with gap fill, each with the vibration of the window before it."""
     closed = windows.window_metrics(sensor, size, label)
-    closed = closed.withColumn("end_ms", F.unix_millis("window_end")).withColumn(
-        p.TIME_MS, F.col("end_ms")
-    )
-    rows = _schema(closed, closed.columns)
-    output = T.StructType(
-        [f for f in rows if f.name not in ("end_ms", p.TIME_MS)]
-        + [T.StructField("previous_vib_rms", T.DoubleType())]
+    kept = [c for c in closed.columns if c != "machine_id"]
+    rows = closed.select(
+        "machine_id", F.col("window_end").alias(p.TIME), F.unix_micros("window_end").alias(p.US), F.lit(0).cast("bigint").alias(p.RANK),
+        F.lit(0).cast("tinyint").alias(p.SIDE), p.packed(closed, kept).alias(p.PAYLOAD),
     )
-    processor = p.HoldAndSpike(rows, "end_ms", output, min_gap, max_gap)
-    return p.run_processor(closed, ["machine_id"], processor, output)
+    found = p.run_vector(rows, ["machine_id"], p.HoldAndSpike(["machine_id"], min_gap, max_gap), ["left", "right", "before"])
+    own = dict(zip(kept, p.unpacked("left", _schema(closed, kept)), strict=True))
+    held = dict(zip(HELD, p.unpacked("right", _schema(closed, HELD)), strict=True))
+    previous = p.unpacked("before", _schema(closed, ["avg_vib_rms"]))[0].alias("previous_vib_rms")
+    return found.select(*[F.col(c) if c == "machine_id" else {**own, **held}[c] for c in closed.columns], previous)
 
 
 def spike_stream(filled: DataFrame, ratio: float = 0.2) -> DataFrame:
@@ -169,16 +172,16 @@ def interpolate_stream(
 ) -> DataFrame:
     """Readings between the given ones across gaps of up to ``max_gap_seconds``, of a stream watermarked on ``timestamp``;
     missing values count as 0, as the parsers give them."""
-    readings = p.with_time_ms(sensor, "timestamp").select(
-        "machine_id", "timestamp", order, p.TIME_MS, F.unix_micros("timestamp").alias("us"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
+    readings = sensor.select(
+        "machine_id", F.col("timestamp").alias(p.TIME), (F.unix_millis("timestamp") * 1000).alias(p.US),
+        F.coalesce(F.col(order).cast("bigint"), F.lit(-1)).alias(p.RANK), F.lit(0).cast("tinyint").alias(p.SIDE), F.lit("").alias(p.PAYLOAD),
+        F.unix_micros("timestamp").alias("at_us"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
     )
-    rows = _schema(readings, [order, p.TIME_MS, "timestamp", "us", "machine_id", *columns])
-    output = _schema(readings, ["machine_id", "timestamp", "us", *columns])
-    processor = p.Interpolate(rows, order, columns, output, step_seconds * 1_000_000, max_gap_seconds * 1_000_000)
+    output = T.StructType([T.StructField("us", T.LongType()), *_schema(readings, columns)])
+    processor = p.Interpolate(["machine_id"], columns, step_seconds * 1_000_000, max_gap_seconds * 1_000_000)
     # rows come out between readings, some before the watermark: they carry no event time for operators above
-    found = p.run_processor(readings, ["machine_id"], processor, output)
-    return found.withColumn("timestamp", F.timestamp_micros("us")).drop("us")
+    found = p.run_vector(readings, ["machine_id"], processor, output)
+    return found.select("machine_id", F.timestamp_micros("us").alias("timestamp"), *columns)
 
 
 def throttle_stream(
