@@ -26,19 +26,18 @@ def asof_stream(
     right_time: str,
     values: list[str],
     order: str,
-    salts: int | None = None,
+    salts: int = 1,
     delay: str | None = None,
 ) -> DataFrame:
     """As-of left lookup between two streams.
 
     With ``delay`` the inputs have no watermark yet and get one together, so that a silent right side
     does not hold back the left one; without, they share a watermark already (``watermarks.together``).
-    Each left row needs only the right rows of its key, so left rows of a key are spread over
-    ``salts`` state partitions (as many as there are shuffle partitions, unless given) and the few right rows are copied to
-    each: a hot machine is then shared by that many tasks.
+    A machine's rows pass one task, whose memory stays bounded, and no row is copied. Where right rows are few beside left ones, ``salts``
+    spreads the left rows of a key over that many state partitions, at the price of as many copies of each right row in shuffle and state.
     """
-    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(order), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0)
     kept = [c for c in left.columns if c not in (key, left_time)]
     lefts = left.select(
         F.col(left_time).alias(p.TIME), key, F.lit(1).cast("tinyint").alias(p.SIDE), F.col(order).cast("bigint").alias(p.RANK),
@@ -46,7 +45,7 @@ def asof_stream(
     )
     rights = right.select(
         F.col(right_time).alias(p.TIME), key, F.lit(0).cast("tinyint").alias(p.SIDE), F.col(order).cast("bigint").alias(p.RANK),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("key_salt"), p.packed(right, values).alias(p.PAYLOAD),
+        copies.alias("key_salt"), p.packed(right, values).alias(p.PAYLOAD),
     )
     both = lefts.unionByName(rights)
     if delay:

@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from spindlewatch.streaming import pair_segments
+from spindlewatch.sources.feeds import Feeds
+from spindlewatch.streaming import pair_segments, transforms
 from spindlewatch.streaming import processors as p
+from spindlewatch.streaming.watermarks import together
 
 N = 30_000
 SECOND = 1_000_000
@@ -153,3 +155,16 @@ def test_long_texts_are_put_away_early(monkeypatch):
     frames = [rows(np.arange(10) * SECOND, ["x" * 900] * 10) for _ in range(6)]
     list(processor.handleInputRows(("m",), iter(frames), At(0)))
     assert max(stored) <= 20 and sum(stored) == 60
+
+
+def test_lookups_do_not_copy_the_right_side(spark, small_folder):
+    feeds = Feeds(spark, small_folder, streaming=True)
+    marked = together((feeds.sensor_raw(), "timestamp"), (feeds.changes(), "start_time"))
+    for found in (transforms.status_stream(feeds.sensor_raw(), feeds.changes(), delay="5 seconds"), transforms.health_stream(*marked)):
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithState" in plan and "Generate" not in plan
+
+
+@pytest.fixture
+def small_folder():
+    return "/root/testdata/sf0.001"
