@@ -76,14 +76,16 @@ def pair_stream_by_segment(
         first["us"].alias("first_us"), first["side"].alias(p.SIDE), first["record"].alias(p.PAYLOAD),
         _folded(F.col("_r")).alias("a"), _folded(F.slice("_r", 2, F.greatest(F.size("_r"), F.lit(1)))).alias("b"),
     )
+    # as a text: a null among whole numbers would reach Python as NaN, which is a key of its own in each row
     plain = values.select(
-        "machineId", p.TIME, p.US, p.RANK, p.SIDE, p.PAYLOAD, "first_us",
+        F.col("machineId").cast("string").alias("machineId"), p.TIME, p.US, p.RANK, p.SIDE, p.PAYLOAD, "first_us",
         *[c for v in "ab" for c in (F.col(f"{v}.side").alias(f"{v}_side"), F.col(f"{v}.held").alias(f"{v}_held"), F.to_json(f"{v}.out").alias(f"{v}_pairs"))],
     )
     output = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("first_side", T.IntegerType())] + [
         T.StructField(c, T.StringType()) for c in ("first_record", "pairs", "waited")
     ])
     chosen = p.run_vector(plain, ["machineId"], ChainSegments(["machineId"]), output)
+    chosen = chosen.withColumn("machineId", F.col("machineId").cast(values.schema["machineId"].dataType))
     joined = F.struct(F.col("first_us").alias("us"), F.col("first_side").alias("side"), F.col("waited").alias("held"), F.col("first_record").alias("record"))
     inside = F.from_json("pairs", _PAIRS)
     pairs = chosen.select("machineId", F.inline(F.when(F.col("waited").isNotNull(), F.array_prepend(inside, joined)).otherwise(inside)))

@@ -2,10 +2,15 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from spindlewatch.plans.registry import timed
+from spindlewatch.session import shared_path
 from spindlewatch.sources.feeds import Feeds
-from spindlewatch.streaming import pair_segments, transforms
+from spindlewatch.streaming import pair_segments, sinks, transforms
 from spindlewatch.streaming import processors as p
 from spindlewatch.streaming.watermarks import together
 
@@ -168,3 +173,18 @@ def test_lookups_do_not_copy_the_right_side(spark, small_folder):
 @pytest.fixture
 def small_folder():
     return "/root/testdata/sf0.001"
+
+
+def test_segments_without_machine_are_one_chain(spark, small_folder, tmp_path):
+    events = pq.read_table(f"{small_folder}/events.parquet")
+    users = [None if i % 3 == 0 else 5 for i in range(events.num_rows)]
+    events = events.set_column(events.schema.get_field_index("user_id"), "user_id", pa.array(users, pa.int64()))
+    pq.write_table(events, tmp_path / "events.parquet")
+
+    def pairs_of(expression):
+        feeds = Feeds(spark, str(tmp_path), streaming=True)
+        sides = [timed(x).withColumn("machineId", F.expr(expression)) for x in (feeds.device_state(), feeds.sensor_metrics())]
+        found = pair_segments.pair_stream_by_segment(*sides, "seq", "event_time", "10 seconds", "5 seconds")
+        return sorted(r[0] for r in sinks.drain(found, shared_path(spark, "test")).filter(F.coalesce("machineId", F.lit(0)) == 0).select("seq").collect())
+
+    assert pairs_of("machineId") == pairs_of("coalesce(machineId, 0)") != []
