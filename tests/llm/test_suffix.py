@@ -83,3 +83,23 @@ def test_spans_and_kept_bytes(spark):
     assert bytes(got[1]["kept"]) == b"left  right" and (got[1]["starts"], got[1]["stops"]) == ([5], [505])
     assert bytes(got[2]["kept"]) == b"" and bytes(got[3]["kept"]) == b"other" and got[3]["starts"] == []
     assert suffix_dedup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_a_line_repeated_in_many_texts_is_a_row_for_each_different_window(spark, tmp_path, monkeypatch):
+    tables = []
+
+    def kept(df, name, of=suffix_dedup.written):
+        out = of(df, name)
+        tables.extend([out] if name == "suffix-contexts" else [])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 4)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghij", k=450)) + "A line. " * rng.randint(60, 200) + "".join(rng.choices("klmnop", k=450)) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(tuple(r) for r in queries.op12_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [r[1:] for r in rows] == brute(texts, 400)
+    last = tables[-1]
+    assert last.select("digest").distinct().count() < 30
+    assert last.count() == last.select("h1", "h2", "digest").distinct().count() < 30 * 30
